@@ -123,3 +123,19 @@ def map_text(
                 )
 
     return df.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, full)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns, whose text a kernel says to keep; without a shuffle."""
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        kernel = make()
+        for batch in batches:
+            texts = batch.column(place)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+            for a, b in blocks(sizes, block_bytes):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(kernel([t or "" for t in part.column(place).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize
+from .common import keep_rows, map_text, materialize
 
 WINDOW = 10
 #: Characters of benchmark text in one automaton.
@@ -187,6 +187,21 @@ def _in_blocks(docs, parts, id_col, text_col) -> DataFrame:
     return now.mapInPandas(finish, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {FIELDS}")
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that no window of the benchmark hits."""
+    for part in _blocks(benchmark, item_id, item_text, max_chars)[1]:
+        blob = pickle.dumps(part)
+
+        def make(blob=blob):
+            matcher = _matcher(blob)
+            return lambda texts: [not matcher.scan(t)[1] for t in texts]
+
+        docs = keep_rows(docs, make, text_col)
+    return docs
+
+
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns from what ``decontaminate`` returns."""
     return found.select(

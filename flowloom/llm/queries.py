@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, quality_nbsvm, quality_rules, sentencepiece_codec, simhash_vptree, token_counts, toxicity_cnn, url_filter
+from . import common, decontaminate, html_extract, quality_nbsvm, quality_rules, sentencepiece_codec, simhash_vptree, suffix_dedup, token_counts, toxicity_cnn, url_filter
 
 
 def op1_sentencepiece(spark, sf_dir):
@@ -13,6 +13,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(common.table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark, sf_dir):
+    return html_extract.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash_vptree.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.digests(decontaminate.decontaminate(docs, benchmark))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.filter_urls(common.table(spark, sf_dir, "pages"))
 
@@ -38,5 +46,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity_cnn.score_toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op4_simhash, op5_decontaminate, op7_url_filter, op8_quality, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_html_extract, op4_simhash, op5_decontaminate, op6_suffix_dedup, op7_url_filter, op8_quality, op9_token_counts, op10_toxicity)}
 ORACLES = {"op7_url_filter": url_filter.ORACLE_SQL}

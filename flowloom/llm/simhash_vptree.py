@@ -249,3 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, fps.fp == of.of_fp).select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each component the row with the
+    smallest id stays (null ids last, the first of repeated rows)."""
+    n = docs.groupBy(id_col).count().agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count(id_col).alias("known")).first()
+    if n.n == n.rows == n.known:
+        near = near_duplicates(docs, id_col, text_col)
+        return docs.join(near.where(F.col(id_col) == F.col("component_id")).select(id_col), id_col, "left_semi").select(*docs.columns)
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    key = F.struct(F.col(f"doc.{id_col}").isNull().alias("unknown"), F.col(f"doc.{id_col}").alias("id"), F.col("row").alias("row"))
+    near = near_duplicates(numbered.select(key.alias("key"), F.col(f"doc.{text_col}").alias("text")), "key", "text")
+    kept = near.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("row"))
+    return numbered.join(kept, "row", "left_semi").select("doc.*")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_text
+from .common import held_out, keep_rows, labelled_sample, map_text
 
 #: Labelled rows that the model is fitted on at most.
 MAX_ROWS = 8_000
@@ -250,10 +250,25 @@ def fit(rows: list[tuple[str, str, int]]) -> Model:
     return model
 
 
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int):
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(base, labels, "toxic", max_rows)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    shared = _model(docs, labels, id_col, text_col, max_rows)
+
+    def make():
+        scorer = Scorer(shared.value)
+        return lambda texts: [scorer.score(t) < THRESHOLD for t in texts]
+
+    return keep_rows(docs, make, text_col)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """``id, held_out, score, predicted`` of every row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(base, labels, "toxic", max_rows)))
+    shared = _model(docs, labels, id_col, text_col, max_rows)
 
     def make():
         scorer = Scorer(shared.value)
