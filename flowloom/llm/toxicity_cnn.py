@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import held_out, keep_rows, labelled_sample, map_text
 
 #: Labelled rows that the model is fitted on at most.
-MAX_ROWS = 8_000
+MAX_ROWS = 4_000
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
-EPOCHS, BATCH, RATE = 8, 64, 0.02
+BATCH, RATE = 64, 0.02
+#: Rows shown in training, repeats counted; few rows are shown more often.
+SHOWN, LEAST_EPOCHS, MOST_EPOCHS = 24_000, 5, 50
 #: Labelled rows of a language, at least, for a threshold of its own.
 LEAST = 60
 THRESHOLD = 0.5
@@ -137,13 +139,15 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def train(texts: list[list[str]], y: np.ndarray, seed: int = 10) -> Model:
+def train(texts: list[str], y: np.ndarray, seed: int = 10) -> Model:
     """Adam on the logistic loss; the rarer class weighs as much as four times its rows at most."""
     random = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    rows = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in t), np.int64, len(t)) for t in texts]
-    flat, at = _ragged([np.array(buckets(w)) for w in vocab])
+    rows = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]
+    flat, at = _ragged([np.array(buckets(w), np.int32) for w in vocab])
     per_word = np.diff(at)
+    del vocab
+    epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, SHOWN // max(1, len(rows))))
     params = {"e": random.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), "b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "o": random.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.array([-1.0], np.float32)}
     for w in WIDTHS:
         params[f"f{w}"] = random.normal(0, 0.5 / math.sqrt(w), (w, SIZE, FILTERS)).astype(np.float32)
@@ -151,8 +155,8 @@ def train(texts: list[list[str]], y: np.ndarray, seed: int = 10) -> Model:
     second = {k: np.zeros_like(v) for k, v in params.items()}
     boost = min(4.0, max(1.0, (y == 0).sum() / max(1, (y == 1).sum())))
     step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = random.permutation(len(rows))
         for s in range(0, len(order), BATCH):
             own = [k for k in order[s : s + BATCH] if len(rows[k])]
@@ -228,7 +232,7 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, str, int]]) -> Model:
-    texts, y = [words(r[1]) for r in rows], np.array([int(r[2] == 1) for r in rows], np.int64)
+    texts, y = [r[1] for r in rows], np.array([int(r[2] == 1) for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         empty = Model(np.zeros((1, SIZE)), [], np.zeros(1), np.zeros(1), 0.0)
         empty.constant = float(len(y) > 0 and y[0] == 1)
@@ -239,9 +243,13 @@ def fit(rows: list[tuple[str, str, int]]) -> Model:
     part = train([t for t, h in zip(texts, test, strict=True) if not h], y[~test])
     model = train(texts, y)
     scorer = Scorer(part if test.any() else model)
-    own = [k for k in range(len(y)) if texts[k] and (test[k] or not test.any())]
-    z = np.array([scorer.margin(scorer.ids(texts[k])) for k in own])
-    of, t = np.array([language(texts[k]) for k in own]), y[own]
+    z, of, t = [], [], []
+    for k in np.flatnonzero(test) if test.any() else range(len(y)):
+        if own := words(texts[k]):
+            z.append(scorer.margin(scorer.ids(own)))
+            of.append(language(own))
+            t.append(y[k])
+    z, of, t = np.array(z), np.array(of), np.array(t)
     common = threshold(z, t)
     for k in range(len(LANGUAGES)):
         mine = of == k
