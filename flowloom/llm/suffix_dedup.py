@@ -39,9 +39,9 @@ from .quality_rules import mix
 K = 50
 GRAM = 20
 #: Bytes of text worked on at once; a longer document is cut into pieces that overlap.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Runs that a task packs together.
-PACK = 1_500_000
+PACK = 400_000
 #: Parts by anchor and by document for each partition of the input.
 PARTS = 2
 
