@@ -28,7 +28,11 @@ def rates_at(seconds: DataFrame, keys: list[str], tick: int, values: tuple[str,
     recent = seconds.where((F.col("sec") < tick) & (F.col("sec") >= tick - FADES))
     slots = recent.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.struct("sec", v))).alias(v) for v in values], F.min("sec").alias("__s"))
     axis = F.sequence(F.col("__s"), F.lit(tick - 1).cast("bigint"))
-    return slots.select(*keys, *[ewma(F.transform(axis, lambda s, v=v: F.coalesce(F.try_element_at(F.col(v), s), F.lit(0)))).alias(f"rate_{v}") for v in values])
+
+    def rate(value: str):
+        return ewma(F.transform(axis, lambda s: F.coalesce(F.try_element_at(F.col(value), s), F.lit(0))))
+
+    return slots.select(*keys, *[rate(v).alias(f"rate_{v}") for v in values])
 
 
 def grouped(flows: DataFrame, name: str, detail: str, tick: int) -> DataFrame:

@@ -1,4 +1,570 @@
-"""Every registered query of the traffic engine and its DuckDB oracle."""
+"""Every registered query of the traffic engine and its DuckDB oracle.
+
+The driver's tables hold no packets, so relational operators run over packets projected from
+``events`` (``sources.projection``), payload operators over pages, documents and conversations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import DetectorConfig
+from .functions import addresses, formats, names, services
+from .operators import detectors, filters, folds, naming, owners, rates, series, signatures
+from .sources import projection, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+P0 = projection.oracle_cte()
+P0_HOLES = projection.oracle_cte(holes=True)
+#: Local addresses of the projected packets; 192.168.1.12 is not among them.
+LOCAL = ("192.168.1.10", "192.168.1.11")
+_SCAN, _FLOOD = DetectorConfig(scan_ports=5), DetectorConfig(flood_rate=1.5)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _packets(spark, sf_dir, holes=False) -> DataFrame:
+    return projection.packets(spark, sf_dir, holes)
+
+
+# Functions
+
+
+@query(f"""{P0}, x as (select pkt_no, cast((pkt_no * 37 + v) % 256 as int) o1, cast((pkt_no * 11 + user_id) % 256 as int) o2, cast(v % 256 as int) o3, cast(user_id % 256 as int) o4 from p0),
+y as (select *, o1::varchar || '.' || o2 || '.' || o3 || '.' || o4 as ip from x)
+select pkt_no, ip, o1 = 127 as loopback, o1 in (10, 127) or (o1 = 172 and o2 between 16 and 31) or (o1 = 192 and o2 = 168) or (o1 = 169 and o2 = 254) or (o1 = 100 and o2 between 64 and 127) as private,
+  o1 between 224 and 239 or (o1 = 255 and o2 = 255 and o3 = 255 and o4 = 255) as multicast from y""")
+def f6_is_private(spark, sf_dir):
+    """F1, F5-F7 on IPv4 addresses made from the packets."""
+    octet = [F.expr(e) for e in ("(pkt_no * 37 + v) % 256", "(pkt_no * 11 + user_id) % 256", "v % 256", "user_id % 256")]
+    ip = F.concat_ws(".", *[o.cast("int").cast("string") for o in octet])
+    rows = _packets(spark, sf_dir).select("pkt_no", ip.alias("ip")).withColumn("raw", addresses.ipv4_bytes(F.col("ip")))
+    raw = F.col("raw")
+    return rows.select("pkt_no", "ip", addresses.is_loopback(raw).alias("loopback"), addresses.is_private(raw).alias("private"), addresses.is_multicast_or_broadcast(raw).alias("multicast"))
+
+
+@query(f"""{P0} select pkt_no, case when reply then '192.168.1.' || (user_id % 3 + 10) else src end as sender,
+  (case when reply then dst else src end) in ('192.168.1.10', '192.168.1.11') as sender_local from p0""")
+def f8_is_local(spark, sf_dir):
+    sender = F.when(F.col("reply"), F.col("dst")).otherwise(F.col("src"))
+    local = tuple(addresses.parse_ip_text(a) for a in LOCAL)
+    return _packets(spark, sf_dir).select("pkt_no", sender.alias("sender"), addresses.is_local(addresses.ipv4_bytes(sender), local).alias("sender_local"))
+
+
+@query(f"""{P0}, d as (select pkt_no, proto, case when reply then dst else src end s, case when reply then svc_port else sport end sp, case when reply then src else dst end d, case when reply then sport else svc_port end dp from p0)
+select pkt_no, src_is_a, case when src_is_a then s else d end as a, case when src_is_a then sp else dp end as pa, case when src_is_a then d else s end as b, case when src_is_a then dp else sp end as pb
+from (select *, (split_part(s, '.', 1)::int, split_part(s, '.', 2)::int, split_part(s, '.', 3)::int, split_part(s, '.', 4)::int, sp) <= (split_part(d, '.', 1)::int, split_part(d, '.', 2)::int, split_part(d, '.', 3)::int, split_part(d, '.', 4)::int, dp) as src_is_a from d) q""")
+def f9_flow_key(spark, sf_dir):
+    d = _directed(_packets(spark, sf_dir))
+    key, from_src = addresses.flow_key(addresses.ipv4_bytes(F.col("s")), F.col("sp"), addresses.ipv4_bytes(F.col("d")), F.col("dp"), F.col("proto"))
+    side = lambda x, y: F.when(from_src, F.col(x)).otherwise(F.col(y))
+    return d.select("pkt_no", from_src.alias("src_is_a"), side("s", "d").alias("a"), key["pa"].alias("pa"), side("d", "s").alias("b"), key["pb"].alias("pb"))
+
+
+def _directed(p: DataFrame) -> DataFrame:
+    """Every third packet is a reply: ``s, sp`` to ``d, dp``."""
+    either = lambda x, y, n: F.when(F.col("reply"), F.col(x)).otherwise(F.col(y)).alias(n)
+    return p.select("*", either("dst", "src", "s"), either("svc_port", "sport", "sp"), either("src", "dst", "d"), either("sport", "svc_port", "dp"))
+
+
+_SERVICE_SQL = """case when proto = 6 then case when port in (443, 8443, 853) then 'TLS' when port in (80, 8080, 8000) then 'HTTP' when port = 53 then 'DNS' when port = 22 then 'SSH'
+    when port in (5223, 5228) then 'Push' when port in (25, 465, 587, 143, 993, 110, 995) then 'Mail' when port in (445, 139) then 'SMB' when port = 1194 then 'VPN' else 'TCP' end
+  when proto = 17 then case when port = 443 then 'QUIC' when port = 53 then 'DNS' when port = 5353 then 'mDNS' when port = 123 then 'NTP' when port in (67, 68, 546, 547) then 'DHCP' when port = 1900 then 'SSDP'
+    when port in (3478, 3479, 19302, 19305) then 'STUN' when port in (51820, 500, 4500, 1194) then 'VPN' else 'UDP' end when proto in (1, 58) then 'ICMP' else 'Other' end"""
+
+
+@query(f"""{P0}, q as (select pkt_no, (array[6, 17, 1, 47])[1 + pkt_no % 4] as proto, (array[443, 8443, 853, 80, 8080, 8000, 53, 22, 5223, 5228, 25, 465, 587, 143, 993, 110, 995, 445, 139, 1194, 5353, 123, 67, 546, 1900, 3478, 19305, 51820, 500, 4500, 9999, 0])[1 + v % 32] as port from p0)
+select pkt_no, proto, port, {_SERVICE_SQL} as service, port <> 0 and (port < 1024 or {_SERVICE_SQL} not in ('TCP', 'UDP')) as is_service from q""")
+def f10_service(spark, sf_dir):
+    protos = F.array(*map(F.lit, (6, 17, 1, 47)))
+    ports = F.array(*map(F.lit, (443, 8443, 853, 80, 8080, 8000, 53, 22, 5223, 5228, 25, 465, 587, 143, 993, 110, 995, 445, 139, 1194, 5353, 123, 67, 546, 1900, 3478, 19305, 51820, 500, 4500, 9999, 0)))
+    q = _packets(spark, sf_dir).select("pkt_no", F.get(protos, (F.col("pkt_no") % 4).cast("int")).alias("proto"), F.get(ports, (F.col("v") % 32).cast("int")).alias("port"))
+    return q.select("*", services.classify_port(F.col("proto"), F.col("port")).alias("service"), services.is_service_port(F.col("proto"), F.col("port")).alias("is_service"))
+
+
+@query("""select page_id, regexp_extract(lower(regexp_extract('GET / HTTP/1.1' || chr(10) || 'Host: ' || split_part(split_part(url, '://', 2), '/', 1) || chr(13) || chr(10), 'Host: ([^\r\n:]*)', 1)), '^[a-z0-9._-]+$') as host,
+  page_id % 3 = 0 as is_http from pages""")
+def f13_http_host(spark, sf_dir):
+    """F12 and F13 on requests made from page URLs."""
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    method = F.when(F.col("page_id") % 3 == 0, "GET").otherwise("FETCH")
+    request = F.concat(method, F.lit(" / HTTP/1.1\nHost: "), host, F.lit("\r\n")).cast("binary")
+    return _table(spark, sf_dir, "pages").select("page_id", names.http_host(request).alias("host"), names.is_http_request(request).alias("is_http"))
+
+
+@query(f"""{P0} select pkt_no, format('{{:,}}', v * 1000 + pkt_no) as shown, strftime(make_timestamp(ts_usec), '%H:%M:%S') as clock, strftime(make_timestamp(ts_usec), '%Y-%m-%dT%H:%M:%S.%gZ') as iso from p0""")
+def f20_formats(spark, sf_dir):
+    """counts and times as text."""
+    p = _packets(spark, sf_dir)
+    return p.select("pkt_no", formats.format_count(F.col("v") * 1000 + F.col("pkt_no")).alias("shown"), formats.format_clock(F.col("ts_usec")).alias("clock"), formats.format_iso_utc(F.col("ts_usec")).alias("iso"))
+
+
+@query("""select c_custkey, case when c_custkey % 3 = 0 then '/Applications/' || c_mktsegment || '.app/Contents/MacOS/' || lower(c_mktsegment) when c_custkey % 3 = 1 then '/Applications/' || c_mktsegment || '.app/Contents/Developer/usr/bin/git' else '/usr/bin/' || c_name end as path,
+  case when c_custkey % 3 = 0 then c_mktsegment when c_custkey % 3 = 1 then 'git' else c_name end as app from customer""")
+def f25_app_names(spark, sf_dir):
+    k, seg = F.col("c_custkey") % 3, F.col("c_mktsegment")
+    path = F.when(k == 0, F.concat(F.lit("/Applications/"), seg, F.lit(".app/Contents/MacOS/"), F.lower(seg))).when(k == 1, F.concat(F.lit("/Applications/"), seg, F.lit(".app/Contents/Developer/usr/bin/git"))).otherwise(F.concat(F.lit("/usr/bin/"), "c_name"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", path.alias("path"), names.app_name_from_path(path).alias("app"))
+
+
+# Filters and predicates
+
+
+@query(f"""{P0} select pkt_no, src, dst, svc_port from p0 where flags & 18 = 2 and proto = 6""")
+def d10_attempts(spark, sf_dir):
+    from .decode.link import is_attempt
+
+    return _packets(spark, sf_dir).where(is_attempt(F.col("flags"), F.col("proto"))).select("pkt_no", "src", "dst", "svc_port")
+
+
+@query(f"""{P0} select pkt_no, wire_len from p0 where (proto = 6 and (sport = 443 or svc_port = 443) or src = '10.0.0.2') and not (split_part(dst, '.', 4)::int between 12 and 15 and dst like '192.168.1.%')""")
+def s4_capture_filter(spark, sf_dir):
+    p = _packets(spark, sf_dir).withColumn("dport", F.col("svc_port"))
+    return filters.apply_filter(p, "(tcp port 443 or src host 10.0.0.2) and not dst net 192.168.1.12/30").select("pkt_no", "wire_len")
+
+
+@query(f"""{P0}, s as (select max(ts_usec) - min(ts_usec) + 1000000 as span, max(pkt_no) + 1 as n from p0)
+select pkt_no + r * n as pkt_no, ts_usec + r * span as ts_usec, wire_len from p0, s, (select unnest(range(0, 3)) as r) t""")
+def s12_repeat(spark, sf_dir):
+    return text.repeat_packets(_packets(spark, sf_dir).select("pkt_no", "ts_usec", "wire_len"), 3)
+
+
+# Counters and series
+
+
+def _annotated(spark, sf_dir) -> DataFrame:
+    """Projected packets with direction and service, as if every third were a reply."""
+    p = _directed(_packets(spark, sf_dir))
+    local = tuple(addresses.parse_ip_text(a) for a in LOCAL)
+    s, d = (addresses.is_local(addresses.ipv4_bytes(F.col(c)), local) for c in ("s", "d"))
+    out = series.is_outbound(F.col("decode_status"), F.col("fragment"), s, d, F.col("reply"))
+    plain = (F.col("decode_status") == "Ok") & ~F.col("fragment")
+    return p.withColumn("outbound", out).withColumn("service", F.when(plain, services.classify_port(F.col("proto"), F.col("svc_port"))))
+
+
+_ANNOTATED = f"""{P0}, an as (select *, case when decode_status <> 'Ok' then false when fragment then (case when reply then dst else src end) in ('192.168.1.10', '192.168.1.11') and (case when reply then src else dst end) not in ('192.168.1.10', '192.168.1.11') else reply end as outbound,
+  case when decode_status <> 'Ok' or fragment then 'Other' when proto = 6 then case svc_port when 80 then 'HTTP' when 443 then 'TLS' else 'SSH' end else case svc_port when 443 then 'QUIC' else 'UDP' end end as service from p0)"""
+_PER_SECOND = "ps as (select ts_usec // 1000000 as sec, cast(sum(case when outbound then 0 else wire_len end) as bigint) as bytes_in, cast(sum(case when outbound then wire_len else 0 end) as bigint) as bytes_out, count(*) as packets from an group by 1)"
+
+
+@query(f"""{P0} select count(*) as packets, cast(sum(wire_len) as bigint) as bytes, count(*) filter (decode_status = 'NotIp') as not_ip, count(*) filter (decode_status = 'Malformed') as malformed from p0""")
+def a1_counters(spark, sf_dir):
+    return series.counters(_packets(spark, sf_dir))
+
+
+@query(f"{_ANNOTATED}, {_PER_SECOND} select * from ps")
+def a2_per_second(spark, sf_dir):
+    return series.per_second(_annotated(spark, sf_dir))
+
+
+_GAPS = _ANNOTATED.replace("from p0)", "from p0 where (event_id // 400) % 5 <> 3)")
+
+
+@query(f"""{_GAPS}, {_PER_SECOND}, axis as (select unnest(range((select min(sec) from ps), (select max(sec) from ps) + 1)) as sec)
+select sec, coalesce(bytes_in, 0) as bytes_in, coalesce(bytes_out, 0) as bytes_out, coalesce(packets, 0) as packets from axis left join ps using (sec)""")
+def a3_gap_fill(spark, sf_dir):
+    return series.gap_fill(series.per_second(_annotated(spark, sf_dir).where("(event_id div 400) % 5 <> 3")))
+
+
+@query(f"{_ANNOTATED} select ts_usec // 1000000 as sec, service, cast(sum(wire_len) as bigint) as bytes from an group by 1, 2")
+def a4_service_second(spark, sf_dir):
+    return series.service_second(_annotated(spark, sf_dir))
+
+
+@query(f"""{P0} select src, dst, sport, cast(sum(wire_len) as bigint) as bytes, count(*) as packets, min(ts_usec) as first_usec, max(ts_usec) as last_usec from p0 group by 1, 2, 3""")
+def a5_flow_totals(spark, sf_dir):
+    return _packets(spark, sf_dir).groupBy("src", "dst", "sport").agg(F.sum("wire_len").cast("bigint").alias("bytes"), F.count("*").alias("packets"), F.min("ts_usec").alias("first_usec"), F.max("ts_usec").alias("last_usec"))
+
+
+@query(f"""{_ANNOTATED}, ss as (select ts_usec // 1000000 as sec, service, sum(wire_len) as bytes from an group by 1, 2), t as (select service, cast(sum(bytes) as bigint) as bytes from ss where sec > (select max(sec) from ss) - 60 group by 1)
+select service, bytes, round(bytes / sum(bytes) over (), 6) as share from t""")
+def a8_service_share(spark, sf_dir):
+    return series.service_share(series.service_second(_annotated(spark, sf_dir)))
+
+
+@query(f"""{_ANNOTATED}, {_PER_SECOND} select sec, bytes_in, cast(sum(bytes_in) over (order by sec rows between 59 preceding and current row) as bigint) as bytes_in_60 from ps""")
+def w5_trailing_sum(spark, sf_dir):
+    return series.trailing_sum(series.per_second(_annotated(spark, sf_dir)).select("sec", "bytes_in"), "bytes_in", 60)
+
+
+@query(f"""{P0}, s as (select ts_usec // 1000000 as sec, cast(sum(wire_len) as bigint) as bytes from p0 group by 1), w as (select *, list(bytes) over (order by sec rows between 300 preceding and 1 preceding) as h from s),
+m as (select *, list_sort(h)[len(h) // 2 + 1] as median from w) select sec, bytes, median, list_sort([abs(x - median) for x in h])[len(h) // 2 + 1] as mad from m where h is not null""")
+def a11_upper_median_mad(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    s = _packets(spark, sf_dir).groupBy(series.second(F.col("ts_usec")).alias("sec")).agg(F.sum("wire_len").cast("bigint").alias("bytes"))
+    w = s.withColumn("h", F.collect_list("bytes").over(W.orderBy("sec").rowsBetween(-300, -1))).where(F.size("h") > 0).withColumn("median", folds.upper_median(F.col("h")))
+    return w.select("sec", "bytes", "median", folds.upper_mad(F.col("h"), F.col("median")).alias("mad"))
+
+
+@query(f"""{P0} select src, dst, count(distinct dport) as ports, cast(sum(last_ts % 1000003) as bigint) as check_sum from (select src, dst, dport, max(ts_usec) as last_ts from p0 where flags = 2 group by 1, 2, 3) q group by 1, 2""")
+def a9_distinct_ports(spark, sf_dir):
+    latest = _packets(spark, sf_dir).where("flags = 2").groupBy("src", "dst", "dport").agg(F.max("ts_usec").alias("last_ts"))
+    return latest.groupBy("src", "dst").agg(F.count("*").alias("ports"), F.sum(F.col("last_ts") % 1000003).cast("bigint").alias("check_sum"))
+
+
+@query(f"""{P0} select dst, svc_port as dport, ts_usec // 1000000 as sec, cast(count(*) filter (flags = 2) as bigint) as attempts, cast(count(*) filter (flags = 24 and event_id % 10 = 0) as bigint) as completed
+from p0 where flags = 2 or (flags = 24 and event_id % 10 = 0) group by 1, 2, 3""")
+def a10_flood_seconds(spark, sf_dir):
+    return detectors.flood_seconds(*_flood_input(spark, sf_dir, False))
+
+
+# Detectors
+
+
+_LIVES = """l as (select *, sum(case when sec - prev <= {window} then 0 else 1 end) over (partition by {keys} order by sec rows unbounded preceding) as life from (select {keys}, sec, lag(sec) over (partition by {keys} order by sec) as prev from (select distinct {keys}, sec from s) q) r)"""
+_COOL = """c as (select row_number() over (partition by {keys}, life order by tick) as k, * from cand),
+g as (select {keys}, life, k, tick, tick as emitted, true as fires from c where k = 1 union all
+  select c.{first}, {rest}c.life, c.k, c.tick, case when c.tick - g.emitted >= 60 then c.tick else g.emitted end, c.tick - g.emitted >= 60 from g join c on c.life = g.life and c.k = g.k + 1 and {same})"""
+
+
+def _scan_sql(cte: str) -> str:
+    cool = _COOL.format(keys="src, dst", first="src", rest="c.dst, ", same="c.src = g.src and c.dst = g.dst")
+    return f"""{cte}, s as (select src, dst, dport, ts_usec // 1000000 as sec, max(ts_usec) as last_ts from p0 where flags = 2 group by 1, 2, 3, 4), {_LIVES.format(window=10, keys="src, dst")},
+t as (select s.src, s.dst, l.life, s.sec + d as tick, dport, max(last_ts) as last_ts from s join l on s.src = l.src and s.dst = l.dst and s.sec = l.sec, (select unnest(range(1, 11)) as d) q group by 1, 2, 3, 4, 5),
+cand as (select src, dst, life, tick, count(*) as n_ports, min(last_ts) as first_ts, max(last_ts) as last_ts from t group by 1, 2, 3, 4 having count(*) >= 5), {cool}
+select cand.src, cand.dst, cand.tick, n_ports, first_ts, last_ts from cand join g on g.fires and g.src = cand.src and g.dst = cand.dst and g.life = cand.life and g.tick = cand.tick"""
+
+
+@query(_scan_sql(P0))
+def x1_port_scan(spark, sf_dir):
+    return detectors.port_scans(_packets(spark, sf_dir).where("flags = 2"), _SCAN)
+
+
+@query(_scan_sql(P0_HOLES))
+def x1_port_scan_rearmed(spark, sf_dir):
+    """The same with holes of 20 seconds, after which a pair's cooldown is forgotten."""
+    return detectors.port_scans(_packets(spark, sf_dir, holes=True).where("flags = 2"), _SCAN)
+
+
+def _flood_input(spark, sf_dir, holes) -> tuple[DataFrame, DataFrame]:
+    p = _packets(spark, sf_dir, holes).withColumn("dport", F.col("svc_port"))
+    return p.where("flags = 2"), p.where("flags = 24 and event_id % 10 = 0")
+
+
+def _flood_sql(cte: str) -> str:
+    cool = _COOL.format(keys="dst, dport", first="dst", rest="c.dport, ", same="c.dst = g.dst and c.dport = g.dport")
+    return f"""{cte}, s as (select dst, svc_port as dport, ts_usec // 1000000 as sec, count(*) filter (flags = 2) as a, count(*) filter (flags = 24) as d from p0 where flags = 2 or (flags = 24 and event_id % 10 = 0) group by 1, 2, 3), {_LIVES.format(window=5, keys="dst, dport")},
+cand as (select s.dst, s.dport, l.life, s.sec + k as tick, cast(sum(a) as bigint) as attempts, cast(sum(d) as bigint) as completed, max(s.sec) - min(s.sec) + 1 as busy from s join l on s.dst = l.dst and s.dport = l.dport and s.sec = l.sec, (select unnest(range(1, 6)) as k) q
+  group by 1, 2, 3, 4 having sum(a) / 5.0 >= 1.5 and sum(d) < 0.2 * sum(a)), {cool}
+select cand.dst, cand.dport, cand.tick, attempts, completed, busy from cand join g on g.fires and g.dst = cand.dst and g.dport = cand.dport and g.life = cand.life and g.tick = cand.tick"""
+
+
+@query(_flood_sql(P0))
+def x2_syn_flood(spark, sf_dir):
+    return detectors.syn_floods(*_flood_input(spark, sf_dir, False), _FLOOD)
+
+
+@query(_flood_sql(P0_HOLES))
+def x2_syn_flood_rearmed(spark, sf_dir):
+    return detectors.syn_floods(*_flood_input(spark, sf_dir, True), _FLOOD)
+
+
+_SPIKE = f"""{P0}, s as (select ts_usec // 1000000 as sec, cast(sum(burst_len) as bigint) as bytes from p0 group by 1), x as (select *, ln(1 + bytes) as x from s),
+w as (select *, list(x) over (order by sec rows between 300 preceding and 1 preceding) as h from x), m as (select *, list_sort(h)[len(h) // 2 + 1] as median from w),
+d as (select *, list_sort([abs(y - median) for y in h])[len(h) // 2 + 1] as mad from m), z as (select *, (x - median) / greatest(1.4826 * mad, 0.25) as z from d),
+hi as (select *, coalesce(len(h) >= 60 and z >= 4 and bytes >= 1000000, false) as high from z)"""
+
+
+@query(f"{_SPIKE} select sec, bytes, coalesce(len(h), 0) as seen, round(median, 6) as median, round(mad, 6) as mad, round(z, 6) as z, high from hi")
+def x3_spike_scores(spark, sf_dir):
+    scores = detectors.spike_scores(_burst(spark, sf_dir), "bytes_in")
+    return scores.select("sec", "bytes", F.col("seen").cast("bigint").alias("seen"), *[F.round(c, 6).alias(c) for c in ("median", "mad", "z")], "high")
+
+
+def _burst(spark, sf_dir) -> DataFrame:
+    return series.gap_fill(series.per_second(_packets(spark, sf_dir).withColumn("wire_len", F.col("burst_len")).withColumn("outbound", F.lit(False))))
+
+
+@query(f"""{_SPIKE}, r as (select *, sum(case when high then 0 else 1 end) over (order by sec) as run from hi), n as (select *, row_number() over (partition by run, high order by sec) as k from r),
+t as (select row_number() over (order by sec) as i, sec + 1 as tick, bytes, median, z from n where high and k = 3), g as (select i, tick, tick as emitted, true as fires from t where i = 1 union all select t.i, t.tick, case when t.tick - g.emitted >= 300 then t.tick else g.emitted end, t.tick - g.emitted >= 300 from g join t on t.i = g.i + 1)
+select t.tick, bytes, round(median, 6) as median, round(z, 6) as z from t join g on g.fires and g.tick = t.tick""")
+def x3_spike(spark, sf_dir):
+    return detectors.spikes(_burst(spark, sf_dir), "bytes_in").select("tick", "bytes", F.round("median", 6).alias("median"), F.round("z", 6).alias("z"))
+
+
+@query(f"""{P0}, e as (select distinct src, dst, ts_usec // 1000000 as sec from p0 where flags = 2), c as (select *, row_number() over (partition by src, dst order by sec) as k from e),
+g as (select src, dst, k, sec, sec as emitted, true as fires from c where k = 1 union all select c.src, c.dst, c.k, c.sec, case when c.sec - g.emitted >= 60 then c.sec else g.emitted end, c.sec - g.emitted >= 60 from g join c on c.src = g.src and c.dst = g.dst and c.k = g.k + 1)
+select src, dst, sec from g where fires""")
+def t10_cooldown(spark, sf_dir):
+    e = _packets(spark, sf_dir).where("flags = 2").select("src", "dst", series.second(F.col("ts_usec")).alias("sec"))
+    return folds.cooldown(e, ["src", "dst"], "sec", 60)
+
+
+@query(f"select count(*) as alerts, kind from (select 'port_scan' as kind from ({_scan_sql(P0)}) a union all select 'syn_flood' from ({_flood_sql(P0)}) b) u group by kind")
+def u1_alert_union(spark, sf_dir):
+    both = detectors.alert_union(detectors.scan_alerts(x1_port_scan(spark, sf_dir)), detectors.flood_alerts(x2_syn_flood(spark, sf_dir)))
+    return both.groupBy("kind").agg(F.count("*").alias("alerts"))
+
+
+# Folds and sessions
+
+
+@query(f"""{P0}, q as (select pkt_no, src, dst, sport, case when (ts_usec // 1000000) * 1000000 - lag(ts_usec) over (partition by src, dst, sport order by ts_usec, pkt_no) > 2000000 then 1 else 0 end as n from p0)
+select pkt_no, cast(sum(n) over (partition by src, dst, sport order by pkt_no) as bigint) as session from q""")
+def t2_udp_sessions(spark, sf_dir):
+    return folds.session_ids(_packets(spark, sf_dir), ["src", "dst", "sport"], "ts_usec", ["ts_usec", "pkt_no"], 2).select("pkt_no", "session")
+
+
+@query(f"""{P0}, b as (select src, ts_usec // 1000000 as sec, cast(sum(wire_len) as bigint) as bytes from p0 group by 1, 2), last as (select max(sec) + 1 as tick from b), r as (select b.* from b, last where sec >= tick - 64), lo as (select src, min(sec) as s from r group by 1),
+g as (select lo.src, s as sec, case when coalesce(r.bytes, 0) * 0.5 < 1 then 0.0::double else r.bytes * 0.5::double end as rate from lo left join r on r.src = lo.src and r.sec = lo.s union all
+  select g.src, g.sec + 1, case when g.rate * 0.5 + coalesce(r.bytes, 0) * 0.5 < 1 then 0.0::double else g.rate * 0.5 + coalesce(r.bytes, 0) * 0.5 end from g join last on g.sec + 1 < last.tick left join r on r.src = g.src and r.sec = g.sec + 1)
+select g.src, round(rate, 6) as rate from g, last where sec = tick - 1""")
+def t9_ewma(spark, sf_dir):
+    p = _packets(spark, sf_dir)
+    seconds = p.groupBy("src", series.second(F.col("ts_usec")).alias("sec")).agg(F.sum("wire_len").cast("bigint").alias("bytes"))
+    tick = p.agg(F.max(series.second(F.col("ts_usec"))).alias("s")).first().s + 1
+    return rates.rates_at(seconds, ["src"], tick, ("bytes",)).select("src", F.round("rate_bytes", 6).alias("rate"))
+
+
+@query(f"""{P0}, c as (select pkt_no, (ts_usec // 1000000) - case when pkt_no % 700 = 699 then 500 else 0 end as sec from p0), e as (select row_number() over (order by pkt_no) as k, * from c), g as (select k, pkt_no, sec + 1 as tick, 0 as epoch from e where k = 1 union all
+  select e.k, e.pkt_no, case when e.sec < g.tick - 10 then e.sec + 1 else greatest(g.tick, e.sec + 1) end, g.epoch + case when e.sec < g.tick - 10 then 1 else 0 end from g join e on e.k = g.k + 1) select pkt_no, epoch from g""")
+def t1_clock_epochs(spark, sf_dir):
+    """A clock that jumps back 500 seconds at every 700th packet, and forward again."""
+    back = F.when(F.col("pkt_no") % 700 == 699, 500_000_000).otherwise(0)
+    return folds.clock_epochs(_packets(spark, sf_dir).select("pkt_no", (F.col("ts_usec") - back).alias("ts_usec"))).select("pkt_no", "epoch")
+
+
+# Names and lookups
+
+
+def _signups(spark, sf_dir) -> DataFrame:
+    host = F.concat(F.lit("host"), (F.col("user_id") % 7).cast("string"), F.lit(".example"))
+    return _packets(spark, sf_dir).where("flags = 18").select(F.col("dst").alias("addr"), host.alias("name"), "ts_usec", "pkt_no", "user_id")
+
+
+@query(f"""{P0}, dns as (select dst as addr, 'host' || (user_id % 7) || '.example' as name, ts_usec from p0 where flags = 18) select p.pkt_no, p.dst as addr, d.name from p0 p asof left join dns d on p.dst = d.addr and p.ts_usec >= d.ts_usec""")
+def j1_asof_name(spark, sf_dir):
+    left = _packets(spark, sf_dir).select("pkt_no", F.col("dst").alias("addr"), "ts_usec")
+    return naming.asof_name(left, _signups(spark, sf_dir).drop("user_id")).select("pkt_no", "addr", "name")
+
+
+@query(f"""{P0}, f as (select src || dst || sport as flow_id, dst as addr, min(ts_usec) as first_ts, max(ts_usec) // 1000000 + 1 as last_tick from p0 where flags <> 18 group by all), dns as (select dst as addr, ts_usec // 1000000 + 1 as tick, max_by('host' || (user_id % 7) || '.example', ts_usec) as name from p0 where flags = 18 group by all),
+b as (select flow_id, name, first_ts // 1000000 + 1 as tick from f asof join dns on f.addr = dns.addr and f.first_ts // 1000000 + 1 >= dns.tick), a as (select f.flow_id, min_by(name, tick) as name, min(tick) as tick from f join dns on f.addr = dns.addr and dns.tick > f.first_ts // 1000000 + 1 and dns.tick <= f.last_tick where f.flow_id not in (select flow_id from b) group by 1)
+select * from b union all select * from a""")
+def j2_late_name(spark, sf_dir):
+    p = _packets(spark, sf_dir).where("flags <> 18")
+    flow = F.concat("src", "dst", F.col("sport").cast("string"))
+    f = p.groupBy(flow.alias("flow_id"), F.col("dst").alias("addr")).agg(F.min("ts_usec").alias("first_ts"), (series.second(F.max("ts_usec")) + 1).alias("last_tick"))
+    return naming.late_name(f, _signups(spark, sf_dir).drop("user_id"))
+
+
+@query(f"""{P0}, n as (select src, sport, case when v % 5 = 0 then '' else 'h' || (v % 9) end as host, 2 + v % 3 as source, ts_usec, pkt_no from p0) select src, sport, host, cast(source as int) as host_source from n where host <> '' qualify row_number() over (partition by src, sport order by source desc, ts_usec desc, pkt_no desc) = 1""")
+def j3_best_name(spark, sf_dir):
+    n = _packets(spark, sf_dir).select("src", "sport", F.when(F.col("v") % 5 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("v") % 9).cast("string"))).alias("host"), (2 + F.col("v") % 3).cast("int").alias("source"), "ts_usec", "pkt_no")
+    return naming.best_name(n, ["src", "sport"])
+
+
+@query(f"""{P0}, e as (select row_number() over (order by ts_usec, pkt_no) as k, ts_usec, pkt_no, 'n' || (event_id // 7 % 3) as name, case event_id % 4 when 0 then 0 when 3 then 2 else 3 end as rcode from p0 where event_id % 3 <> 1),
+g as (select k, ts_usec, name, ts_usec as since, rcode = 3 as failed, k as head from e where k = 1 union all
+  select e.k, e.ts_usec, e.name, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.since else e.ts_usec end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.failed and e.rcode <> 0 else e.rcode = 3 end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.head else e.k end from g join e on e.k = g.k + 1)
+select max(since) as ts_usec, name, arg_max(failed, k) as failed from g group by head, name""")
+def t12_lookup_dedupe(spark, sf_dir):
+    code = F.when(F.col("event_id") % 4 == 0, 0).when(F.col("event_id") % 4 == 3, 2).otherwise(3)
+    rows = _packets(spark, sf_dir).where("event_id % 3 <> 1").select("ts_usec", "pkt_no", F.expr("'n' || cast(event_id div 7 % 3 as string)").alias("name"), F.lit(1).alias("qtype"), code.alias("rcode"))
+    return naming.dedupe_lookups(rows).select("ts_usec", "name", "failed")
+
+
+# Owners
+
+
+def _flows_to_own(spark, sf_dir) -> DataFrame:
+    return _packets(spark, sf_dir).groupBy(F.lit("tcp").alias("proto"), F.col("src").alias("local_addr"), F.col("sport").alias("local_port"), F.col("dst").alias("remote_addr"), F.col("svc_port").alias("remote_port")).agg(F.min("pkt_no").alias("flow_id"))
+
+
+_FLOWS_SQL = "f as (select 'tcp' as proto, src as local_addr, sport as local_port, dst as remote_addr, svc_port as remote_port, min(pkt_no) as flow_id from p0 group by all)"
+
+
+@query(f"""{P0}, {_FLOWS_SQL}, o as (select 40000 + c_custkey as local_port, '10.0.0.' || (c_custkey % 4 + 1) as local_addr, case when c_custkey % 2 = 0 then '192.168.1.' || (c_custkey % 3 + 10) else '0.0.0.0' end as remote_addr, case when c_custkey % 2 = 0 then (case c_custkey % 3 when 0 then 80 when 1 then 443 else 22 end) else 0 end as remote_port, c_mktsegment as app from customer)
+select f.flow_id, coalesce(e.app, b.app) as app from f left join o e on e.local_port = f.local_port and e.local_addr = f.local_addr and e.remote_addr = f.remote_addr and e.remote_port = f.remote_port
+left join o b on b.remote_port = 0 and b.local_port = f.local_port and b.local_addr = f.local_addr""")
+def j4_owner_exact_fallback(spark, sf_dir):
+    c, even = _table(spark, sf_dir, "customer"), F.col("c_custkey") % 2 == 0
+    port = F.when(F.col("c_custkey") % 3 == 0, 80).when(F.col("c_custkey") % 3 == 1, 443).otherwise(22)
+    o = c.select(F.lit("tcp").alias("proto"), F.concat(F.lit("10.0.0."), (F.col("c_custkey") % 4 + 1).cast("string")).alias("local_addr"), (40000 + F.col("c_custkey")).cast("int").alias("local_port"),
+                 F.when(even, F.concat(F.lit("192.168.1."), (F.col("c_custkey") % 3 + 10).cast("string"))).otherwise("0.0.0.0").alias("remote_addr"), F.when(even, port).otherwise(0).alias("remote_port"), F.col("c_mktsegment").alias("app"))
+    return owners.exact_owner(_flows_to_own(spark, sf_dir), o).select("flow_id", "app")
+
+
+_SOCKETS = """select c_custkey as entry_id, 40000 + c_custkey % 50 as local_port, case c_custkey % 3 when 0 then '0.0.0.0' else '10.0.0.' || (c_custkey % 4 + 1) end as la, case c_custkey % 5 when 0 then '192.168.1.' || (c_custkey % 3 + 10) when 1 then '9.9.9.9' else '0.0.0.0' end as ra,
+  case c_custkey % 5 when 0 then (case c_custkey % 3 when 0 then 80 when 1 then 443 else 22 end) when 1 then 1 else 0 end as rp, c_mktsegment as app from customer"""
+
+
+@query(f"""{P0}, {_FLOWS_SQL}, s as ({_SOCKETS}), m as (select f.flow_id, s.app, entry_id, case when ra = f.remote_addr and rp = f.remote_port then 3 when ra = '0.0.0.0' and rp = 0 then case when la = '0.0.0.0' then 1 else 2 end end as score from f join s on s.local_port = f.local_port and (la = '0.0.0.0' or la = f.local_addr)),
+best as (select flow_id, app from m where score is not null qualify row_number() over (partition by flow_id order by score desc, entry_id) = 1) select f.flow_id, best.app from f left join best using (flow_id)""")
+def j5_owner_scored(spark, sf_dir):
+    rows = spark.sql("select c_custkey as entry_id, cast(40000 + c_custkey % 50 as int) as local_port, case c_custkey % 3 when 0 then '0.0.0.0' else '10.0.0.' || cast(c_custkey % 4 + 1 as string) end as local_addr, case c_custkey % 5 when 0 then '192.168.1.' || cast(c_custkey % 3 + 10 as string) when 1 then '9.9.9.9' else '0.0.0.0' end as remote_addr, "
+                     "case c_custkey % 5 when 0 then (case c_custkey % 3 when 0 then 80 when 1 then 443 else 22 end) when 1 then 1 else 0 end as remote_port, 'tcp' as proto, c_mktsegment as app from {customer}", customer=_table(spark, sf_dir, "customer"))
+    return owners.scored_owner(_flows_to_own(spark, sf_dir), rows).select("flow_id", "app")
+
+
+@query(f"""{P0} select pkt_no, dst from p0 where dst in ('192.168.1.10', '192.168.1.11')""")
+def j8_local_only(spark, sf_dir):
+    local = spark.range(1).select(F.explode(F.array(*map(F.lit, LOCAL))).alias("addr"))
+    return owners.local_only(_packets(spark, sf_dir), local, "dst").select("pkt_no", "dst")
+
+
+@query("""with l as (select c_custkey as line_no, 'tcp' as proto, '10.0.0.' || (c_custkey % 4 + 1) as local_addr, cast(40000 + c_custkey % 50 as int) as local_port, '192.168.1.' || (c_custkey % 3 + 10) as remote_addr, 443 as remote_port, c_mktsegment || ' helper' as app from customer where c_custkey % 11 <> 0)
+select proto, local_addr, local_port, remote_addr, remote_port, max_by(app, line_no) as app from l group by 1, 2, 3, 4, 5""")
+def s8_owner_lines(spark, sf_dir):
+    """Recorded owners written as lines, with comments and broken lines among them, and read back."""
+    line = F.concat(F.lit("tcp 10.0.0."), (F.col("c_custkey") % 4 + 1).cast("string"), F.lit(" "), (40000 + F.col("c_custkey") % 50).cast("string"), F.lit(" 192.168.1."), (F.col("c_custkey") % 3 + 10).cast("string"), F.lit(" 443 "), F.col("c_mktsegment"), F.lit(" helper"))
+    bad = F.when(F.col("c_custkey") % 22 == 0, F.concat(F.lit("# "), line)).otherwise("tcp 10.0.0.1 broken")
+    return text.parse_owners(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line_no"), F.when(F.col("c_custkey") % 11 == 0, bad).otherwise(line).alias("value")))
+
+
+# Top-k and groups
+
+
+_RATED = f"""{P0}, fl as (select src, dst, sport, sum(wire_len) filter (not reply) as total_in, coalesce(sum(wire_len) filter (reply), 0) as total_out, max(ts_usec) as last_usec, min(pkt_no) as flow_id, cast(coalesce(sum(wire_len) filter (ts_usec // 1000000 > (select max(ts_usec) // 1000000 - 8 from p0)), 0) as double) as rate_in, 0.0::double as rate_out from p0 group by 1, 2, 3), now as (select max(ts_usec) // 1000000 + 1 as tick from p0)"""
+
+
+def _rated(spark, sf_dir) -> tuple[DataFrame, int]:
+    p = _packets(spark, sf_dir)
+    last = p.agg(F.max(series.second(F.col("ts_usec"))).alias("s")).first().s
+    size, late = F.col("wire_len"), series.second(F.col("ts_usec")) > last - 8
+    flows = p.groupBy("src", "dst", "sport").agg(
+        F.coalesce(F.sum(F.when(~F.col("reply"), size)), F.lit(0)).alias("total_in"), F.coalesce(F.sum(F.when(F.col("reply"), size)), F.lit(0)).alias("total_out"), F.max("ts_usec").alias("last_usec"),
+        F.min("pkt_no").alias("flow_id"), F.coalesce(F.sum(F.when(late, size)), F.lit(0)).cast("double").alias("rate_in"), F.lit(0.0).alias("rate_out"),
+    )
+    return flows, last + 1
+
+
+@query(f"{_RATED} select src, dst, sport, rate_in, last_usec from fl, now where tick * 1000000 - last_usec < 60000000 order by rate_in + rate_out desc, last_usec desc, flow_id limit 200")
+def k1_top_connections(spark, sf_dir):
+    flows, tick = _rated(spark, sf_dir)
+    return rates.top_connections(flows, tick).select("src", "dst", "sport", "rate_in", "last_usec")
+
+
+@query(f"""{_RATED}, a as (select *, tick * 1000000 - last_usec < 60000000 as active from fl, now) select dst as name, arg_max(src, (rate_in + rate_out, -flow_id)) filter (active) as detail, count(*) filter (active) as flows, coalesce(sum(rate_in) filter (active), 0.0) as rate_in, cast(coalesce(sum(total_in), 0) as bigint) as total_in, cast(sum(total_out) as bigint) as total_out
+from a group by dst order by 4 desc, sum(coalesce(total_in, 0) + total_out) desc, dst limit 200""")
+def k2_top_hosts(spark, sf_dir):
+    flows, tick = _rated(spark, sf_dir)
+    groups = rates.grouped(flows.withColumn("service", F.lit("TCP")), "dst", "src", tick)
+    return rates.top_groups(groups, 200).select("name", "detail", "flows", "rate_in", "total_in", "total_out")
+
+
+@query(f"""{_RATED} select count(*) filter (tick * 1000000 - last_usec < 5000000) as active, count(*) as tracked from fl, now""")
+def a7_active_flows(spark, sf_dir):
+    return rates.active_flows(*_rated(spark, sf_dir))
+
+
+@query(f"""{P0}, s as (select src, dst, ts_usec // 1000000 as sec, cast(sum(case when reply then 0 else wire_len end) as bigint) as bytes_in, cast(sum(case when reply then wire_len else 0 end) as bigint) as bytes_out from p0 group by 1, 2, 3), n as (select src, dst, ts_usec // 1000000 + 1 as tick, max_by('host' || (user_id % 7), pkt_no) as name from p0 where flags = 18 group by 1, 2, 3)
+select coalesce(n.name, '') as name, cast(sum(bytes_in) as bigint) as total_in, cast(sum(bytes_out) as bigint) as total_out from s asof left join n on s.src = n.src and s.dst = n.dst and s.sec + 1 >= n.tick group by 1""")
+def a6_credited_totals(spark, sf_dir):
+    """A second's bytes go to the name a pair had at the tick that closed it."""
+    p = _packets(spark, sf_dir)
+    seconds = rates.flow_seconds(p.withColumn("outbound", F.col("reply")), ["src", "dst"])
+    told = p.where("flags = 18").groupBy("src", "dst", (series.second(F.col("ts_usec")) + 1).alias("tick")).agg(F.max_by(F.concat(F.lit("host"), (F.col("user_id") % 7).cast("string")), "pkt_no").alias("name"))
+    return rates.credited_totals(seconds, told, ["src", "dst"])
+
+
+@query(f"""{P0}, fl as (select src, dst, sport, max(ts_usec) as last_usec, bool_or(flags = 2) as half_open from p0 group by 1, 2, 3), r as (select *, row_number() over (order by half_open desc, last_usec, src, sport, dst) as k, count(*) over () as n from fl) select src, dst, sport from r where k > greatest(1, n // 10)""")
+def k5_evict(spark, sf_dir):
+    from .operators.flows import evict
+
+    fl = _packets(spark, sf_dir).groupBy(F.col("src").alias("a"), F.col("sport").alias("pa"), F.col("dst").alias("b")).agg(F.max("ts_usec").alias("last_usec"), F.max(F.col("flags") == 2).alias("half_open"))
+    kept = evict(fl.withColumn("pb", F.lit(0)).withColumn("proto", F.lit(6)).withColumn("session", F.lit(0)), 1)
+    return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("pa").alias("sport"))
+
+
+@query(f"{_ANNOTATED}, {_PER_SECOND} select * from ps order by sec desc limit 900")
+def k4_recent_seconds(spark, sf_dir):
+    return series.recent(series.per_second(_annotated(spark, sf_dir)))
+
+
+# Signatures
+
+CORPUS_RULES = [
+    {"rule_id": 0, "severity": "low", "name": "tracker", "content": b"track(", "nocase": False, "message": "Tracking call"},
+    {"rule_id": 1, "severity": "low", "name": "licence", "content": b"LICENSE", "nocase": True, "message": "Licence text"},
+    {"rule_id": 2, "severity": "medium", "name": "script", "content": b"<SCRIPT", "nocase": True, "message": "Script tag"},
+    {"rule_id": 3, "severity": "low", "name": "the", "content": b"The ", "nocase": False, "message": "Exact case"},
+    {"rule_id": 4, "severity": "low", "name": "accent", "content": "é ".encode(), "nocase": True, "message": "Next to bytes over 127"},
+    {"rule_id": 5, "severity": "high", "name": "token", "content": b'token = "', "nocase": False, "message": "A token"},
+]
+
+_RULES_SQL = """r(rule_id, content, nocase) as (values (0, 'track(', false), (1, 'license', true), (2, '<script', true), (3, 'The ', false), (4, 'é ', true), (5, 'token = "', false))"""
+_FOLD = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _matches_sql(table: str, key: str, payload: str) -> str:
+    folded = _FOLD.format(c=payload)
+    return f"with {_RULES_SQL} select {key}, rule_id, cast((length({payload}) - length(replace(case when nocase then {folded} else {payload} end, content, ''))) / length(content) as bigint) as matches from {table}, r where contains(case when nocase then {folded} else {payload} end, content)"
+
+
+@query(_matches_sql("pages", "page_id", "html"))
+def m2_match_pages(spark, sf_dir):
+    return signatures.match_payloads(_table(spark, sf_dir, "pages"), CORPUS_RULES, ["page_id"], "html").groupBy("page_id", "rule_id").agg(F.count("*").alias("matches"))
+
+
+@query(_matches_sql("documents", "doc_id", "text"))
+def m3_match_documents(spark, sf_dir):
+    """Payloads with characters outside ASCII: only A-Z are folded."""
+    return signatures.match_payloads(_table(spark, sf_dir, "documents"), CORPUS_RULES, ["doc_id"], "text").groupBy("doc_id", "rule_id").agg(F.count("*").alias("matches"))
+
+
+@query(f"with {_RULES_SQL} select doc_id, rule_id from documents, r where contains(case when nocase then {_FOLD.format(c='text')} else text end, content)")
+def m2_match_native(spark, sf_dir):
+    """The same without Python, a search for each rule."""
+    return signatures.match_native(_table(spark, sf_dir, "documents"), CORPUS_RULES, ["doc_id"], "text")
+
+
+@query("""with s as (select conv_id, string_agg(text, '' order by turn) as t from conversations group by 1) select conv_id, cast((length(t) - length(replace(t, '.T', ''))) // 2 as bigint) as matches from s where contains(t, '.T')""")
+def m4_match_across_turns(spark, sf_dir):
+    """A pattern that only occurs across the boundaries of turns."""
+    rule = [{"rule_id": 0, "content": b".T", "nocase": False}]
+    return signatures.match_streams(_table(spark, sf_dir, "conversations"), rule, ["conv_id"], ["turn"], "text").groupBy("conv_id").agg(F.count("*").alias("matches"))
+
+
+_HITS = f"""{P0}, h as (select *, cast(v % 3 as int) as rule_id from p0 where v % 11 = 0), d as (select distinct rule_id, src, dst, ts_usec from h), c as (select *, row_number() over (partition by rule_id, src, dst order by ts_usec) as k from d),
+g as (select rule_id, src, dst, ts_usec, k, ts_usec as at, true as fires from c where k = 1 union all select c.rule_id, c.src, c.dst, c.ts_usec, c.k, case when c.ts_usec - g.at >= 60000000 then c.ts_usec else g.at end, c.ts_usec - g.at >= 60000000 from g join c on c.rule_id = g.rule_id and c.src = g.src and c.dst = g.dst and c.k = g.k + 1)"""
+
+
+@query(f"""{_HITS} select h.ts_usec, h.src || ':' || h.sport || ' → ' || h.dst || ':' || h.svc_port || case when h.user_id % 2 = 0 then ' (h' || h.user_id || ')' else '' end || ', signature ' || (array['tracker', 'licence', 'script'])[1 + h.rule_id] as message
+from h join g on g.fires and g.rule_id = h.rule_id and g.src = h.src and g.dst = h.dst and g.ts_usec = h.ts_usec""")
+def m9_signature_alerts(spark, sf_dir):
+    hits = _packets(spark, sf_dir).where("v % 11 = 0").select("ts_usec", "pkt_no", (F.col("v") % 3).cast("int").alias("rule_id"), "src", "sport", "dst", F.col("svc_port").alias("dport"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).otherwise("").alias("host"), F.lit("").alias("app"))
+    return signatures.signature_alerts(hits, signatures.rules_table(spark, CORPUS_RULES)).select("ts_usec", "message")
+
+
+# The packet fold over the projection: sessions, roles, handshakes
+
+
+def _decoded(spark, sf_dir) -> DataFrame:
+    """The projection in the columns of decoded packets, without payloads."""
+    d = _directed(_packets(spark, sf_dir)).where("proto = 17")
+    return d.select(
+        "pkt_no", "ts_usec", "wire_len", F.col("wire_len").alias("cap_len"), "decode_status", F.lit(4).alias("ip_version"), F.col("s").alias("src"), F.col("d").alias("dst"), "proto", "fragment", F.lit(True).alias("has_l4"),
+        F.col("sp").alias("sport"), F.col("dp").alias("dport"), F.lit(None).cast("int").alias("tcp_flags"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("ack"), F.lit(None).cast("int").alias("icmp_type"),
+        F.lit(None).cast("int").alias("icmp_code"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("bigint").alias("payload_len"), F.lit(0).cast("bigint").alias("payload_total"),
+    )
+
+
+@query(f"""{P0}, q as (select *, case when (ts_usec // 1000000) * 1000000 - lag(ts_usec) over (partition by src, dst, sport, svc_port order by ts_usec, pkt_no) > 120000000 then 1 else 0 end as n from p0 where proto = 17 and decode_status = 'Ok' and not fragment),
+s as (select *, cast(sum(n) over (partition by src, dst, sport, svc_port order by ts_usec, pkt_no rows unbounded preceding) as bigint) as session from q)
+select src, sport, dst, svc_port, session, count(*) as packets, cast(sum(wire_len) as bigint) as bytes, min(ts_usec) as first_usec, max(ts_usec) as last_usec, case svc_port when 443 then 'QUIC' else 'UDP' end as service from s group by 1, 2, 3, 4, 5""")
+def t3_flow_fold(spark, sf_dir):
+    """The stateful fold on UDP flows, whose sessions SQL can express."""
+    from .config import EngineConfig
+    from .operators.flows import flow_totals, fold_flows
+
+    t = flow_totals(fold_flows(_decoded(spark, sf_dir), cfg=EngineConfig(local=LOCAL)))
+    client = F.struct(F.col("a").alias("src"), F.col("pa").alias("sport"), F.col("b").alias("dst"), F.col("pb").alias("svc_port"))
+    server = F.struct(F.col("b").alias("src"), F.col("pb").alias("sport"), F.col("a").alias("dst"), F.col("pa").alias("svc_port"))
+    from_a = F.col("a").startswith("10.0.0.")
+    return t.select(F.when(from_a, client).otherwise(server).alias("e"), "*").select("e.*", "session", "packets", (F.col("bytes_in") + F.col("bytes_out")).cast("bigint").alias("bytes"), "first_usec", "last_usec", "service")
