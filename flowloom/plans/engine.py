@@ -18,7 +18,6 @@ from ..decode.link import is_attempt
 from ..functions.addresses import is_local, parse_ip, parse_ip_text
 from ..operators import detectors, flows, naming, owners, rates, series, signatures
 
-_PROTO = F.when(F.col("proto") == 6, "tcp").when(F.col("proto") == 17, "udp")
 KEYS = ["a", "pa", "b", "pb", "proto", "session"]
 
 
@@ -76,7 +75,7 @@ def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[
 
     table = flows.flow_totals(folded).withColumn("flow_id", F.xxhash64(*KEYS))
     if recorded is not None:
-        who = owners.exact_owner(table.where("not transit and proto in (6, 17)").select("flow_id", _PROTO.alias("proto"), "local_addr", "local_port", "remote_addr", "remote_port"), recorded).select("flow_id", "app")
+        who = owners.exact_owner(table.where("not transit and proto in (6, 17)").select("flow_id", F.when(F.col("proto") == 6, "tcp").otherwise("udp").alias("proto"), "local_addr", "local_port", "remote_addr", "remote_port"), recorded).select("flow_id", "app")
         table = table.join(who, "flow_id", "left").withColumn("app", F.coalesce("app", F.lit("")))
     else:
         table = table.withColumn("app", F.lit(""))
