@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -91,6 +92,15 @@ def blocks(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], dict]],
@@ -121,6 +131,8 @@ def map_text(
                     [ids.slice(a, b - a)] + [pa.array(cols[f.name], types.field(f.name).type) for f in schema.fields],
                     schema=types,
                 )
+        del kernel
+        release()
 
     return df.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, full)
 
@@ -137,5 +149,7 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]
             for a, b in blocks(sizes, block_bytes):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(kernel([t or "" for t in part.column(place).to_pylist()]), pa.bool_()))
+        del kernel
+        release()
 
     return df.mapInArrow(run, df.schema)

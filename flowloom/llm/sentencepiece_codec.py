@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_text
 
 MARK = "▁"
-#: Distinct chunks kept by a worker; the table starts anew beyond it.
+#: Distinct chunks kept by a task; the table starts anew beyond it.
 MAX_CHUNKS = 300_000
 #: Longer chunks are segmented where they stand and not kept.
 MAX_KEPT_CHARS = 64
@@ -30,45 +31,35 @@ MAX_KEPT_CHARS = 64
 _CHUNK = re.compile(r" +[^ ]*")
 
 
-class _Table(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= MAX_KEPT_CHARS:
-            if len(self) >= MAX_CHUNKS:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Codec:
     """Encodes and decodes exactly as the library does with the same model."""
 
     def __init__(self, model: bytes):
-        import sentencepiece
-
-        self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
-        bounded = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        plain = sp.normalize(" aé́ﬁ①  \n\t\x00b ") == f"{MARK}{MARK}aé́ﬁ①{MARK}{MARK}\n\t\x00b{MARK}"
+        self.sp = sp = _processor(model)
+        self.pieces, self.is_byte, exact = _pieces(model)
         #: Whether the chunk table gives what the library gives; else whole texts are segmented.
-        self.chunked = bounded and plain and not any(sp.is_unused(i) for i in range(sp.vocab_size()))
+        self.chunked = exact
         self.bos = np.uint32(sp.bos_id()).tobytes()
         self.eos = np.uint32(sp.eos_id()).tobytes()
         self.lone = sp.piece_to_id(MARK)
-        self.ids = _Table(self._encode_chunk)
-        self.texts = _Table(self._decode_chunk)
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        ids = self.sp.encode(chunk[1:]) if chunk != " " else [self.lone]
-        return np.asarray(ids, "<u4").tobytes()
-
-    def _decode_chunk(self, chunk: str) -> str:
-        ids = np.frombuffer(self.ids[chunk], "<u4").tolist()
-        return " " + self.sp.decode(ids)
+        #: Chunk -> ids; and the text of the few chunks that do not decode to themselves.
+        self.ids: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
+
+    def _decoded(self, ids: list[int]) -> str:
+        if self.is_byte.isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids))
+        return " " + self.sp.decode(ids)  # decode() takes the first mark away
+
+    def _segment(self, chunks: list[str]) -> dict[str, bytes]:
+        out = {}
+        for chunk, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks], num_threads=1), strict=True):
+            if chunk == " ":
+                ids = [self.lone]
+            out[chunk] = array("I", ids).tobytes()
+            if (text := self._decoded(ids)) != chunk:
+                self.odd[chunk] = text
+        return out
 
     def encode_bytes(self, text: str) -> tuple[bytes, str]:
         """All ids as little-endian 32-bit integers, and the text they decode to."""
@@ -78,13 +69,41 @@ class Codec:
             ids = [self.sp.bos_id(), *self.sp.encode(text), self.sp.eos_id()]
             return np.asarray(ids, "<u4").tobytes(), self.sp.decode(ids)
         chunks = _CHUNK.findall(" " + text.replace(MARK, " "))
+        if new := [c for c in dict.fromkeys(chunks) if c not in self.ids]:
+            got = self._segment(new)
+            if len(self.ids) + len(got) > MAX_CHUNKS:
+                self.ids = {}
+            table = self.ids
+            table.update(got)
+            if len(new) < len(chunks) and not table.keys() >= set(chunks):  # the table began anew within this text
+                table.update(self._segment([c for c in dict.fromkeys(chunks) if c not in table]))
         ids = b"".join(map(self.ids.__getitem__, chunks))
-        return self.bos + ids + self.eos, "".join(map(self.texts.__getitem__, chunks))[1:]
+        back = "".join(chunks) if not self.odd else "".join([self.odd.get(c, c) for c in chunks])
+        for c in new:
+            if len(c) > MAX_KEPT_CHARS:
+                del self.ids[c]
+        if len(self.odd) > MAX_CHUNKS:
+            self.chunked, self.odd = False, {}
+        return self.bos + ids + self.eos, back[1:]
+
+
+@lru_cache(2)
+def _processor(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
 @lru_cache(2)
-def _codec(model: bytes) -> Codec:
-    return Codec(model)
+def _pieces(model: bytes) -> tuple[list[str], frozenset[int], bool]:
+    """Text of each piece, the ids of byte pieces, and whether texts may be cut into chunks."""
+    sp = _processor(model)
+    pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
+    own = range(len(pieces))
+    bounded = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
+    plain = sp.normalize(" aé\u0301ﬁ①  \n\t\x00b ") == f"{MARK}{MARK}aé\u0301ﬁ①{MARK}{MARK}\n\t\x00b{MARK}"
+    special = frozenset(i for i in own if sp.is_byte(i) or sp.is_unknown(i) or sp.is_control(i))
+    return [p.replace(MARK, " ") for p in pieces], special, bounded and plain and not any(map(sp.is_unused, own))
 
 
 def _model(path: str | None) -> bytes:
@@ -101,7 +120,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, id_col: str =
     model = _model(model_path)
 
     def make():
-        codec = _codec(model)
+        codec = Codec(model)
 
         def kernel(texts):
             got = [codec.encode_bytes(t) for t in texts]
@@ -117,7 +136,7 @@ def digests(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_i
     model = _model(model_path)
 
     def make():
-        codec = _codec(model)
+        codec = Codec(model)
 
         def kernel(texts):
             got = [codec.encode_bytes(t) for t in texts]

@@ -43,7 +43,7 @@ PIECE = 1 << 20
 #: Runs that a task packs together.
 PACK = 400_000
 #: Parts by anchor and by document for each partition of the input.
-PARTS = 2
+PARTS = 4
 
 _LAST = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(6).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -1,7 +1,7 @@
 """Operator 10: toxicity, a convolutional text classifier trained in numpy.
 
-A word's vector is the mean of hashed embeddings: of the word, and of its beginnings and ends of
-three to five code points. Filters one, two and three words wide run over the whole text, each
+A word's vector is the mean of hashed embeddings: of the word, of its beginnings of three to five
+bytes and of its end of three. Filters one, two and three words wide run over the whole text, each
 takes its maximum, and a logistic layer joins them. A maximum has one place, so a step of training
 touches only the windows that won.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,23 +58,37 @@ def words(text: str) -> list[str]:
 
 
 def buckets(word: str) -> list[int]:
-    from xxhash import xxh64_intdigest
+    """The word's own bucket, and those of its beginnings and its end; each kind has a range of its own."""
+    own = word.encode("utf-8", "surrogatepass")
+    out = [crc32(own) % BUCKETS]
+    if len(word) > 3:
+        out += [crc32(own[:3], 1) % BUCKETS, crc32(own[-3:], 2) % BUCKETS]
+        if len(own) > 4:
+            out.append(crc32(own[:4], 3) % BUCKETS)
+            if len(own) > 5:
+                out.append(crc32(own[:5], 4) % BUCKETS)
+    return out
 
-    parts = [f"={word}", *(f"<{word[:k]}" for k in (3, 4, 5) if len(word) > k), *(f">{word[-k:]}" for k in (3, 4) if len(word) > k)]
-    return [xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 10) % BUCKETS for p in parts]
 
+def spoken(word: str) -> int:
+    """A bit for each language that has this function word."""
+    return _BITS.get(word, 0)
 
-def language(text_words: list[str]) -> int:
-    """Which language's function words the text has most of; "other" without any."""
-    best, at = 0, len(LANGUAGES) - 1
-    for k, (_, own) in enumerate(_SETS):
-        n = sum(map(own.__contains__, text_words))
-        if n > best:
-            best, at = n, k
-    return at
 
+_BITS: dict[str, int] = {}
+for _k, _own in enumerate(_FUNCTION_WORDS.values()):
+    for _w in _own:
+        _BITS[_w] = _BITS.get(_w, 0) | 1 << _k
 
-_SETS = [(k, frozenset(v)) for k, v in _FUNCTION_WORDS.items()]
+
+def language(bits: np.ndarray) -> int:
+    """Which language's function words a text has most of, from its words' bits; "other" without any."""
+    counts = np.bincount(bits, minlength=1 << len(_FUNCTION_WORDS))
+    own = [int(counts[_HAS[k]].sum()) for k in range(len(_FUNCTION_WORDS))]
+    return own.index(max(own)) if max(own) else len(LANGUAGES) - 1
+
+
+_HAS = [[b for b in range(1 << len(_FUNCTION_WORDS)) if b >> k & 1] for k in range(len(_FUNCTION_WORDS))]
 
 
 @dataclass
@@ -94,12 +110,19 @@ def _ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
 
+def _flat(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words end to end, and where each word's begin."""
+    got = list(map(buckets, own))
+    return np.fromiter(chain.from_iterable(got), np.int32), np.cumsum([0, *map(len, got)])
+
+
 class Scorer:
     """Scores texts with a table of each distinct word's filter values."""
 
     def __init__(self, model: Model):
         self.m = model
         self.rows: dict[str, int] = {}
+        self.bits = np.zeros(1024, np.int64)
         self.table = np.zeros((1024, sum(WIDTHS) * FILTERS), np.float32)
 
     def ids(self, text_words: list[str]) -> np.ndarray:
@@ -108,22 +131,25 @@ class Scorer:
         new = [w for w in dict.fromkeys(text_words) if w not in self.rows]
         for s in range(0, len(new), 4096):
             part = new[s : s + 4096]
-            flat, at = _ragged([np.array(buckets(w)) for w in part])
+            flat, at = _flat(part)
             vectors = np.add.reduceat(self.m.embedding[flat], at[:-1], axis=0) / np.diff(at)[:, None]
             while len(self.rows) + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
             n = len(self.rows)
             self.table[n : n + len(part)] = self.m.project(vectors.astype(np.float32))
+            self.bits[n : n + len(part)] = [spoken(w) for w in part]
             self.rows.update(zip(part, range(n, n + len(part)), strict=True))
         return np.fromiter(map(self.rows.__getitem__, text_words), np.int64, len(text_words))
 
     def margin(self, ids: np.ndarray) -> float:
         """A window may hang over the end of the text; what is missing there adds nothing."""
         pooled, col = [], 0
+        values = self.table[ids]
         for w in WIDTHS:
-            total = self.table[ids, col : col + FILTERS]
+            total = values[:, col : col + FILTERS]
             for k in range(1, w):
-                total[:-k] += self.table[ids[k:], col + k * FILTERS : col + (k + 1) * FILTERS]
+                total[:-k] += values[k:, col + k * FILTERS : col + (k + 1) * FILTERS]
             pooled.append(total.max(0))
             col += w * FILTERS
         hidden = np.maximum(np.concatenate(pooled) + self.m.bias, 0)
@@ -135,7 +161,8 @@ class Scorer:
             return 0.0
         if self.m.constant is not None:
             return self.m.constant
-        z = self.margin(self.ids(text_words)) - self.m.thresholds[language(text_words)]
+        ids = self.ids(text_words)
+        z = self.margin(ids) - self.m.thresholds[language(self.bits[ids])]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -144,7 +171,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 10) -> Model:
     random = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     rows = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]
-    flat, at = _ragged([np.array(buckets(w), np.int32) for w in vocab])
+    flat, at = _flat(list(vocab))
     per_word = np.diff(at)
     del vocab
     epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, SHOWN // max(1, len(rows))))
@@ -246,8 +273,9 @@ def fit(rows: list[tuple[str, str, int]]) -> Model:
     z, of, t = [], [], []
     for k in np.flatnonzero(test) if test.any() else range(len(y)):
         if own := words(texts[k]):
-            z.append(scorer.margin(scorer.ids(own)))
-            of.append(language(own))
+            ids = scorer.ids(own)
+            z.append(scorer.margin(ids))
+            of.append(language(scorer.bits[ids]))
             t.append(y[k])
     z, of, t = np.array(z), np.array(of), np.array(t)
     common = threshold(z, t)
