@@ -1,7 +1,8 @@
 """Packet decoding: link, IP and transport headers to one row of facts.
 
-``decode_one`` is the definition, one packet at a time; ``decode_packets`` runs it over Arrow
-batches. A packet that is no IP or is malformed keeps its row, as counters include it.
+``decode_one`` is the definition, one packet at a time; ``decode_packets`` decodes whole Arrow
+batches to the same (``columnar``). A packet that is no IP or is malformed keeps its row, as counters
+include it.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from ..schemas import DECODED, PACKETS
 
 OK, NOT_IP, MALFORMED = "Ok", "NotIp", "Malformed"
 LINK_NAMES = {0: "loopback", 108: "loopback", 1: "Ethernet", 12: "raw IP", 14: "raw IP", 101: "raw IP", 228: "raw IP", 229: "raw IP", 113: "Linux cooked", 276: "Linux cooked"}
-_VLAN = (0x8100, 0x88A8, 0x9100)
-_CHAINED = (0, 43, 60, 51)
+VLAN = (0x8100, 0x88A8, 0x9100)
+CHAINED = (0, 43, 60, 51)
 FIELDS = tuple(f.split()[0] for f in DECODED.split(", "))
 
 
@@ -71,7 +72,7 @@ def _v6(out: dict, d: bytes, at: int) -> str:
     end, kind, place = at + min(n, total), d[at + 6], at + 40
     out.update(ip_version=6, src=d[at + 8 : at + 24], dst=d[at + 24 : at + 40])
     for _ in range(8):
-        if kind in _CHAINED:
+        if kind in CHAINED:
             if place + 2 > end:
                 return MALFORMED
             size = (d[place + 1] + 2) * 4 if kind == 51 else (d[place + 1] + 1) * 8
@@ -103,7 +104,7 @@ def _link(out: dict, link: int, d: bytes) -> str:
             return MALFORMED
         kind, at = unpack_from(">H", d, 12)[0], 14
         for _ in range(2):
-            if kind in _VLAN:
+            if kind in VLAN:
                 if at + 4 > n:
                     return MALFORMED
                 kind, at = unpack_from(">H", d, at + 2)[0], at + 4
@@ -148,12 +149,12 @@ def decode_packets(raw: DataFrame, snap_len: int | None = None) -> DataFrame:
     full = T.StructType.fromDDL(PACKETS)
 
     def run(batches):
+        from .columnar import decode_columns
+
         types = to_arrow_schema(full)
         for b in batches:
-            links, data = b.column("link_type").to_pylist(), b.column("data").to_pylist()
-            rows = [decode_one(k, d or b"") for k, d in zip(links, data, strict=True)]
-            cols = [b.column(c) for c in ("pkt_no", "ts_usec", "wire_len", "cap_len")]
-            cols += [pa.array([r[f] for r in rows], types.field(f).type) for f in FIELDS]
+            got = decode_columns(b.column("link_type").to_numpy(zero_copy_only=False), b.column("data"))
+            cols = [b.column(c) for c in ("pkt_no", "ts_usec", "wire_len", "cap_len")] + [got[f] for f in FIELDS]
             yield pa.RecordBatch.from_arrays(cols, schema=types)
 
     return raw.select("pkt_no", "ts_usec", "wire_len", "cap_len", "link_type", "data").mapInArrow(run, full)

@@ -7,6 +7,8 @@ string comparisons that stay in generated code. Only parsing and printing IPv6 n
 from __future__ import annotations
 
 import socket
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +29,32 @@ def parse_ip_text(text: str | None) -> bytes | None:
     return None
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What the expressions below tell of an address, for code that has it as text."""
+
+    order: bytes
+    local: bool
+    multicast: bool
+
+
+@lru_cache(65_536)
+def address_facts(text: str, local: tuple[bytes, ...] = ()) -> Facts:
+    raw = parse_ip_text(text)
+    if raw is None:
+        return Facts(b"", False, False)
+    plain = raw[12:] if raw[:12] == b"\0" * 10 + b"\xff\xff" and len(raw) == 16 else raw
+    if local:
+        is_local = plain in local or (raw[0] == 127 if len(raw) == 4 else raw == b"\0" * 15 + b"\1")
+    elif len(plain) == 4:
+        a, b = plain[0], plain[1]
+        is_local = a in (10, 127) or (a == 172 and 16 <= b < 32) or (a, b) in ((192, 168), (169, 254)) or (a == 100 and 64 <= b < 128)
+    else:
+        is_local = plain == b"\0" * 15 + b"\1" or (plain[0] == 0xFE and plain[1] & 0xC0 == 0x80) or plain[0] & 0xFE == 0xFC
+    multicast = raw[0] == 255 if len(raw) == 16 else 224 <= raw[0] < 240 or raw == b"\xff" * 4
+    return Facts((b"4" if len(raw) == 4 else b"6") + raw, is_local, multicast)
+
+
 def format_ip_bytes(raw: bytes | None) -> str:
     """Canonical text; "-" for an unset address."""
     if raw is None or len(raw) not in (4, 16):

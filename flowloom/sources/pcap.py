@@ -12,15 +12,21 @@ import glob
 import os
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
+from ..decode.columnar import cut
 from ..schemas import RAW_PACKETS
 
 _MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 _SECTION = b"\x0a\x0d\x0d\x0a"
-BATCH = 4096
+BATCH = 10_000
+#: Bytes of a file read at once.
+CHUNK = 4 << 20
 FILE_STRIDE = 1 << 40
 
 
@@ -113,21 +119,55 @@ class _File(InputPartition):
         self.path, self.first = path, first
 
 
-def _batches(part: _File, snap_len: int):
-    schema = pa.schema([("pkt_no", pa.int64()), ("ts_usec", pa.int64()), ("link_type", pa.int32()), ("cap_len", pa.int64()), ("wire_len", pa.int64()), ("data", pa.binary())])
-    rows: list[tuple] = []
+_SCHEMA = pa.schema([("pkt_no", pa.int64()), ("ts_usec", pa.int64()), ("link_type", pa.int32()), ("cap_len", pa.int64()), ("wire_len", pa.int64()), ("data", pa.binary())])
+
+
+def _record(first: int, ts, links, wire, data: pa.Array) -> pa.RecordBatch:
+    n = len(data)
+    kept = pc.binary_length(data).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.array(ts, pa.int64()), pa.array(links, pa.int32()), kept, pa.array(wire, pa.int64()), data], schema=_SCHEMA)
+
+
+def _classic_batches(f, head: bytes, path: str, first: int, snap_len: int) -> Iterator[pa.RecordBatch]:
+    """Reads ``CHUNK`` bytes at a time; only the chain of record headers is followed one by one."""
+    order, per = _MAGIC[head[:4]]
+    link = struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
+    sizes, held = struct.Struct(order + "8xI").unpack_from, b""
+    while True:
+        more = f.read(CHUNK)
+        held += more
+        at, places = 0, []
+        while at + 16 <= len(held):
+            stop = at + 16 + sizes(held, at)[0]
+            if stop > len(held):
+                break
+            places.append(at)
+            at = stop
+        for k in range(0, len(places), BATCH):
+            part = np.array([*places[k : k + BATCH], places[k + BATCH] if k + BATCH < len(places) else at], np.int64)
+            fields = np.frombuffer(held, np.uint8)[part[:-1, None] + np.arange(16)].view(order + "u4").astype(np.int64)
+            start = part[:-1] + 16
+            data = cut(pa.py_buffer(held), start, np.minimum(part[1:], start + snap_len), np.ones(len(start), bool))
+            yield _record(first, fields[:, 0] * 1_000_000 + fields[:, 1] // per, np.full(len(start), link), fields[:, 3], data)
+            first += len(start)
+        held = held[at:]
+        if not more:
+            if held:
+                raise CaptureError(f"{path}: cut inside a packet")
+            return
 
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    for k, (ts, link, wire, data) in enumerate(read_packets(part.path)):
-        data = data[:snap_len]
-        rows.append((part.first + k, ts, link, len(data), wire, data))
-        if len(rows) == BATCH:
-            yield batch()
-            rows = []
-    if rows:
-        yield batch()
+def _batches(part: _File, snap_len: int) -> Iterator[pa.RecordBatch]:
+    with open(part.path, "rb") as f:
+        head = f.read(24)
+        if len(head) == 24 and head[:4] in _MAGIC:
+            yield from _classic_batches(f, head, part.path, part.first, snap_len)
+            return
+    packets, first = read_packets(part.path), part.first
+    while rows := list(islice(packets, BATCH)):
+        ts, links, wire, data = zip(*rows, strict=True)
+        yield _record(first, ts, links, wire, pa.array([d[:snap_len] for d in data], pa.binary()))
+        first += len(rows)
 
 
 class PcapReader(DataSourceReader):
