@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EngineConfig
 from ..decode import tls
-from ..functions.addresses import flow_key, is_local, is_multicast_or_broadcast, parse_ip
+from ..functions.addresses import address_facts, parse_ip_text
 from ..functions.services import is_service, label_of
 from .naming import DNS, HTTP, SNI
 from .signatures import _matcher, matcher_blob
@@ -111,12 +113,13 @@ class Fold:
         if tick - f.last > f.limit(self.key[4]) * _US + _US:
             return []
         f.host, f.source, f.late = name, DNS, None
-        return [self._row("named", -1, tick, 0, False, False, [], False)]
+        return [(self.key, tick, self.state())]
 
-    def _row(self, event, pkt_no, ts, wire, from_a, outbound, rules, completed):
+    def state(self) -> tuple:
+        """What the flow is now, in the order of ``STATE``."""
         f = self.flow
         half = self.key[4] == 6 and not f.established
-        return (*self.key, f.session, f.incarnation, event, pkt_no, ts, wire, from_a, outbound, f.service, f.host, f.source, f.client_is_a, f.local_is_a, f.transit, half, f.reset or all(f.fin), completed, rules)
+        return f.session, f.incarnation, f.service, f.host, f.source, f.client_is_a, f.local_is_a, f.transit, half, f.reset or all(f.fin)
 
     def _remote(self) -> str:
         a, _, b, _, _ = self.key
@@ -139,7 +142,8 @@ class Fold:
         if ts // _US * _US - f.last > f.limit(self.key[4]) * _US:
             self.flow = None
 
-    def packet(self, p: dict) -> tuple:
+    def packet(self, p: dict) -> tuple[bool, list[int]]:
+        """Takes one packet in: whether it completes a handshake, and the rules it matches."""
         ts, proto, flags = p["ts_usec"], self.key[4], p["tcp_flags"] or 0
         d = 0 if p["from_a"] else 1
         tcp = proto == 6 and p["has_l4"]
@@ -159,7 +163,30 @@ class Fold:
         rules: list[int] = []
         if p["payload_len"] > 0 or (proto == 6 and (p["payload_total"] or 0) > 0):
             rules = self._payload(f, p, d, flags)
-        return self._row("packet", p["pkt_no"], ts, p["wire_len"], bool(p["from_a"]), (d == 0) == f.local_is_a, rules, completed)
+        return completed, rules
+
+    def dull(self, run: Run) -> bool:
+        """Takes in a run of packets that change nothing but times and stream positions; False if they might."""
+        f = self.flow
+        if f is None or f.late is not None or (self.key[4] == 6 and f.synack_seen and not f.established):
+            return False
+        if self.key[4] == 6 and run.moves.any():
+            if f.hello != "done" and ((run.payload if f.hello == "waiting" else run.moves) & (run.from_a == f.client_is_a)).any():
+                return False
+            after = list(f.expect)
+            for d in (0, 1):
+                own = np.flatnonzero(run.moves & (run.from_a == (d == 0)))
+                if len(own):
+                    start = f.expect[d] if f.expect[d] is not None else int(run.seq[own[0]])
+                    gone = (run.seq[own] + run.total[own] - start + 0x80000000) % 0x100000000 - 0x80000000
+                    if np.abs(gone).max() >= 0x40000000 or run.total[own].max() >= 0x40000000:
+                        return False  # too far apart to tell which is ahead of which
+                    after[d] = (start + max(0, int(gone.max()))) % (1 << 32)
+            for d in (0, 1):
+                if after[d] != f.expect[d]:
+                    f.expect[d], f.tails[d] = after[d], b""
+        f.last = int(run.ts[-1])
+        return True
 
     def _begin(self, f: Flow, p: dict, tcp: bool, flags: int) -> None:
         sport, dport, proto = p["sport"] or 0, p["dport"] or 0, self.key[4]
@@ -275,24 +302,45 @@ def plain(addr: str) -> str:
     return addr[7:] if addr.startswith("::ffff:") and "." in addr else addr
 
 
+_KEYED = (
+    "a string, pa int, b string, pb int, proto int, ts_usec bigint, pkt_no bigint, kind int, wire_len bigint, from_a boolean, has_l4 boolean, sport int, dport int, tcp_flags int, seq bigint, "
+    "payload binary, payload_len bigint, payload_total bigint, src_local boolean, dst_local boolean, dst_multicast boolean, addr string, name string"
+)
+
+
 def with_keys(packets: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Decoded packets that belong to flows, with key, direction and what addresses tell."""
-    local = tuple(x for x in map(_bytes, cfg.local) if x is not None)
-    p = packets.where("decode_status = 'Ok' and not fragment").withColumn("s", parse_ip(F.col("src"))).withColumn("d", parse_ip(F.col("dst")))
-    key, from_a = flow_key(F.col("s"), F.col("sport"), F.col("d"), F.col("dport"), F.col("proto"))
-    p = p.withColumn("k", key).withColumn("from_a", from_a)
-    return p.select(
-        F.when(F.col("from_a"), F.col("src")).otherwise(F.col("dst")).alias("a"), F.col("k.pa").alias("pa"), F.when(F.col("from_a"), F.col("dst")).otherwise(F.col("src")).alias("b"), F.col("k.pb").alias("pb"), "proto",
-        "ts_usec", "pkt_no", F.lit(1).alias("kind"), "wire_len", "from_a", "has_l4", "sport", "dport", "tcp_flags", "seq", "payload", "payload_len", "payload_total",
-        is_local(F.col("s"), local).alias("src_local"), is_local(F.col("d"), local).alias("dst_local"), is_multicast_or_broadcast(F.col("d")).alias("dst_multicast"),
-        F.lit(None).cast("string").alias("addr"), F.lit(None).cast("string").alias("name"),
-    )
+    """Decoded packets that belong to flows, with key, direction and what addresses tell.
 
+    The same as ``functions.addresses.flow_key`` and its predicates, for both families: addresses
+    are parsed once for each distinct one of a batch, and payloads pass through untouched.
+    """
+    local = tuple(x for x in map(parse_ip_text, cfg.local) if x is not None)
+    schema = T.StructType.fromDDL(_KEYED)
+    taken = ["ts_usec", "pkt_no", "wire_len", "has_l4", "sport", "dport", "tcp_flags", "seq", "payload", "payload_len", "payload_total"]
 
-def _bytes(text: str):
-    from ..functions.addresses import parse_ip_text
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    return parse_ip_text(text)
+        types = to_arrow_schema(schema)
+        for b in batches:
+            src, dst, proto = b.column("src"), b.column("dst"), b.column("proto")
+            both = pa.chunked_array([src, dst]).combine_chunks().dictionary_encode()
+            facts = [address_facts(t, local) for t in both.dictionary.to_pylist()]
+            rank = np.zeros(len(facts), np.int64)
+            rank[sorted(range(len(facts)), key=lambda k: facts[k].order)] = np.arange(len(facts))
+            s, d = (x.to_numpy(zero_copy_only=False) for x in (both.indices.slice(0, len(src)), both.indices.slice(len(src))))
+            is_local, multicast = np.array([f.local for f in facts], bool), np.array([f.multicast for f in facts], bool)
+            kind = proto.to_numpy(zero_copy_only=False)
+            sp, dp = (np.where(np.isin(kind, (1, 58)), 0, pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False)) for c in ("sport", "dport"))
+            from_a = (rank[s] < rank[d]) | ((s == d) & (sp <= dp))
+            which = pa.array(from_a)
+            out = {c: b.column(c) for c in taken}
+            out |= {"a": pc.if_else(which, src, dst), "pa": pa.array(np.where(from_a, sp, dp)), "b": pc.if_else(which, dst, src), "pb": pa.array(np.where(from_a, dp, sp)), "proto": proto, "from_a": which}
+            out |= {"kind": pa.array(np.ones(len(s), np.int32)), "src_local": pa.array(is_local[s]), "dst_local": pa.array(is_local[d]), "dst_multicast": pa.array(multicast[d])}
+            out |= {c: pa.nulls(len(s), pa.string()) for c in ("addr", "name")}
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in types], schema=types)
+
+    return packets.where("decode_status = 'Ok' and not fragment").select("src", "dst", "proto", *taken).mapInArrow(run, schema)
 
 
 def answers_for_flows(keyed: DataFrame, answers: DataFrame) -> DataFrame:
@@ -310,33 +358,130 @@ def fold_flows(packets: DataFrame, answers: DataFrame | None = None, cfg: Engine
     rows = keyed if answers is None else keyed.unionByName(answers_for_flows(keyed, answers), allowMissingColumns=True)
     blob = matcher_blob(rules) if rules else None
     schema = T.StructType.fromDDL(OUT)
-    key_cols = ["a", "pa", "b", "pb", "proto"]
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = to_arrow_schema(schema)
         fold = Fold(_matcher(blob) if blob else None)
+        for b in batches:
+            yield from fold_batch(fold, b, types)
+        if fold.key is not None and (late := fold.finish()):
+            yield _named(late, types)
 
-        def batch(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "ts_usec", "pkt_no", "kind").mapInArrow(run, schema)
+
+
+KEY = ["a", "pa", "b", "pb", "proto"]
+STATE = ("session", "incarnation", "service", "host", "host_source", "client_is_a", "local_is_a", "transit", "half_open", "closed")
+#: The shortest idle time that ends a flow; packets closer than this need no look at the flow's state.
+_SHORTEST = 10
+
+
+@dataclass
+class Run:
+    """Consecutive packets of one flow, as arrays."""
+
+    ts: np.ndarray
+    from_a: np.ndarray
+    seq: np.ndarray
+    total: np.ndarray
+    moves: np.ndarray
+    payload: np.ndarray
 
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                key = tuple(r[c] for c in key_cols)
-                if key != fold.key:
-                    out += fold.start_key(key)
-                if r["kind"] == 0:
-                    fold.answer(r["ts_usec"], r["addr"], r["name"])
-                else:
-                    out.append(fold.packet(r))
-            if out:
-                yield batch(out)
-        if fold.key is not None and (out := fold.finish()):
-            yield batch(out)
 
-    return rows.repartition(*key_cols).sortWithinPartitions(*key_cols, "ts_usec", "pkt_no", "kind").mapInArrow(run, schema)
+def _named(late: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    """Rows of event ``named``."""
+    rows = []
+    for key, tick, state in late:
+        rows.append(dict(zip(KEY, key, strict=True)) | dict(zip(STATE, state, strict=True)) | {"event": "named", "pkt_no": -1, "ts_usec": tick, "wire_len": 0, "from_a": False, "outbound": False, "completed": False, "rules": []})
+    return pa.RecordBatch.from_pylist(rows, schema=types)
+
+
+def fold_batch(fold: Fold, b: pa.RecordBatch, types: pa.Schema):
+    """Folds one batch of rows sorted by flow and time.
+
+    Most packets of a flow carry on what is known of it. Arrays tell which rows may change a flow
+    (its first, those with SYN, FIN or RST, what has to be matched or read, those after a pause and
+    answers); only these are taken in one by one, the runs between them at once.
+    """
+    n = b.num_rows
+    if not n:
+        return
+    array = lambda name, none=0: pc.fill_null(b.column(name), none).to_numpy(zero_copy_only=False)
+    new = np.zeros(n, bool)
+    for name in KEY:
+        c = b.column(name)
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    own = [b.column(name) for name in KEY]
+    first_key = tuple(c[0].as_py() for c in own)
+    new[0] = first_key != fold.key
+    is_packet, ts, proto, from_a = array("kind") == 1, array("ts_usec"), array("proto"), array("from_a", False)
+    flags, seq, length, total = array("tcp_flags"), array("seq"), array("payload_len"), array("payload_total")
+    has_l4 = array("has_l4", False)
+    tcp, payload = proto == 6, length > 0
+    moves = payload | (tcp & (total > 0))
+    hard = new | ~is_packet | (payload & (fold.matcher is not None)) | (tcp & (flags & (SYN | FIN | RST) != 0))
+    hard[1:] |= ~is_packet[:-1] | (ts[1:] // _US * _US - ts[:-1] > _SHORTEST * _US)
+    hard[0] = True  # what was before it is in another batch
+    places, text = {}, ("addr", "name")
+    for name in ("sport", "dport", "src_local", "dst_local", "dst_multicast", "payload", *text):
+        places[name] = b.column(name)
+    states: list[tuple] = []
+    counts: list[int] = []
+    completed = np.zeros(n, bool)
+    matched: dict[int, list[int]] = {}
+    late: list[tuple] = []
+
+    def single(i: int) -> None:
+        got = {k: places[k][i].as_py() for k in ("sport", "dport", "src_local", "dst_local", "dst_multicast")}
+        got |= {"payload": places["payload"][i].as_py() if payload[i] else None, "ts_usec": int(ts[i]), "from_a": bool(from_a[i]), "has_l4": bool(has_l4[i]), "tcp_flags": int(flags[i]), "seq": int(seq[i]), "payload_len": int(length[i]), "payload_total": int(total[i])}
+        completed[i], rules = fold.packet(got)
+        if rules:
+            matched[i] = rules
+        state = fold.state()
+        if counts and states[-1] == state:
+            counts[-1] += 1
+        else:
+            states.append(state), counts.append(1)
+
+    stops = np.flatnonzero(hard)
+    for h, stop in zip(stops.tolist(), [*stops[1:].tolist(), n], strict=True):
+        if new[h]:
+            late += fold.start_key(tuple(c[h].as_py() for c in own))
+        if not is_packet[h]:
+            fold.answer(int(ts[h]), *(places[k][h].as_py() for k in text))
+            continue
+        single(h)
+        i = h + 1
+        while i < stop:
+            part = slice(i, stop)
+            if fold.dull(Run(ts[part], from_a[part], seq[part], total[part], moves[part], payload[part])):
+                state = fold.state()
+                if states[-1] == state:
+                    counts[-1] += stop - i
+                else:
+                    states.append(state), counts.append(stop - i)
+                break
+            single(i)
+            i += 1
+    if late:
+        yield _named(late, types)
+    rows = np.flatnonzero(is_packet)
+    if not len(rows):
+        return
+    of = pa.array(np.repeat(np.arange(len(states)), counts))
+    out = dict(zip(STATE, (pa.array(c, types.field(k).type).take(of) for k, c in zip(STATE, zip(*states, strict=True), strict=True)), strict=True))
+    at = pa.array(rows)
+    out |= {name: b.column(name).take(at) for name in (*KEY, "pkt_no", "ts_usec", "wire_len", "from_a")}
+    sizes = np.zeros(n, np.int64)
+    for i, r in matched.items():
+        sizes[i] = len(r)
+    out["rules"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[rows])]), pa.int32()), pa.array([x for i in sorted(matched) for x in matched[i]], pa.int32()))
+    out["outbound"] = pc.equal(out["from_a"], out["local_is_a"])
+    out["event"] = pa.repeat("packet", len(rows))
+    out["completed"] = pa.array(completed[rows])
+    yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in types], schema=types)
 
 
 def flow_totals(folded: DataFrame) -> DataFrame:
