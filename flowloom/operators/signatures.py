@@ -3,6 +3,9 @@
 One automaton holds all contents with ASCII letters folded; a rule that is not ``nocase`` is
 confirmed on the original bytes. A stream's state is its last bytes, one fewer than the longest
 content, so a match may begin in earlier segments but is reported where it ends, once.
+
+Payloads that need no state are matched a batch at a time: a table of the pairs of bytes that can
+begin a content leaves few places, of which those with the first bytes of a content are compared.
 """
 
 from __future__ import annotations
@@ -10,11 +13,13 @@ from __future__ import annotations
 import pickle
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..decode.columnar import binary_parts
 from .folds import greedy
 
 
@@ -53,6 +58,59 @@ class Matcher:
         return (tail + payload)[-self.carry :] if self.carry else b""
 
 
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+class BlockMatcher:
+    """Matches all payloads of a batch; contents have at least two bytes."""
+
+    #: Bytes whose places are looked at together.
+    BLOCK = 1 << 18
+
+    def __init__(self, rules: list[dict]):
+        self.prefix = min(len(r["content"]) for r in rules)
+        self.longest = max(len(r["content"]) for r in rules)
+        self.pairs = np.zeros(1 << 16, bool)
+        self.own: dict[bytes, list[tuple[int, bytes, bytes, bool]]] = {}
+        for r in rules:
+            content = bytes(r["content"])
+            folded = content.translate(_FOLD)
+            self.pairs[folded[0] | folded[1] << 8] = True
+            self.own.setdefault(folded[: self.prefix], []).append((r["rule_id"], content, folded, bool(r["nocase"])))
+        self.known = np.array(sorted(self.own), f"S{self.prefix}").view(f"V{self.prefix}")
+
+    def _places(self, folded: bytes) -> np.ndarray:
+        """Where the first bytes of a content stand."""
+        b = np.frombuffer(folded, np.uint8)
+        even, odd = b[: len(b) // 2 * 2].view("<u2"), b[1 : 1 + (len(b) - 1) // 2 * 2].view("<u2")
+        at = np.concatenate([2 * np.flatnonzero(self.pairs[even]), 2 * np.flatnonzero(self.pairs[odd]) + 1])
+        at = at[at + self.prefix <= len(b)]
+        head = np.ascontiguousarray(b[at[:, None] + np.arange(self.prefix)]).view(f"V{self.prefix}").ravel()
+        return np.sort(at[np.isin(head, self.known)])
+
+    def scan(self, data: bytes | memoryview, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(payload, rule, offset behind the match) in order; payload k is ``data[offsets[k]:offsets[k + 1]]``."""
+        out = []
+        for s in range(int(offsets[0]), int(offsets[-1]), self.BLOCK):
+            whole = bytes(data[s : s + self.BLOCK + self.longest - 1])
+            folded = whole.translate(_FOLD)
+            for at in self._places(folded).tolist():
+                if at >= self.BLOCK:
+                    break
+                row = int(np.searchsorted(offsets, s + at, "right")) - 1
+                for rule, content, low, nocase in self.own[folded[at : at + self.prefix]]:
+                    stop = at + len(low)
+                    if s + stop <= offsets[row + 1] and folded[at:stop] == low and (nocase or whole[at:stop] == content):
+                        out.append((row, rule, s + stop - int(offsets[row])))
+        return sorted(out, key=lambda m: (m[0], m[2], m[1]))
+
+
+@lru_cache(4)
+def _block_matcher(blob: bytes) -> BlockMatcher | None:
+    rules = pickle.loads(blob)
+    return BlockMatcher(rules) if rules and min(len(r["content"]) for r in rules) > 1 else None
+
+
 @lru_cache(4)
 def _matcher(blob: bytes) -> Matcher:
     return Matcher(pickle.loads(blob))
@@ -69,10 +127,16 @@ def match_payloads(df: DataFrame, rules: list[dict], keys: list[str], payload: s
     schema = T.StructType([*own.fields, T.StructField("rule_id", T.IntegerType()), T.StructField("end", T.LongType())])
 
     def run(batches):
-        m = _matcher(blob)
+        block = _block_matcher(blob)
+        m = _matcher(blob) if block is None else None
         for b in batches:
             rows, rule, end = [], [], []
-            for k, data in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            column = b.column(b.num_columns - 1)
+            if block is not None:
+                _, offsets, buffer = binary_parts(column.fill_null(b"") if column.null_count else column)
+                found = block.scan(memoryview(buffer) if buffer is not None else b"", offsets)
+                rows, rule, end = zip(*found, strict=True) if found else ((), (), ())
+            for k, data in enumerate(column.to_pylist() if block is None else ()):
                 for r, e in m.scan(data or b""):
                     rows.append(k), rule.append(r), end.append(e)
             got = b.select(keys).take(pa.array(rows, pa.int64()))
