@@ -143,6 +143,72 @@ def s12_repeat(spark, sf_dir):
     return text.repeat_packets(_packets(spark, sf_dir).select("pkt_no", "ts_usec", "wire_len"), 3)
 
 
+# Decoding, on frames made from the packets
+
+
+def _hex(value, digits: int):
+    return F.lpad(F.lower(F.hex(value)), digits, "0")
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """The projection as raw Ethernet frames: every ninth with a VLAN tag, every eleventh ARP, every thirteenth cut in its IP header."""
+    p = _packets(spark, sf_dir).where("decode_status = 'Ok'")
+    tcp, body = F.col("proto") == 6, (F.col("wire_len") % 40).cast("int")
+    octets = lambda c: F.concat(*[_hex(F.get(F.split(c, r"\."), F.lit(k)).cast("int"), 2) for k in range(4)])
+    ports = F.concat(_hex(F.col("sport"), 4), _hex(F.col("svc_port"), 4))
+    l4 = F.when(tcp, F.concat(ports, _hex(F.col("event_id"), 8), F.lit("0000000050"), _hex(F.col("flags"), 2), F.lit("ffff00000000"))).otherwise(F.concat(ports, _hex(body + 8, 4), F.lit("0000")))
+    ip = F.concat(F.lit("4500"), _hex(F.when(tcp, 40).otherwise(28) + body, 4), F.lit("0000"), _hex(F.when(F.col("fragment"), 5).otherwise(0), 4), F.lit("40"), _hex(F.col("proto"), 2), F.lit("0000"), octets("src"), octets("dst"))
+    tag = F.when(F.col("event_id") % 9 == 0, F.lit("81000007")).otherwise("")
+    whole = F.concat(F.repeat(F.lit("02"), 12), tag, F.when(F.col("event_id") % 11 == 0, "0806").otherwise("0800"), ip, l4, F.repeat(F.lit("61"), body))
+    data = F.unhex(F.when(F.col("event_id") % 13 == 0, F.substring(whole, 1, 60)).otherwise(whole))
+    return p.select("pkt_no", "ts_usec", F.lit(1).alias("link_type"), F.length(data).cast("bigint").alias("cap_len"), "wire_len", data.alias("data"))
+
+
+@query(f"""{P0}, q as (select *, event_id % 11 = 0 as arp, event_id % 13 = 0 as cut, cast(wire_len % 40 as bigint) as body from p0 where decode_status = 'Ok')
+select pkt_no, case when arp then 'NotIp' when cut then 'Malformed' else 'Ok' end as decode_status, case when not (arp or cut) then src end as src, case when not (arp or cut) then dst end as dst, case when not (arp or cut) then proto end as proto,
+  not (arp or cut) and fragment as fragment, case when not (arp or cut or fragment) then sport end as sport, case when not (arp or cut or fragment) then svc_port end as dport, case when not (arp or cut or fragment) and proto = 6 then flags end as tcp_flags,
+  case when not (arp or cut or fragment) and proto = 6 then event_id end as seq, case when not (arp or cut) then case when fragment then 0 else body end end as payload_len, case when not (arp or cut or fragment) then repeat('a', body) end as payload from q""")
+def d1_decode_frames(spark, sf_dir):
+    """Link, VLAN, IPv4, TCP and UDP headers, fragments, what is no IP and what is cut."""
+    from .decode.link import decode_packets
+
+    got = decode_packets(_frames(spark, sf_dir))
+    return got.select("pkt_no", "decode_status", "src", "dst", "proto", "fragment", "sport", "dport", "tcp_flags", "seq", "payload_len", F.col("payload").cast("string").alias("payload"))
+
+
+@query(f"""{P0} select pkt_no, wire_len % 40 > 20 as truncated from p0 where proto = 17 and decode_status = 'Ok' and not fragment and event_id % 11 <> 0 and event_id % 13 <> 0 and event_id % 9 <> 0""")
+def d11_truncated(spark, sf_dir):
+    """UDP frames kept to 62 bytes, and whether that cut their payload."""
+    from .decode.link import decode_packets, is_truncated
+
+    got = decode_packets(_frames(spark, sf_dir).where("pkt_no % 11 <> 0 and pkt_no % 13 <> 0 and pkt_no % 9 <> 0"), snap_len=62)
+    return got.where("proto = 17 and not fragment").select("pkt_no", is_truncated(F.col("payload_len"), F.col("payload_total")).alias("truncated"))
+
+
+@query("""select c_custkey, '10.' || (c_custkey % 7) || '.0.' || (c_custkey % 250) as local_addr, cast(40000 + c_custkey % 20000 as int) as local_port, '93.184.' || (c_custkey % 200) || '.34' as remote_addr, 443 as remote_port from customer""")
+def s10_proc_net(spark, sf_dir):
+    """Lines of a kernel socket table made from customers and read back."""
+    k = F.col("c_custkey")
+    word = lambda *octets: F.concat(*[F.lpad(F.hex(o), 2, "0") for o in reversed(octets)])
+    local, remote = word(F.lit(10), k % 7, F.lit(0), k % 250), word(F.lit(93), F.lit(184), k % 200, F.lit(34))
+    line = F.concat(F.lit("   1: "), local, F.lit(":"), F.lpad(F.hex(40000 + k % 20000), 4, "0"), F.lit(" "), remote, F.lit(":01BB 01 00000000:00000000 00:00000000 00000000  1000        0 "), k.cast("string"), F.lit(" 1 0"))
+    parts = text.proc_net_ipv4(F.col("line"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", line.alias("line")).select("c_custkey", *[c.alias(n) for n, c in parts.items()])
+
+
+@query(f"""{P0}, n as (select pkt_no, cast(v * v * v as double) as n from p0), u as (select *, case when n < 999.5 then 0 when n < 999500 then 1 when n < 999500000 then 2 when n < 999500000000 then 3 else 4 end as k from n), x as (select *, n / pow(1000, k) as x from u)
+select pkt_no, case when k = 0 then printf('%.0f', x) when x < 9.995 then printf('%.2f', x) when x < 99.95 then printf('%.1f', x) else printf('%.0f', x) end || ' ' || (array['', 'k', 'M', 'G', 'T'])[k + 1] || 'B' as shown from x""")
+def f19_format_bytes(spark, sf_dir):
+    """sizes with SI prefixes."""
+    return _packets(spark, sf_dir).select("pkt_no", formats.format_bytes((F.col("v") * F.col("v") * F.col("v")).cast("double")).alias("shown"))
+
+
+@query(f"""{P0} select pkt_no, case when pkt_no % 2 = 0 then src || ':' || sport else '[fe80::' || (pkt_no % 9 + 1) || ']:' || sport end as shown from p0""")
+def f24_endpoint(spark, sf_dir):
+    addr = F.when(F.col("pkt_no") % 2 == 0, F.col("src")).otherwise(F.concat(F.lit("fe80::"), (F.col("pkt_no") % 9 + 1).cast("string")))
+    return _packets(spark, sf_dir).select("pkt_no", formats.endpoint(addr, F.col("sport")).alias("shown"))
+
+
 # Counters and series
 
 
@@ -297,6 +363,14 @@ def x3_spike(spark, sf_dir):
     return detectors.spikes(_burst(spark, sf_dir), "bytes_in").select("tick", "bytes", F.round("median", 6).alias("median"), F.round("z", 6).alias("z"))
 
 
+@query(f"""{P0}, s as (select ts_usec // 1000000 as sec, count(*) filter (flags = 2) as a from p0 group by 1), f as (select sec, a >= 4 as high from s), r as (select *, sum(case when high then 0 else 1 end) over (order by sec) as run from f)
+select sec from (select sec, high, row_number() over (partition by run, high order by sec) as k from r) q where high and k = 3""")
+def t11_third_of_run(spark, sf_dir):
+    """The third second in a row with at least four attempts, once for each run."""
+    busy = _packets(spark, sf_dir).groupBy(series.second(F.col("ts_usec")).alias("sec")).agg((F.count_if(F.col("flags") == 2) >= 4).alias("high"))
+    return folds.nth_of_run(busy, "high", "sec", 3).select("sec")
+
+
 @query(f"""{P0}, e as (select distinct src, dst, ts_usec // 1000000 as sec from p0 where flags = 2), c as (select *, row_number() over (partition by src, dst order by sec) as k from e),
 g as (select src, dst, k, sec, sec as emitted, true as fires from c where k = 1 union all select c.src, c.dst, c.k, c.sec, case when c.sec - g.emitted >= 60 then c.sec else g.emitted end, c.sec - g.emitted >= 60 from g join c on c.src = g.src and c.dst = g.dst and c.k = g.k + 1)
 select src, dst, sec from g where fires""")
