@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("filter", nargs="*", help="a capture filter, such as: tcp port 443")
     p.add_argument("-s", "--signatures", default=RULES, metavar="FILE", help="payload rules; 'none' for none")
     p.add_argument("-w", "--write", metavar="DIR", help="writes the filtered packets as captures")
+    p.add_argument("--work", metavar="DIR", help="a folder that all executors share, for decoded packets and flows")
     p.add_argument("--owners", metavar="FILE", help="recorded owners of connections")
     p.add_argument("--local", action="append", default=[], metavar="ADDR", help="an address of this machine")
     p.add_argument("--snaplen", type=int, default=65535)
@@ -63,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
         kept.sortWithinPartitions("ts_usec", "pkt_no").write.format("pcap").mode("append").option("path", args.write).option("linktype", next(iter(links), 1)).save()
     recorded = text.parse_owners(text.read_owner_lines(spark, args.owners)) if args.owners else None
     began = time.time()
-    a = engine.analyse(packets, cfg, rules, recorded)
+    a = engine.analyse(packets, cfg, rules, recorded, args.work)
     alerts = a.alerts.orderBy("ts_usec", "kind", "message")
     lines = text.alert_json_lines(alerts) if args.json else text.alert_text(alerts)
     for row in lines.toLocalIterator():

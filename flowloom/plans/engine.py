@@ -1,8 +1,9 @@
 """The whole analysis of a capture as one plan of DataFrames, and the views a user sees.
 
 ``analyse`` decodes nothing itself: it takes decoded packets, folds flows once (the only Python on
-the path besides decoding), writes that table to the shared folder if asked, and derives the rest
-with relational operators.
+the path besides decoding) and derives the rest with relational operators. If it is given a folder,
+packets and folded flows are written there first, so that neither is computed more than once and
+later steps read only the columns they need.
 """
 
 from __future__ import annotations
@@ -54,14 +55,17 @@ class Analysis:
 
 
 def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[dict] | None = None, recorded: DataFrame | None = None, write_to: str | None = None) -> Analysis:
-    """Everything about decoded ``packets``; ``recorded`` are owners, ``write_to`` keeps the folded table."""
+    """Everything about decoded ``packets``; ``recorded`` are owners, ``write_to`` is a folder for the tables."""
     spark = packets.sparkSession
+    if write_to:
+        packets.write.mode("overwrite").parquet(f"{write_to}/packets")
+        packets = spark.read.parquet(f"{write_to}/packets")
     messages = dns_messages(packets)
     answers = dns_answers(messages)
     folded = flows.fold_flows(packets, answers, cfg, rules)
     if write_to:
-        folded.write.mode("overwrite").parquet(write_to)
-        folded = spark.read.parquet(write_to)
+        folded.write.mode("overwrite").parquet(f"{write_to}/flows")
+        folded = spark.read.parquet(f"{write_to}/flows")
     span = packets.agg(F.min("ts_usec").alias("first"), F.max("ts_usec").alias("last")).first()
     first, last = span.first or 0, span.last or 0
 
