@@ -17,7 +17,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..decode.columnar import cut
 from ..schemas import RAW_PACKETS
@@ -110,7 +110,7 @@ def write_packets(path: str, packets, link_type: int = 1, snap_len: int = 65535)
 def _files(path: str) -> list[str]:
     if os.path.isdir(path):
         return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
-    return sorted(glob.glob(path)) or [path]
+    return sorted(glob.glob(path)) or ([] if glob.has_magic(path) else [path])
 
 
 class _File(InputPartition):
@@ -175,34 +175,41 @@ class PcapReader(DataSourceReader):
         self.path, self.snap_len = options["path"], int(options.get("snaplen", 65535))
 
     def partitions(self):
-        return [_File(p, k * FILE_STRIDE) for k, p in enumerate(_files(self.path))]
+        files = _files(self.path)
+        if not files:
+            raise CaptureError(f"{self.path}: no capture file")
+        return [_File(p, k * FILE_STRIDE) for k, p in enumerate(files)]
 
     def read(self, partition):
         yield from _batches(partition, self.snap_len)
 
 
-class PcapStream(SimpleDataSourceStreamReader):
-    """A directory that captures are moved into; the offset is the number of files already read, by name."""
+class PcapStream(DataSourceStreamReader):
+    """A directory that captures are moved into; the offset is the number of files taken, by name.
+
+    Executors read the files, one a task. Names of later files have to sort behind those of earlier
+    ones. After a restart the first batch takes all files that wait.
+    """
 
     def __init__(self, options: dict):
         self.path, self.snap_len = options["path"], int(options.get("snaplen", 65535))
         self.at_once = int(options.get("maxfilespertrigger", options.get("maxFilesPerTrigger", 1)))
+        self.taken: int | None = None
 
     def initialOffset(self):
+        self.taken = 0
         return {"files": 0}
 
-    def _rows(self, first: int, last: int):
-        for k, p in list(enumerate(_files(self.path)))[first:last]:
-            for n, (ts, link, wire, data) in enumerate(read_packets(p)):
-                data = data[: self.snap_len]
-                yield k * FILE_STRIDE + n, ts, link, len(data), wire, data
+    def latestOffset(self):
+        ready = len(_files(self.path))
+        return {"files": ready if self.taken is None else min(ready, self.taken + self.at_once)}
 
-    def read(self, start):
-        last = min(len(_files(self.path)), start["files"] + self.at_once)
-        return self._rows(start["files"], last), {"files": last}
+    def partitions(self, start, end):
+        self.taken = end["files"]
+        return [_File(p, k * FILE_STRIDE) for k, p in list(enumerate(_files(self.path)))[start["files"] : end["files"]]]
 
-    def readBetweenOffsets(self, start, end):
-        return self._rows(start["files"], end["files"])
+    def read(self, partition):
+        yield from _batches(partition, self.snap_len)
 
     def commit(self, end):
         pass
@@ -251,7 +258,7 @@ class PcapDataSource(DataSource):
     def reader(self, schema):
         return PcapReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return PcapStream(self.options)
 
     def writer(self, schema, overwrite):
