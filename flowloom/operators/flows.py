@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -343,13 +344,31 @@ def with_keys(packets: DataFrame, cfg: EngineConfig) -> DataFrame:
     return packets.where("decode_status = 'Ok' and not fragment").select("src", "dst", "proto", *taken).mapInArrow(run, schema)
 
 
+#: Seconds of a slot that flows and answers are matched in, and for how long after its last packet an answer may name a flow.
+SLOT, AFTER = 300, 302
+
+
 def answers_for_flows(keyed: DataFrame, answers: DataFrame) -> DataFrame:
-    """DNS answers (``addr, name, ts_usec, pkt_no``) as rows of the flows with that address."""
+    """DNS answers (``addr, name, ts_usec, pkt_no``) as rows of the flows that they may name.
+
+    An answer that repeats the name its address has changes nothing. Of the rest a flow gets the
+    newest one up to its first packet, by one sorted pass, and those that come while it lasts, by a
+    join on address and slots of time; so a busy address does not pair all its flows with all its answers.
+    """
     unmapped = lambda c: F.regexp_replace(c, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", "$1")
-    keys = keyed.select("a", "pa", "b", "pb", "proto").distinct()
-    ends = keys.withColumn("addr", F.explode(F.array_distinct(F.array(unmapped("a"), unmapped("b")))))
-    told = answers.groupBy("addr", "ts_usec", "pkt_no").agg(F.last("name").alias("name"))
-    return ends.join(told, "addr").withColumn("kind", F.lit(0))
+    spans = keyed.groupBy(*KEY).agg(F.min(F.struct("ts_usec", "pkt_no")).alias("f"), F.max("ts_usec").alias("last"))
+    ends = spans.withColumn("addr", F.explode(F.array_distinct(F.array(unmapped("a"), unmapped("b")))))
+    in_order = W.partitionBy("addr").orderBy("ts_usec", "pkt_no")
+    told = answers.groupBy("addr", "ts_usec", "pkt_no").agg(F.max("name").alias("name"))
+    told = told.withColumn("same", F.lag("name").over(in_order) == F.col("name")).where("same is null or not same").drop("same")
+    n = F.struct("ts_usec", "pkt_no", "name")
+    both = ends.select(*KEY, "addr", "f.*", F.lit(1).alias("asks")).unionByName(told.select("addr", "ts_usec", "pkt_no", n.alias("n"), F.lit(0).alias("asks")), allowMissingColumns=True)
+    newest = F.last("n", ignorenulls=True).over(W.partitionBy("addr").orderBy("ts_usec", "pkt_no", "asks").rowsBetween(W.unboundedPreceding, 0))
+    before = both.withColumn("n", newest).where("asks = 1 and n is not null").select(*KEY, "addr", "n.*")
+    slots = ends.withColumn("slot", F.explode(F.sequence(F.expr(f"f.ts_usec div {SLOT * _US}"), F.expr(f"(last + {AFTER * _US}) div {SLOT * _US}"))))
+    during = slots.join(told.withColumn("slot", F.expr(f"ts_usec div {SLOT * _US}")), ["addr", "slot"])
+    during = during.where(f"(ts_usec > f.ts_usec or (ts_usec = f.ts_usec and pkt_no > f.pkt_no)) and ts_usec <= last + {AFTER * _US}")
+    return before.unionByName(during.select(*before.columns)).withColumn("kind", F.lit(0))
 
 
 def fold_flows(packets: DataFrame, answers: DataFrame | None = None, cfg: EngineConfig = EngineConfig(), rules: list[dict] | None = None) -> DataFrame:

@@ -241,3 +241,24 @@ def test_schema_of_decoded_packets(spark, capture):
     got = decode_packets(spark.read.format("pcap").option("path", capture).load())
     assert ", ".join(f"{n} {t}" for n, t in got.dtypes) == PACKETS
     assert decode_one(1, b"")["decode_status"] == "Malformed"
+
+
+def test_answers_that_matter_name_flows_as_all_answers_do(spark, monkeypatch):
+    rng, start = random.Random(9), 1_790_168_400_000_000
+    rows, ts = [], start
+    for _ in range(300):
+        ts += rng.choice((1000, 200_000, 1_500_000, 20_000_000, 200_000_000) if rng.random() < 0.3 else (1000, 50_000))
+        rows.append((ts, ether(ipv4(ME, f"9.9.9.{rng.randrange(4)}", 17, udp(5000 + rng.randrange(5), 443, b"x")))))
+    told = [(f"9.9.9.{rng.randrange(4)}", f"n{rng.randrange(3)}.example", rng.choice(rows)[0] + rng.choice((-400_000_000, -1, 0, 1, 900_000, 100_000_000)), 10_000 + k) for k in range(150)]
+    packets = decode_packets(raw_frame(spark, rows))
+    answers = spark.createDataFrame(told, "addr string, name string, ts_usec long, pkt_no long")
+    columns = ["pa", "pb", "b", "a", "session", "event", "pkt_no", "ts_usec", "host", "host_source"]
+    got = sorted(map(tuple, flows.fold_flows(packets, answers, EngineConfig(LOCAL)).select(columns).collect()))
+
+    def every(keyed, answers):
+        ends = keyed.select(*flows.KEY).distinct().withColumn("addr", F.explode(F.array("a", "b")))
+        return ends.join(answers, "addr").withColumn("kind", F.lit(0))
+
+    monkeypatch.setattr(flows, "answers_for_flows", every)
+    want = sorted(map(tuple, flows.fold_flows(packets, answers, EngineConfig(LOCAL)).select(columns).collect()))
+    assert got == want and len({r[8] for r in got}) == 4
