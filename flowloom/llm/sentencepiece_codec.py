@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +25,12 @@ from .common import map_text
 MARK = "▁"
 #: Distinct chunks kept by a task; the table starts anew beyond it.
 MAX_CHUNKS = 300_000
-#: Longer chunks are segmented where they stand and not kept.
+#: Longer chunks are not kept beyond the texts they were found in.
 MAX_KEPT_CHARS = 64
+#: Text bytes whose new chunks are segmented together.
+TOGETHER_BYTES = 1 << 20
+#: Characters of new chunks that the library segments as one string.
+STRING_CHARS = 1 << 14
 
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -36,55 +40,73 @@ class Codec:
 
     def __init__(self, model: bytes):
         self.sp = sp = _processor(model)
-        self.pieces, self.is_byte, exact = _pieces(model)
+        self.opens, self.special, exact = _pieces(model)
         #: Whether the chunk table gives what the library gives; else whole texts are segmented.
         self.chunked = exact
         self.bos = np.uint32(sp.bos_id()).tobytes()
         self.eos = np.uint32(sp.eos_id()).tobytes()
-        self.lone = sp.piece_to_id(MARK)
+        self.lone = np.uint32(sp.piece_to_id(MARK)).tobytes()
         #: Chunk -> ids; and the text of the few chunks that do not decode to themselves.
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {" ": self.lone}
         self.odd: dict[str, str] = {}
 
-    def _decoded(self, ids: list[int]) -> str:
-        if self.is_byte.isdisjoint(ids):
-            return "".join(map(self.pieces.__getitem__, ids))
-        return " " + self.sp.decode(ids)  # decode() takes the first mark away
-
-    def _segment(self, chunks: list[str]) -> dict[str, bytes]:
-        out = {}
-        for chunk, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            if chunk == " ":
-                ids = [self.lone]
-            out[chunk] = array("I", ids).tobytes()
-            if (text := self._decoded(ids)) != chunk:
-                self.odd[chunk] = text
-        return out
+    def _note(self, chunk: str, ids: np.ndarray) -> None:
+        """Only unknown pieces may decode to something else than what they came from."""
+        text = " " + self.sp.decode(ids.tolist())  # decode() takes the first mark away
+        if text != chunk:
+            self.odd[chunk] = text
 
-    def encode_bytes(self, text: str) -> tuple[bytes, str]:
-        """All ids as little-endian 32-bit integers, and the text they decode to."""
-        if not text:
-            return self.bos + self.eos, ""
-        if not self.chunked:
-            ids = [self.sp.bos_id(), *self.sp.encode(text), self.sp.eos_id()]
-            return np.asarray(ids, "<u4").tobytes(), self.sp.decode(ids)
-        chunks = _CHUNK.findall(" " + text.replace(MARK, " "))
-        if new := [c for c in dict.fromkeys(chunks) if c not in self.ids]:
-            got = self._segment(new)
-            if len(self.ids) + len(got) > MAX_CHUNKS:
-                self.ids = {}
-            table = self.ids
-            table.update(got)
-            if len(new) < len(chunks) and not table.keys() >= set(chunks):  # the table began anew within this text
-                table.update(self._segment([c for c in dict.fromkeys(chunks) if c not in table]))
-        ids = b"".join(map(self.ids.__getitem__, chunks))
-        back = "".join(chunks) if not self.odd else "".join([self.odd.get(c, c) for c in chunks])
+    def _segment(self, new: list[str]) -> None:
+        """Puts new chunks into the table.
+
+        Chunks with one mark are put end to end: in what the library makes of the string each begins
+        with the only piece that opens with a mark. Those with several marks are segmented alone.
+        """
+        single, size, flush = [], 0, []
         for c in new:
-            if len(c) > MAX_KEPT_CHARS:
-                del self.ids[c]
-        if len(self.odd) > MAX_CHUNKS:
-            self.chunked, self.odd = False, {}
-        return self.bos + ids + self.eos, back[1:]
+            if c[1:2] == " ":
+                ids = np.array(self.sp.encode(c[1:]), np.uint32)
+                self.ids[c] = ids.tobytes()
+                if self.special[ids].any():
+                    self._note(c, ids)
+                continue
+            single.append(c)
+            size += len(c)
+            if size >= STRING_CHARS:
+                flush.append(single)
+                single, size = [], 0
+        for part in [*flush, single] if single else flush:
+            ids = np.array(self.sp.encode("".join(part)[1:]), np.uint32)
+            at = np.flatnonzero(self.opens[ids])
+            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            self.ids.update(zip(part, map(raw.__getitem__, map(slice, (4 * at).tolist(), ends)), strict=True))
+            for k in np.unique(np.searchsorted(at, np.flatnonzero(self.special[ids]), "right") - 1).tolist():
+                self._note(part[k], ids[at[k] : ends[k] // 4])
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text all ids as little-endian 32-bit integers, and the text they decode to."""
+        if not self.chunked:
+            out = []
+            for t in texts:
+                ids = [self.sp.bos_id(), *self.sp.encode(t), self.sp.eos_id()]
+                out.append((np.asarray(ids, "<u4").tobytes(), self.sp.decode(ids)))
+            return out
+        cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        new = distinct.difference(self.ids)
+        if len(self.ids) + len(new) > MAX_CHUNKS:
+            self.ids, self.odd = {" ": self.lone}, {}
+            new = distinct.difference(self.ids)
+        self._segment(list(new))
+        out, table, odd = [], self.ids, self.odd
+        for chunks in cut:
+            ids = b"".join(map(table.__getitem__, chunks))
+            text = "".join([odd.get(c, c) for c in chunks]) if odd else "".join(chunks)
+            out.append((self.bos + ids + self.eos, text[1:]))
+        for c in [c for c in new if len(c) > MAX_KEPT_CHARS]:
+            del table[c]
+            odd.pop(c, None)
+        return out
 
 
 @lru_cache(2)
@@ -95,15 +117,15 @@ def _processor(model: bytes):
 
 
 @lru_cache(2)
-def _pieces(model: bytes) -> tuple[list[str], frozenset[int], bool]:
-    """Text of each piece, the ids of byte pieces, and whether texts may be cut into chunks."""
+def _pieces(model: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Which pieces open with the mark, which are unknown, and whether texts may be cut into chunks."""
     sp = _processor(model)
     pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
     own = range(len(pieces))
     bounded = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
     plain = sp.normalize(" aé\u0301ﬁ①  \n\t\x00b ") == f"{MARK}{MARK}aé\u0301ﬁ①{MARK}{MARK}\n\t\x00b{MARK}"
-    special = frozenset(i for i in own if sp.is_byte(i) or sp.is_unknown(i) or sp.is_control(i))
-    return [p.replace(MARK, " ") for p in pieces], special, bounded and plain and not any(map(sp.is_unused, own))
+    special = np.array([sp.is_unknown(i) or sp.is_control(i) for i in own])
+    return np.array([p.startswith(MARK) for p in pieces]), special, bounded and plain and not any(map(sp.is_unused, own))
 
 
 def _model(path: str | None) -> bytes:
@@ -123,12 +145,12 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, id_col: str =
         codec = Codec(model)
 
         def kernel(texts):
-            got = [codec.encode_bytes(t) for t in texts]
+            got = codec.encode_many(texts)
             return {"ids": [np.frombuffer(b, "<u4").astype(np.int32) for b, _ in got], "decoded": [d for _, d in got]}
 
         return kernel
 
-    return map_text(docs, make, "ids array<int>, decoded string", id_col, text_col)
+    return map_text(docs, make, "ids array<int>, decoded string", id_col, text_col, TOGETHER_BYTES)
 
 
 def digests(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +161,7 @@ def digests(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_i
         codec = Codec(model)
 
         def kernel(texts):
-            got = [codec.encode_bytes(t) for t in texts]
+            got = codec.encode_many(texts)
             return {
                 "n_tokens": [len(b) // 4 for b, _ in got],
                 "ids_sha256": [hashlib.sha256(b).hexdigest() for b, _ in got],
@@ -148,4 +170,4 @@ def digests(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_i
 
         return kernel
 
-    return map_text(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return map_text(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col, TOGETHER_BYTES)

@@ -56,7 +56,7 @@ def test_chunk_table_that_overflows(monkeypatch):
     codec, rng = sentencepiece_codec.Codec(sentencepiece_codec._model(None)), random.Random(1)
     for t in [prose(rng, 40) for _ in range(20)] + TRICKY:
         ids = codec.sp.encode(t, add_bos=True, add_eos=True)
-        assert codec.encode_bytes(t) == (np.array(ids, "<u4").tobytes(), codec.sp.decode(ids))
+        assert codec.encode_many([t]) == [(np.array(ids, "<u4").tobytes(), codec.sp.decode(ids))]
 
 
 def test_quality_rules_match(docs, corpus, empty):
