@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_files, map_text, materialize
+from .common import drop_files, least_hashes, map_text, materialize
 
 SHINGLE = 3
 SEED = 42
@@ -180,7 +180,7 @@ def link(x: np.ndarray, home: np.ndarray, mask: int) -> np.ndarray:
 
 def shard_links(distinct: DataFrame, n: int) -> DataFrame:
     """``a, b``: a spanning forest of each shard's links between distinct fingerprints ``fp``."""
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in least_hashes(distinct.select("fp"), "fp", SAMPLE).collect()], np.int64).view(np.uint64)
     most = max(1, int(len(sample) * SHARD / max(n, 1)))
     trees = [build(sample, m, most) for m in HALVES]
 
