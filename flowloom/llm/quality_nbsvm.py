@@ -18,14 +18,14 @@ are kept, a null id is not held out.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_text
+from .common import blocks, held_out, labelled_sample, map_text
+from .hashing import DIGIT, MARK, SPACE, Hasher, hash_of, joined, kinds, mix
 
 #: Labelled rows that the model is fitted on at most.
 MAX_ROWS = 6_000
@@ -34,56 +34,78 @@ DIM = 1 << 18
 COST, SWEEPS, ALPHA = 0.1, 8, 1.0
 THRESHOLD = 0.3
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 _SHAPES = DIM // 4  # the first quarter of the buckets is for shapes
-
-
-def _hash(data: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(data, 8)
-
-
-class _Tokens(dict):
-    """Token -> (bucket of the word, code of its shape); a new table after a million distinct tokens."""
-
-    def __missing__(self, token: str):
-        if len(self) > 1_000_000:
-            self.clear()
-        if token[0].isalpha():
-            shape = b"U" if token.isupper() and len(token) > 1 else b"T" if token[0].isupper() else b"l"
-        elif token[0].isdigit():
-            shape = b"0"
-        else:
-            shape = token[:4].encode("utf-8", "surrogatepass")
-        word = _SHAPES + _hash(b"w" + token.encode("utf-8", "surrogatepass")) % (DIM - _SHAPES)
-        self[token] = value = word << 16 | _hash(b"s" + shape) % 65536
-        return value
-
-
-_REPEAT = np.uint64(0x51ED270B)
-
-
-def features(text: str, table: _Tokens) -> np.ndarray:
-    """Sorted distinct buckets of a text."""
-    tokens = _TOKEN.findall(text)
-    if not tokens:
-        return np.zeros(0, np.int64)
-    codes = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
-    words, shapes = np.unique(codes >> 16), (codes & 65535).astype(np.uint64)
-    words_of = shapes <= np.uint64(65535)
-    for t in "\n", ",", ".", "|":
-        words_of &= codes != table[t]
-    shapes[1:][(codes[1:] == codes[:-1]) & words_of[1:]] = _REPEAT
-    for lag in range(2, 7):  # a short phrase or line said again: two tokens equal the two that stand ``lag`` before
-        same = codes[lag:] == codes[:-lag]
-        shapes[lag + 1 :][same[1:] & same[:-1] & (words_of[lag + 1 :] & words_of[lag:-1])] = _REPEAT
-    mul = np.uint64(0x9E3779B97F4A7C15)
-    one = shapes * mul
-    two = (one[:-1] ^ np.uint64(7)) * mul + shapes[1:]
-    three = (two[:-1] ^ np.uint64(11)) * mul + shapes[2:]
-    grams = np.unique(np.concatenate([one, two * mul, three * mul]) >> np.uint64(20))
-    return np.concatenate([(grams % np.uint64(_SHAPES)).astype(np.int64), words])
+#: Characters read at once; a longer text is tokenised in parts of so many.
+PART = 1 << 18
+
+_MUL, _REPEAT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x51ED270B)
+_LOWER, _TITLE, _UPPER, _NUMBER, _LINE = (np.uint64(k) for k in range(1, 6))
+_NEWLINE = 4
+#: Tokens that may repeat without meaning anything.
+_PLAIN = np.array([hash_of(t) for t in ("\n", ",", ".", "|")], np.uint64)
+
+
+def _case(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an upper-case or lower-case letter, ASCII or Latin-1, begins at each byte."""
+    upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    behind = data[lead + 1]
+    upper[lead[(behind < 0x9F) & (behind != 0x97)]] = True
+    lower[lead[(behind >= 0x9F) & (behind != 0xB7)]] = True
+    return upper, lower
+
+
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, hash and shape of each token: runs of letters, digits or marks, and every line end."""
+    kind = kinds(data)
+    kind[data == 10] = _NEWLINE
+    edge = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _NEWLINE)) + 1
+    edge = np.concatenate([[0], edge, [len(kind)]])
+    own = kind[edge[:-1]] != SPACE
+    start, stop = edge[:-1][own], edge[1:][own]
+    kind, of = kind[start], Hasher(data)
+    n_upper, n_lower = (np.concatenate([[0], np.cumsum(c)]) for c in _case(data))
+    ups = n_upper[stop] - n_upper[start]
+    shape = np.where(n_upper[start + 1] > n_upper[start], _TITLE, _LOWER)
+    shape[(n_lower[stop] == n_lower[start]) & (ups > 0) & (stop - start > 1)] = _UPPER
+    shape[kind == DIGIT], shape[kind == _NEWLINE] = _NUMBER, _LINE
+    marks = kind == MARK
+    shape[marks] = mix(of(start[marks], np.minimum(stop, start + 4)[marks]))
+    return start, of(start, stop), shape
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct buckets of each text end to end, and where each text's begin (and the last's end)."""
+    pieces, of = [], []
+    for k, t in enumerate(texts):
+        at = 0
+        while len(t) - at > PART:
+            cut = max(t.rfind(" ", at, at + PART), t.rfind("\n", at, at + PART))
+            cut = cut if cut > at else at + PART
+            pieces.append(t[at:cut]), of.append(k)
+            at = cut
+        pieces.append(t[at:]), of.append(k)
+    of, got = np.array(of, np.int64), []
+    for a, b in blocks(np.array(list(map(len, pieces)), np.int64), PART):
+        data, begin = joined(pieces[a:b])
+        start, *rest = _tokens(data)
+        got.append([of[a:b][np.searchsorted(begin, start, "right") - 1], *rest])
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    doc, code, shape = (np.concatenate(x) for x in zip(*got, strict=True))
+    word = ~np.isin(code, _PLAIN)
+    for lag in range(1, 7):  # a word said again, or a short phrase or line: two tokens equal the two that stand ``lag`` before
+        same = (code[lag:] == code[:-lag]) & (doc[lag:] == doc[:-lag]) & word[lag:]
+        shape[lag:][same if lag == 1 else same & np.concatenate([[False], same[:-1]])[: len(same)]] = _REPEAT
+    one = shape * _MUL
+    two = (one[:-1] ^ np.uint64(7)) * _MUL + shape[1:]
+    three = (two[:-1] ^ np.uint64(11)) * _MUL + shape[2:]
+    in2, in3 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+    grams = mix(np.concatenate([one, two[in2] * _MUL, three[in3] * _MUL])) % np.uint64(_SHAPES)
+    of_gram = np.concatenate([doc, doc[1:][in2], doc[2:][in3]])
+    words = np.uint64(_SHAPES) + mix(code) % np.uint64(DIM - _SHAPES)
+    found = np.unique(np.concatenate([of_gram, doc]) << 18 | np.concatenate([grams, words]).astype(np.int64))
+    return found & (DIM - 1), np.searchsorted(found >> 18, np.arange(len(texts) + 1))
 
 
 @dataclass
@@ -93,9 +115,15 @@ class Model:
     slope: float
     shift: float
 
-    def score(self, rows: np.ndarray) -> float:
-        z = float(self.weights[rows].sum()) / math.sqrt(max(1, len(rows))) + self.bias
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * z + self.shift))))
+    def margins(self, found: np.ndarray, start: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.weights[found], dtype=np.float64)])
+        return (total[start[1:]] - total[start[:-1]]) / np.sqrt(np.maximum(1, np.diff(start))) + self.bias
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        out = [np.zeros(0)]
+        for a, b in blocks(np.array(list(map(len, texts)), np.int64), PART):
+            out.append(1 / (1 + np.exp(-np.clip(self.slope * self.margins(*features(texts[a:b])) + self.shift, -30, 30))))
+        return np.concatenate(out)
 
 
 def coordinate_descent(x: list[np.ndarray], r: np.ndarray, y: np.ndarray, cost: float, sweeps: int) -> tuple[np.ndarray, float]:
@@ -120,12 +148,14 @@ def coordinate_descent(x: list[np.ndarray], r: np.ndarray, y: np.ndarray, cost:
 
 
 def fit(rows: list[tuple[str, str, int]]) -> Model:
-    table = _Tokens()
     y = np.array([1 if r[2] == 1 else -1 for r in rows])
     if len(set(y.tolist())) < 2:
         p = 0.5 if not len(y) else 0.999 if y[0] > 0 else 0.001
         return Model(np.zeros(DIM), 0.0, 1.0, math.log(p / (1 - p)))
-    x = [np.unique(features(r[1], table)) for r in rows]
+    x: list[np.ndarray] = []
+    for a, b in blocks(np.array([len(r[1]) for r in rows]), PART):
+        found, start = features([r[1] for r in rows[a:b]])
+        x += np.split(found.astype(np.int32), start[1:-1])
     test = np.arange(len(x)) % 5 == 0
     if min((y[~test] == s).sum() for s in (-1, 1)) < 1 or len(x) < 50:
         test[:] = False
@@ -136,14 +166,14 @@ def fit(rows: list[tuple[str, str, int]]) -> Model:
             counts[y[k]][x[k]] += 1
         ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
         own = np.flatnonzero(which)
-        return coordinate_descent([x[k] for k in own], ratio, y[own], COST, SWEEPS)
+        return Model(*coordinate_descent([x[k] for k in own], ratio, y[own], COST, SWEEPS), 1.0, 0.0)
 
-    w, bias = train(~test)
     own = test if test.any() else ~test
-    z = np.array([float(w[i].sum()) / math.sqrt(max(1, len(i))) + bias for i in x])[own]
+    first = train(~test)
+    z = np.array([first.margins(i, np.array([0, len(i)]))[0] for i in x])[own]
     slope, shift = calibrate(z, y[own])
-    w, bias = train(np.ones(len(x), bool))
-    return Model(w.astype(np.float32), bias, slope, shift)
+    model = train(np.ones(len(x), bool))
+    return Model(model.weights.astype(np.float32), model.bias, slope, shift)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -167,12 +197,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """``id, held_out, score, predicted`` of every row."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit(labelled_sample(base, labels, "quality", max_rows))
-    model.weights = model.weights.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        table, m = _Tokens(), shared.value
-        return lambda texts: {"score": [m.score(np.unique(features(t, table))) for t in texts]}
+        return lambda texts: {"score": shared.value.scores(texts)}
 
     scored = map_text(docs, make, "score double", id_col, text_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_text
+from .hashing import mix
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -31,13 +32,6 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xD1342543DE82EF95)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit integers (the finalizer of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def repeated(codes: np.ndarray, n: int) -> np.ndarray:
     """True at the words inside an n-gram of ``codes`` that occurs at least twice."""
     m = len(codes) - n + 1

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialize
 from .difference_cover import equal_windows
-from .quality_rules import mix
+from .hashing import TABLE, mix, powers
 
 K = 50
 GRAM = 20
@@ -46,17 +46,7 @@ PACK = 400_000
 PARTS = 4
 
 _LAST = np.iinfo(np.int64).max
-_TABLE = np.random.default_rng(6).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9FB21C651E98DF25
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 4 * K)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b), np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
 
 
 def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -68,7 +58,7 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     power, inverse = powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_TABLE[data] * power[:n], out=sums[1:])
+    np.cumsum(TABLE[data] * power[:n], out=sums[1:])
     gram = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
     least = (gram & _HIGH) | np.arange(len(gram), dtype=np.uint64)  # of equal hashes the leftmost
     for step in (1, 2, 4, 8):
