@@ -3,7 +3,8 @@
 A word's vector is the mean of hashed embeddings: of the word, of its beginnings of three to five
 bytes and of its end of three. Filters one, two and three words wide run over the whole text, each
 takes its maximum, and a logistic layer joins them. A maximum has one place, so a step of training
-touches only the windows that won.
+touches only the windows that won. Words are runs of letters or of digits of the lower-cased text;
+they are found, hashed and looked up for many texts at once.
 
 Thresholds are calibrated by language: on rows the fit has not seen, each language (told from the
 text by its function words) gets the margin that separates its classes best, and that margin is
@@ -13,23 +14,22 @@ The model is fitted on a bounded sample of labelled rows (``MAX_ROWS``, chosen b
 among rows whose crc32 modulo 5 is not 0); every row is scored over its whole text. Labels, the
 columns lang and source, and ids are no inputs of a score.
 
-Defined results: null, empty and blank texts have score 0; without labels of both classes every
-text has score 0 (1 if all labels are 1); repeated rows are kept, a null id is not held out.
+Defined results: null, empty and blank texts, and texts without a letter or digit, have score 0;
+without labels of both classes every other text has score 0 (1 if all labels are 1); repeated rows
+are kept, a null id is not held out.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
-from itertools import chain
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, labelled_sample, map_text
+from .common import blocks, held_out, keep_rows, labelled_sample, map_text
+from .hashing import DIGIT, LETTER, Hasher, hash_of, joined, kinds, mix, runs_of
 
 #: Labelled rows that the model is fitted on at most.
 MAX_ROWS = 4_000
@@ -40,10 +40,9 @@ SHOWN, LEAST_EPOCHS, MOST_EPOCHS = 24_000, 5, 50
 #: Labelled rows of a language, at least, for a threshold of its own.
 LEAST = 60
 THRESHOLD = 0.5
-#: Distinct words whose filter values a worker keeps.
-MAX_WORDS = 200_000
+#: Characters whose words are looked up at once; a longer text is read in parts of so many.
+PART = 1 << 18
 
-_WORD = re.compile(r"[^\W\d_]+|\d+")
 _FUNCTION_WORDS = {
     "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split(),
     "fr": "le la les de des du et un une que qui est dans pour pas sur au avec ce il elle par plus ne se en ou".split(),
@@ -51,49 +50,87 @@ _FUNCTION_WORDS = {
     "es": "el la los las de que y en un una es por con no para su al lo como más del se".split(),
 }
 LANGUAGES = (*_FUNCTION_WORDS, "other")
+#: Parts of a word that have an embedding; a word of three bytes or fewer has the first only.
+PARTS = 5
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def _function_words() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all function words, sorted, and a row for each that tells the languages that have it."""
+    rows: dict[int, list[bool]] = {}
+    for k, own in enumerate(_FUNCTION_WORDS.values()):
+        for w in own:
+            rows.setdefault(hash_of(w), [False] * len(_FUNCTION_WORDS))[k] = True
+    keys = sorted(rows)
+    return np.array(keys, np.uint64), np.array([rows[k] for k in keys])
 
 
-def buckets(word: str) -> list[int]:
-    """The word's own bucket, and those of its beginnings and its end; each kind has a range of its own."""
-    own = word.encode("utf-8", "surrogatepass")
-    out = [crc32(own) % BUCKETS]
-    if len(word) > 3:
-        out += [crc32(own[:3], 1) % BUCKETS, crc32(own[-3:], 2) % BUCKETS]
-        if len(own) > 4:
-            out.append(crc32(own[:4], 3) % BUCKETS)
-            if len(own) > 5:
-                out.append(crc32(own[:5], 4) % BUCKETS)
-    return out
+_FW_HASH, _FW_HAS = _function_words()
 
 
-def spoken(word: str) -> int:
-    """A bit for each language that has this function word."""
-    return _BITS.get(word, 0)
-
-
-_BITS: dict[str, int] = {}
-for _k, _own in enumerate(_FUNCTION_WORDS.values()):
-    for _w in _own:
-        _BITS[_w] = _BITS.get(_w, 0) | 1 << _k
-
-
-def language(bits: np.ndarray) -> int:
-    """Which language's function words a text has most of, from its words' bits; "other" without any."""
-    counts = np.bincount(bits, minlength=1 << len(_FUNCTION_WORDS))
-    own = [int(counts[_HAS[k]].sum()) for k in range(len(_FUNCTION_WORDS))]
-    return own.index(max(own)) if max(own) else len(LANGUAGES) - 1
-
-
-_HAS = [[b for b in range(1 << len(_FUNCTION_WORDS)) if b >> k & 1] for k in range(len(_FUNCTION_WORDS))]
+@dataclass
+class Words:
+    """Words of several texts: distinct ones with their buckets, and the texts as their numbers."""
+
+    ids: np.ndarray
+    start: np.ndarray  # where each text's words begin in ids, and the end
+    buckets: np.ndarray  # (distinct words, PARTS); BUCKETS where a word has no such part
+    count: np.ndarray  # parts that each distinct word has
+    languages: np.ndarray  # (texts, languages): function words
+
+
+def _hashes(text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each word of some bytes begins, its hash, those of its parts and its length."""
+    kind = kinds(text)
+    kind[(kind != LETTER) & (kind != DIGIT)] = 0
+    start, stop = runs_of(kind)
+    of, size = Hasher(text), stop - start
+    first = [of(start, start + np.minimum(size, k)) for k in (3, 4, 5)]
+    return start, of(start, stop), *first, of(stop - np.minimum(size, 3), stop), size
+
+
+def read(texts: list[str]) -> Words:
+    """A word of more than ``PART`` characters may be read as several."""
+    pieces, of = [], []
+    for k, t in enumerate(texts):
+        t, at = t.lower(), 0
+        while len(t) - at > PART:
+            cut = max(t.rfind(" ", at, at + PART), t.rfind("\n", at, at + PART))
+            cut = cut if cut > at else at + PART
+            pieces.append(t[at:cut]), of.append(k)
+            at = cut
+        pieces.append(t[at:]), of.append(k)
+    of, got, n = np.array(of, np.int32), [], 0
+    for a, b in blocks(np.array(list(map(len, pieces))), PART):
+        data, begin = joined(pieces[a:b])
+        start, own, p3, p4, p5, s3, size = _hashes(data)
+        word, first, ids = np.unique(own, return_index=True, return_inverse=True)
+        table = np.full((len(word), PARTS), BUCKETS, np.int32)
+        for k, (h, least) in enumerate(((own, 1), (p3, 4), (s3, 4), (p4, 5), (p5, 6))):
+            has = size[first] >= least
+            table[has, k] = mix(h[first][has] ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(BUCKETS)
+        got.append((of[a:b][np.searchsorted(begin, start, "right") - 1], (ids + n).astype(np.int32), word, table))
+        n += len(word)
+    doc, ids, word, table = (np.concatenate(x) for x in zip(*got, strict=True))
+    if len(got) > 1:  # the same word in several blocks is one
+        word, first, same = np.unique(word, return_index=True, return_inverse=True)
+        ids, table = same[ids], table[first]
+    at = np.minimum(np.searchsorted(_FW_HASH, word), len(_FW_HASH) - 1)
+    known = np.where((_FW_HASH[at] == word)[:, None], _FW_HAS[at], False)
+    spoken = np.zeros((len(texts), len(_FUNCTION_WORDS)), np.int64)
+    heard = np.flatnonzero(known.any(1)[ids])
+    np.add.at(spoken, doc[heard], known[ids[heard]])
+    start = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return Words(ids, start, table, (table < BUCKETS).sum(1), spoken)
+
+
+def languages(spoken: np.ndarray) -> np.ndarray:
+    """Which language's function words each text has most of; "other" without any."""
+    return np.where(spoken.max(1, initial=0) > 0, spoken.argmax(1), len(LANGUAGES) - 1)
 
 
 @dataclass
 class Model:
-    embedding: np.ndarray
+    embedding: np.ndarray  # BUCKETS rows and one of zeros
     filters: list[np.ndarray]  # of each width: (width, SIZE, FILTERS)
     bias: np.ndarray
     out: np.ndarray
@@ -101,119 +138,91 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
     constant: float | None = None
 
-    def project(self, vectors: np.ndarray) -> np.ndarray:
-        """Each word's part in every filter and place: (words, sum of widths x FILTERS)."""
-        return np.concatenate([vectors @ f[k] for f in self.filters for k in range(f.shape[0])], axis=1)
 
+def vectors(embedding: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return embedding[buckets].sum(1) / np.maximum(count, 1)[:, None].astype(np.float32)
 
-def _ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
+def maxima(projected: list[list[np.ndarray]], ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each filter's maximum over each text, and where it is; every text has a word.
 
-def _flat(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words end to end, and where each word's begin."""
-    got = list(map(buckets, own))
-    return np.fromiter(chain.from_iterable(got), np.int32), np.cumsum([0, *map(len, got)])
+    ``projected``: for each width and place in a window what each word adds. A window may hang over
+    the end of its text; what is missing there adds nothing.
+    """
+    last = np.repeat(start[1:], np.diff(start)) - np.arange(len(ids))  # words left in the text
+    top, places = [], []
+    for parts in projected:
+        total = parts[0][ids]
+        for k in range(1, len(parts)):
+            more = parts[k][ids[k:]]
+            more[last[:-k] <= k] = 0
+            total[: len(total) - k] += more
+        where = np.array([total[a:b].argmax(0) + a for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)])
+        top.append(total[where, np.arange(total.shape[1])])
+        places.append(where)
+    return np.concatenate(top, axis=1), places
 
 
 class Scorer:
-    """Scores texts with a table of each distinct word's filter values."""
-
     def __init__(self, model: Model):
         self.m = model
-        self.rows: dict[str, int] = {}
-        self.bits = np.zeros(1024, np.int64)
-        self.table = np.zeros((1024, sum(WIDTHS) * FILTERS), np.float32)
-
-    def ids(self, text_words: list[str]) -> np.ndarray:
-        if len(self.rows) > MAX_WORDS:
-            self.rows.clear()
-        new = [w for w in dict.fromkeys(text_words) if w not in self.rows]
-        for s in range(0, len(new), 4096):
-            part = new[s : s + 4096]
-            flat, at = _flat(part)
-            vectors = np.add.reduceat(self.m.embedding[flat], at[:-1], axis=0) / np.diff(at)[:, None]
-            while len(self.rows) + len(part) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
-            n = len(self.rows)
-            self.table[n : n + len(part)] = self.m.project(vectors.astype(np.float32))
-            self.bits[n : n + len(part)] = [spoken(w) for w in part]
-            self.rows.update(zip(part, range(n, n + len(part)), strict=True))
-        return np.fromiter(map(self.rows.__getitem__, text_words), np.int64, len(text_words))
-
-    def margin(self, ids: np.ndarray) -> float:
-        """A window may hang over the end of the text; what is missing there adds nothing."""
-        pooled, col = [], 0
-        values = self.table[ids]
-        for w in WIDTHS:
-            total = values[:, col : col + FILTERS]
-            for k in range(1, w):
-                total[:-k] += values[k:, col + k * FILTERS : col + (k + 1) * FILTERS]
-            pooled.append(total.max(0))
-            col += w * FILTERS
-        hidden = np.maximum(np.concatenate(pooled) + self.m.bias, 0)
-        return float(hidden @ self.m.out) + self.m.out_bias
-
-    def score(self, text: str) -> float:
-        text_words = words(text)
-        if not text_words:
-            return 0.0
-        if self.m.constant is not None:
-            return self.m.constant
-        ids = self.ids(text_words)
-        z = self.margin(ids) - self.m.thresholds[language(self.bits[ids])]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def train(texts: list[str], y: np.ndarray, seed: int = 10) -> Model:
-    """Adam on the logistic loss; the rarer class weighs as much as four times its rows at most."""
+
+    def margins(self, words: Words) -> np.ndarray:
+        """The margin of each text; NaN without words."""
+        m, out = self.m, np.full(len(words.start) - 1, np.nan)
+        has = np.diff(words.start) > 0
+        if has.any():
+            vec = vectors(m.embedding, words.buckets, words.count)
+            start = np.concatenate([words.start[:-1][has], words.start[-1:]])
+            top, _ = maxima([[vec @ f[k] for k in range(len(f))] for f in m.filters], words.ids, start)
+            out[has] = np.maximum(top + m.bias, 0) @ m.out + m.out_bias
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for a, b in blocks(np.array(list(map(len, texts)), np.int64), PART):
+            words = read(texts[a:b])
+            if self.m.constant is not None:
+                out[a:b] = np.where(np.diff(words.start) > 0, self.m.constant, 0.0)
+                continue
+            z = self.margins(words) - self.m.thresholds[languages(words.languages)]
+            out[a:b] = np.where(np.isnan(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return out
+
+
+def train(words: Words, rows: np.ndarray, y: np.ndarray, seed: int = 10) -> Model:
+    """Adam on the logistic loss over some of the texts; the rarer class weighs as much as four times its rows at most."""
     random = np.random.default_rng(seed)
-    vocab: dict[str, int] = {}
-    rows = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]
-    flat, at = _flat(list(vocab))
-    per_word = np.diff(at)
-    del vocab
     epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, SHOWN // max(1, len(rows))))
-    params = {"e": random.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), "b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "o": random.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.array([-1.0], np.float32)}
+    params = {"e": random.normal(0, 0.1, (BUCKETS + 1, SIZE)).astype(np.float32), "b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "o": random.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.array([-1.0], np.float32)}
+    params["e"][BUCKETS] = 0
     for w in WIDTHS:
         params[f"f{w}"] = random.normal(0, 0.5 / math.sqrt(w), (w, SIZE, FILTERS)).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     boost = min(4.0, max(1.0, (y == 0).sum() / max(1, (y == 1).sum())))
     step = 0
+    size = np.diff(words.start)
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = random.permutation(len(rows))
         for s in range(0, len(order), BATCH):
-            own = [k for k in order[s : s + BATCH] if len(rows[k])]
-            if not own:
+            some = order[s : s + BATCH]
+            some = some[size[rows[some]] > 0]
+            if not len(some):
                 continue
-            ids, start = _ragged([rows[k] for k in own])
-            used, ids = np.unique(ids, return_inverse=True)
-            parts, part_at = _ragged([flat[at[v] : at[v + 1]] for v in used])
-            vec = np.add.reduceat(params["e"][parts], part_at[:-1], axis=0) / per_word[used][:, None]
-            vec = vec.astype(np.float32)
-            last = np.repeat(start[1:], np.diff(start)) - np.arange(len(ids))  # words left in the text
-            hidden, wins = [], []
-            for w in WIDTHS:
-                f = params[f"f{w}"]
-                total = (vec @ f[0])[ids]
-                for k in range(1, w):
-                    more = (vec @ f[k])[ids[k:]]
-                    more[last[:-k] <= k] = 0
-                    total[:-k] += more
-                top = np.maximum.reduceat(total, start[:-1], axis=0)
-                hit = total == np.repeat(top, np.diff(start), axis=0)
-                where = np.minimum.reduceat(np.where(hit, np.arange(len(ids))[:, None], len(ids)), start[:-1], axis=0)
-                hidden.append(top)
-                wins.append(where)
-            pre = np.concatenate(hidden, axis=1) + params["b"]
+            own = rows[some]
+            start = np.cumsum([0, *size[own]])
+            used, ids = np.unique(np.concatenate([words.ids[words.start[k] : words.start[k + 1]] for k in own]), return_inverse=True)
+            parts, count = words.buckets[used], words.count[used]
+            vec = vectors(params["e"], parts, count)
+            hidden, wins = maxima([[vec @ params[f"f{w}"][k] for k in range(w)] for w in WIDTHS], ids, start)
+            pre = hidden + params["b"]
             act = np.maximum(pre, 0)
             keep = random.random(act.shape) > 0.2
             act = act * keep / 0.8
             z = act @ params["o"] + params["c"][0]
-            t = y[own]
+            t = y[some]
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - t) * np.where(t == 1, boost, 1) / len(own)
             grads = {"o": act.T @ g, "c": np.array([g.sum()])}
             gp = g[:, None] * params["o"][None, :] * keep / 0.8 * (pre > 0)
@@ -237,11 +246,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 10) -> Model:
                 second[name] = 0.99 * second[name] + 0.01 * gr * gr
                 params[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             if len(hot):
-                e_rows = np.concatenate([flat[at[v] : at[v + 1]] for v in used[hot]])
-                e_grad = np.repeat(gv[hot] / per_word[used[hot]][:, None], per_word[used[hot]], axis=0)
-                unique, inverse = np.unique(e_rows, return_inverse=True)
+                unique, inverse = np.unique(parts[hot].ravel(), return_inverse=True)
                 total = np.zeros((len(unique), SIZE), np.float32)
-                np.add.at(total, inverse, e_grad)
+                np.add.at(total, inverse, np.repeat(gv[hot] / count[hot][:, None], PARTS, axis=0))
+                total[unique == BUCKETS] = 0
                 second["e"][unique] += total * total  # Adagrad: rows are touched at very different rates
                 params["e"][unique] -= 4 * rate * total / (np.sqrt(second["e"][unique]) + 1e-6)
     return Model(params["e"], [params[f"f{w}"] for w in WIDTHS], params["b"], params["o"], float(params["c"][0]))
@@ -259,26 +267,22 @@ def threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, str, int]]) -> Model:
-    texts, y = [r[1] for r in rows], np.array([int(r[2] == 1) for r in rows], np.int64)
+    y = np.array([int(r[2] == 1) for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         empty = Model(np.zeros((1, SIZE)), [], np.zeros(1), np.zeros(1), 0.0)
         empty.constant = float(len(y) > 0 and y[0] == 1)
         return empty
-    test = np.arange(len(y)) % 4 == 0
+    words = read([r[1] for r in rows])
+    every = np.arange(len(y))
+    test = every % 4 == 0
     if len(y) < 40 or (y[~test] == 1).sum() < 1:
         test[:] = False
-    part = train([t for t, h in zip(texts, test, strict=True) if not h], y[~test])
-    model = train(texts, y)
-    scorer = Scorer(part if test.any() else model)
-    z, of, t = [], [], []
-    for k in np.flatnonzero(test) if test.any() else range(len(y)):
-        if own := words(texts[k]):
-            ids = scorer.ids(own)
-            z.append(scorer.margin(ids))
-            of.append(language(scorer.bits[ids]))
-            t.append(y[k])
-    z, of, t = np.array(z), np.array(of), np.array(t)
-    common = threshold(z, t)
+    model = train(words, every, y)
+    seen = train(words, every[~test], y[~test]) if test.any() else model
+    z, of = Scorer(seen).margins(words), languages(words.languages)
+    own = ~np.isnan(z) & (test | ~test.any())
+    z, of, t = z[own], of[own], y[own]
+    common = threshold(z, t) if len(z) else 0.0
     for k in range(len(LANGUAGES)):
         mine = of == k
         enough = mine.sum() >= LEAST and 3 <= t[mine].sum() <= mine.sum() - 3
@@ -297,7 +301,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def make():
         scorer = Scorer(shared.value)
-        return lambda texts: [scorer.score(t) < THRESHOLD for t in texts]
+        return lambda texts: (scorer.scores(texts) < THRESHOLD).tolist()
 
     return keep_rows(docs, make, text_col)
 
@@ -308,7 +312,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def make():
         scorer = Scorer(shared.value)
-        return lambda texts: {"score": [scorer.score(t) for t in texts]}
+        return lambda texts: {"score": scorer.scores(texts)}
 
     scored = map_text(docs, make, "score double", id_col, text_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

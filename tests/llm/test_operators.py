@@ -323,3 +323,24 @@ def test_labels_are_learnt_only_where_they_may_be(spark):
 def test_quality_query_on_the_small_tables(spark):
     got = queries.op8_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     assert got.where("predicted = quality").count() >= 0.95 * got.count()
+
+
+def test_texts_read_together_or_in_parts_score_the_same(monkeypatch):
+    rng = random.Random(8)
+    rows = [(str(k), prose(rng, 30) + (" vile scum" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(90)]
+    texts = [r[1] for r in rows[:40]] + TRICKY + ["Été! ÉTÉ — “quoted” word—word 12ab", prose(rng, 900)]
+    for module in (toxicity_cnn, quality_nbsvm):
+        model = module.fit(rows)
+        score = (toxicity_cnn.Scorer(model) if module is toxicity_cnn else model).scores
+        together = score(texts)
+        assert np.allclose(together, [score([t])[0] for t in texts]) and len(score([])) == 0
+        monkeypatch.setattr(module, "PART", 340)
+        assert np.allclose(score(texts), together)
+
+
+def test_the_least_hashes_are_a_bounded_sample(spark):
+    df = spark.range(5000).repartition(7)
+    hashes = {r.id: r.h for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    want = sorted(hashes, key=hashes.get)
+    for n in (1, 50, 4999, 5000, 9000):
+        assert [r.id for r in common.least_hashes(df, "id", n).collect()] == want[:n]
