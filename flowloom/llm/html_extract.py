@@ -189,7 +189,7 @@ def trained(pages: list[str] | None = None) -> tuple:
         blocks = flat_blocks(page)
         ys += [b.text.startswith("+") for b in blocks]
         xs.append(features(blocks))
-    return grow(np.concatenate(xs), np.array(ys, float), least=4)
+    return grow(np.concatenate(xs), np.array(ys, float), depth=4)
 
 
 def main_text(page: str, tree: tuple) -> str:
