@@ -36,7 +36,7 @@ MAX_ROWS = 4_000
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
 BATCH, RATE = 64, 0.02
 #: Rows shown in training, repeats counted; few rows are shown more often.
-SHOWN, LEAST_EPOCHS, MOST_EPOCHS = 24_000, 5, 50
+SHOWN, LEAST_EPOCHS, MOST_EPOCHS = 24_000, 5, 200
 #: Labelled rows of a language, at least, for a threshold of its own.
 LEAST = 60
 THRESHOLD = 0.5
