@@ -39,7 +39,7 @@ def op8_quality(spark, sf_dir):
 
 
 def op9_token_counts(spark, sf_dir):
-    return token_counts.token_counts(common.table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(common.table(spark, sf_dir, "documents"), max_word=None)
 
 
 def op10_toxicity(spark, sf_dir):

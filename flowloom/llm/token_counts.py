@@ -6,9 +6,11 @@ adds the node's precomputed count and takes its link. The greedy longest-match-f
 is counted this way without building a piece, in time linear in the word.
 
 A word is a run of anything but ASCII white space. Pieces that begin a word and pieces that
-continue one are two sets; a word that cannot be segmented, or is longer than ``MAX_WORD`` code
-points, counts as one unknown piece. Any SentencePiece model gives both sets: pieces that begin
-with U+2581, and the others.
+continue one are two sets; a word that cannot be segmented counts as one unknown piece. Any
+SentencePiece model gives both sets: pieces that begin with U+2581, and the others. The automaton
+reads a word of any length to its end. A WordPiece model takes words of more than ``MAX_WORD`` code
+points for unknown without reading them; ``max_word`` is there to compare with it, and the
+registered query gives no limit.
 
 Defined results: null and empty texts have no words and no pieces; repeated rows and null ids stay.
 """
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from .common import map_text
 
 MAX_WORD = 100
-MAX_KEPT = 300_000
+#: Words kept with their counts, and the bytes of the longest kept; longer ones are counted each time.
+MAX_KEPT, KEPT_BYTES = 300_000, 400
 
 
 def vocabulary(path: str | None = None) -> tuple[list[str], list[str]]:
@@ -75,8 +78,6 @@ class Automaton:
 
     def count(self, word: str) -> int:
         """Pieces of the word; -1 if it cannot be segmented."""
-        if len(word) > MAX_WORD:
-            return -1
         node = total = 0
         for c in word:
             while (nxt := self.edge[node].get(c)) is None:
@@ -94,12 +95,15 @@ class Automaton:
 
 
 class _Counts(dict):
-    def __init__(self, automaton: Automaton):
+    def __init__(self, automaton: Automaton, max_word: int | None):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.max_word = automaton, max_word
 
     def __missing__(self, word: bytes) -> int:
-        n = self.automaton.count(word.decode("utf-8", "surrogatepass"))
+        w = word.decode("utf-8", "surrogatepass")
+        n = -1 if self.max_word is not None and len(w) > self.max_word else self.automaton.count(w)
+        if len(word) > KEPT_BYTES:
+            return n
         if len(self) >= MAX_KEPT:
             self.clear()
         self[word] = n
@@ -111,12 +115,15 @@ def _automaton(begin: tuple[str, ...], inside: tuple[str, ...]) -> Automaton:
     return Automaton(list(begin), list(inside))
 
 
-def token_counts(docs: DataFrame, vocab: tuple[list[str], list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_words, n_tokens, n_unknown`` of every row; an unknown word is one token."""
+def token_counts(docs: DataFrame, vocab: tuple[list[str], list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", max_word: int | None = MAX_WORD) -> DataFrame:
+    """``id, n_words, n_tokens, n_unknown`` of every row; an unknown word is one token.
+
+    Words of more than ``max_word`` code points are unknown; with None every word is read.
+    """
     begin, inside = map(tuple, vocab or vocabulary())
 
     def make():
-        counts = _Counts(_automaton(begin, inside))
+        counts = _Counts(_automaton(begin, inside), max_word)
 
         def kernel(texts):
             out = {"n_words": [], "n_tokens": [], "n_unknown": []}

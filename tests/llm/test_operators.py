@@ -273,6 +273,32 @@ def test_automaton_against_greedy_segmentation():
             assert machine.count(word) == n
 
 
+def test_long_words_are_counted_to_their_end(spark, tmp_path):
+    begin, inside = map(set, token_counts.vocabulary())
+    longest = max(map(len, begin | inside))
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            own = inside if at else begin
+            size = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in own), 0)
+            if not size:
+                return 1, 1
+            n, at = n + 1, at + size
+        return n, 0
+
+    rng = random.Random(9)
+    url = "https://example.org/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/-=") for _ in range(5000))
+    texts = ["x" * 100, "x" * 101, url, f"a {url} b {url}\n" + "y" * 700, "x" * 150 + "\U0010fffd", "的" * 3000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        got = [greedy(w) for w in brute.SPACE_WORD.findall(t or "")]
+        want.append((i, len(got), sum(n for n, _ in got), sum(u for _, u in got)))
+    assert want[1][2] > 1 and want[2][2] > 500 and want[4][3] == 1
+    assert rows_of(queries.op9_token_counts(spark, str(tmp_path)), "doc_id", "n_words", "n_tokens", "n_unknown") == sorted(want, key=repr)
+
+
 def labelled(spark, n=700, seed=1):
     rng, bad = random.Random(seed), "vile scum wretch".split()
     rows = []
