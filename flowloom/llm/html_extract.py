@@ -8,8 +8,9 @@ boilerplate by its element or by its class, id or role. A decision tree trained
 labelled table of ``html_labels`` tells main text from the rest.
 
 Defined results: null and empty pages, and pages without a main-text block, have text "" and 0
-characters; what is not closed ends with what it stands in; an unclosed comment, script or style
-runs to the end; unknown character references stay as they are. Repeated rows and null ids stay.
+characters; what is not closed ends with what it stands in, a table cell also with the next cell,
+row or part of its table; containers are followed at any depth; an unclosed comment, script or
+style runs to the end; unknown character references stay as they are. Repeated rows and null ids stay.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style",
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
 #: Elements that stay open until they, or what they stand in, are closed.
 _CONTAINER = frozenset("html body div section article main nav header footer aside form dialog menu fieldset noscript template svg math object canvas details figure table td ul ol dl blockquote center head select button".split())
+#: Their start tags end an open cell of the same table, and so do the end tags of all but ``th``.
+_ENDS_CELL = frozenset("td th tr tbody thead tfoot".split())
 _BOILER_TAG = frozenset("nav footer aside form dialog menu fieldset noscript template svg math object canvas head select button".split())
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _BOILER_NAME = re.compile(
@@ -80,9 +83,18 @@ def flat_blocks(page: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     # name, zone in force, boilerplate elements and names around
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    opened: dict[str, list[int]] = {}  # places in the stack, by name
     link = heading = False
     pos, n = 0, len(page)
 
+    def close(name: str):
+        """Closes the innermost element of the name, a cell only within its table, with all it holds."""
+        places = opened.get(name)
+        if places and (name != "td" or places[-1] > (opened.get("table") or [0])[-1]):
+            at = places[-1]
+            while len(stack) > at:
+                opened[stack.pop()[0]].pop()
+
     def flush():
         nonlocal parts
         if not parts:
@@ -120,15 +132,16 @@ def flat_blocks(page: str) -> list[Block]:
                 end = _RAW[tag].search(page, pos)
                 pos = end.start() if end else n
             continue
+        if tag in _ENDS_CELL and not (closing and tag == "th"):
+            close("td")
         if tag in _CONTAINER:
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-            elif not attrs.endswith("/") and len(stack) < 4096:
+                if tag != "td":  # done above
+                    close(tag)
+            elif not attrs.endswith("/"):
                 _, zone, by_tag, by_name = stack[-1]
                 own, t, b = _kind(tag, attrs, zone in (1, 2))
+                opened.setdefault(tag, []).append(len(stack))
                 stack.append((tag, own or zone, by_tag or t, by_name or b))
         heading = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     flush()

@@ -96,6 +96,22 @@ def test_html_labelled_pages_and_broken_markup(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_containers_at_any_depth():
+    def zones(page):
+        return [(b.text, b.zone) for b in html_extract.flat_blocks(page)]
+
+    tail = "<aside>related</aside><div class=ad>buy</div><p>last</p></article>"
+    cells = zones("<article><table>" + "<tr><td>a<td>b" * 3000 + "</table>" + tail)
+    assert len(cells) == 6003 and {z for _, z in cells[:-3]} == {1} and cells[-3:] == [("related", 3), ("buy", 3), ("last", 1)]
+    assert zones("<article>" + "<div>" * 6000 + "in" + "</div>" * 6000 + tail) == [("in", 1), ("related", 3), ("buy", 3), ("last", 1)]
+    assert zones("<article>" + "<div>" * 6000 + tail) == [("related", 3), ("buy", 3), ("last", 1)]
+    # a cell ends what stands in it, but only a cell of its own table
+    assert zones("<article><table><tr><td><div class=ad>buy<td>b<tr class=x><th>c</table>") == [("buy", 3), ("b", 1), ("c", 1)]
+    assert zones("<table><tr><td class=content>a<table><tr><td class=ad>buy<tr><td>b</tr></td></table>c<td>d</table>") == [("a", 1), ("buy", 3), ("b", 1), ("c", 1), ("d", 0)]
+    deep = 200_000  # closing stays cheap
+    assert zones("<article>" + "<div>" * deep + "</section>" * deep + "<td>x" + "</table>" * deep) == [("x", 1)]
+
+
 def test_simhash_fingerprints_and_components(docs, corpus, empty):
     near = simhash_vptree.near_duplicates(docs)
     got = near.collect()
