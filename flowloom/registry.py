@@ -16,6 +16,8 @@ from .sources import projection, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Registered too, but beyond SQL; tests hold them against brute force.
+WITHOUT_SQL: dict = {}
 P0 = projection.oracle_cte()
 P0_HOLES = projection.oracle_cte(holes=True)
 #: Local addresses of the projected packets; 192.168.1.12 is not among them.
@@ -619,13 +621,13 @@ def m9_signature_alerts(spark, sf_dir):
 # The packet fold over the projection: sessions, roles, handshakes
 
 
-def _decoded(spark, sf_dir) -> DataFrame:
+def _decoded(spark, sf_dir, *more) -> DataFrame:
     """The projection in the columns of decoded packets, without payloads."""
-    d = _directed(_packets(spark, sf_dir)).where("proto = 17")
+    d = _directed(_packets(spark, sf_dir))
     return d.select(
         "pkt_no", "ts_usec", "wire_len", F.col("wire_len").alias("cap_len"), "decode_status", F.lit(4).alias("ip_version"), F.col("s").alias("src"), F.col("d").alias("dst"), "proto", "fragment", F.lit(True).alias("has_l4"),
         F.col("sp").alias("sport"), F.col("dp").alias("dport"), F.lit(None).cast("int").alias("tcp_flags"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("ack"), F.lit(None).cast("int").alias("icmp_type"),
-        F.lit(None).cast("int").alias("icmp_code"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("bigint").alias("payload_len"), F.lit(0).cast("bigint").alias("payload_total"),
+        F.lit(None).cast("int").alias("icmp_code"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("bigint").alias("payload_len"), F.lit(0).cast("bigint").alias("payload_total"), *more,
     )
 
 
@@ -637,8 +639,32 @@ def t3_flow_fold(spark, sf_dir):
     from .config import EngineConfig
     from .operators.flows import flow_totals, fold_flows
 
-    t = flow_totals(fold_flows(_decoded(spark, sf_dir), cfg=EngineConfig(local=LOCAL)))
+    t = flow_totals(fold_flows(_decoded(spark, sf_dir).where("proto = 17"), cfg=EngineConfig(local=LOCAL)))
     client = F.struct(F.col("a").alias("src"), F.col("pa").alias("sport"), F.col("b").alias("dst"), F.col("pb").alias("svc_port"))
     server = F.struct(F.col("b").alias("src"), F.col("pb").alias("sport"), F.col("a").alias("dst"), F.col("pa").alias("svc_port"))
     from_a = F.col("a").startswith("10.0.0.")
     return t.select(F.when(from_a, client).otherwise(server).alias("e"), "*").select("e.*", "session", "packets", (F.col("bytes_in") + F.col("bytes_out")).cast("bigint").alias("bytes"), "first_usec", "last_usec", "service")
+
+
+def _with_bodies(spark, sf_dir) -> DataFrame:
+    """The decoded projection, every protocol, with TCP flags, stream positions around 2^32 that overlap and leave holes, and bodies, some cut."""
+    tcp, body, at = F.col("proto") == 6, F.expr("(wire_len - 60) % 40"), F.expr("pkt_no div 2")
+    kept = F.when(F.col("pkt_no") % 8 == 5, F.expr("(wire_len - 60) % 40 div 2")).otherwise(body)
+    flags = F.when(F.col("pkt_no") % 31 == 0, 20).otherwise(F.col("flags"))
+    return _decoded(spark, sf_dir, "flags").withColumns({
+        "tcp_flags": F.when(tcp, flags).cast("int"), "seq": F.when(tcp, (at + 4294967046) % 4294967296), "payload_total": body, "payload_len": kept,
+        "payload": F.substring(F.repeat(F.lit("abcdefghijklmnopqrstuvwxyz"), 3), (at % 26 + 1).cast("int"), kept.cast("int")).cast("binary"),
+    }).drop("flags")
+
+
+def t3_flow_fold_all(spark, sf_dir):
+    """The stateful fold over every packet of a flow: what the flow is after it, handshakes it completes, matches in its part of the stream."""
+    from .config import EngineConfig
+    from .operators.flows import fold_flows
+
+    rule = [{"rule_id": 0, "content": b"xyzab", "nocase": False}]
+    t = fold_flows(_with_bodies(spark, sf_dir), cfg=EngineConfig(local=LOCAL), rules=rule)
+    return t.select("pkt_no", "session", "incarnation", "outbound", "service", "client_is_a", "transit", "half_open", "closed", "completed", F.size("rules").alias("matches"))
+
+
+WITHOUT_SQL["t3_flow_fold_all"] = t3_flow_fold_all
