@@ -187,6 +187,15 @@ def d11_truncated(spark, sf_dir):
     return got.where("proto = 17 and not fragment").select("pkt_no", is_truncated(F.col("payload_len"), F.col("payload_total")).alias("truncated"))
 
 
+@query(f"""{P0} select pkt_no, wire_len % 40 > case when event_id % 9 = 0 then 16 else 20 end as truncated from p0 where proto = 17 and decode_status = 'Ok' and not fragment and event_id % 11 <> 0 and event_id % 13 <> 0""")
+def d11_truncated_all(spark, sf_dir):
+    """The same from every frame: a VLAN tag takes 4 of the 62 bytes, and decoding tells what is no IP or malformed."""
+    from .decode.link import decode_packets, is_truncated
+
+    got = decode_packets(_frames(spark, sf_dir), snap_len=62)
+    return got.where("decode_status = 'Ok' and proto = 17 and not fragment").select("pkt_no", is_truncated(F.col("payload_len"), F.col("payload_total")).alias("truncated"))
+
+
 @query("""select c_custkey, '10.' || (c_custkey % 7) || '.0.' || (c_custkey % 250) as local_addr, cast(40000 + c_custkey % 20000 as int) as local_port, '93.184.' || (c_custkey % 200) || '.34' as remote_addr, 443 as remote_port from customer""")
 def s10_proc_net(spark, sf_dir):
     """Lines of a kernel socket table made from customers and read back."""
@@ -445,14 +454,27 @@ def j3_best_name(spark, sf_dir):
     return naming.best_name(n, ["src", "sport"])
 
 
+def _lookups(p: DataFrame) -> DataFrame:
+    code = F.when(F.col("event_id") % 4 == 0, 0).when(F.col("event_id") % 4 == 3, 2).otherwise(3)
+    rows = p.select("ts_usec", "pkt_no", F.expr("'n' || cast(event_id div 7 % 3 as string)").alias("name"), F.lit(1).alias("qtype"), code.alias("rcode"))
+    return naming.dedupe_lookups(rows).select("ts_usec", "name", "failed")
+
+
 @query(f"""{P0}, e as (select row_number() over (order by ts_usec, pkt_no) as k, ts_usec, pkt_no, 'n' || (event_id // 7 % 3) as name, case event_id % 4 when 0 then 0 when 3 then 2 else 3 end as rcode from p0 where event_id % 3 <> 1),
 g as (select k, ts_usec, name, ts_usec as since, rcode = 3 as failed, k as head from e where k = 1 union all
   select e.k, e.ts_usec, e.name, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.since else e.ts_usec end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.failed and e.rcode <> 0 else e.rcode = 3 end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.head else e.k end from g join e on e.k = g.k + 1)
 select max(since) as ts_usec, name, arg_max(failed, k) as failed from g group by head, name""")
 def t12_lookup_dedupe(spark, sf_dir):
-    code = F.when(F.col("event_id") % 4 == 0, 0).when(F.col("event_id") % 4 == 3, 2).otherwise(3)
-    rows = _packets(spark, sf_dir).where("event_id % 3 <> 1").select("ts_usec", "pkt_no", F.expr("'n' || cast(event_id div 7 % 3 as string)").alias("name"), F.lit(1).alias("qtype"), code.alias("rcode"))
-    return naming.dedupe_lookups(rows).select("ts_usec", "name", "failed")
+    return _lookups(_packets(spark, sf_dir).where("event_id % 3 <> 1"))
+
+
+@query(f"""{P0}, e as (select row_number() over (order by ts_usec, pkt_no) as k, ts_usec, pkt_no, 'n' || (event_id // 7 % 3) as name, case event_id % 4 when 0 then 0 when 3 then 2 else 3 end as rcode from p0),
+g as (select k, ts_usec, name, ts_usec as since, rcode = 3 as failed, k as head from e where k = 1 union all
+  select e.k, e.ts_usec, e.name, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.since else e.ts_usec end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.failed and e.rcode <> 0 else e.rcode = 3 end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.head else e.k end from g join e on e.k = g.k + 1)
+select max(since) as ts_usec, name, arg_max(failed, k) as failed from g group by head, name""")
+def t12_lookup_dedupe_all(spark, sf_dir):
+    """Lookups of every packet."""
+    return _lookups(_packets(spark, sf_dir))
 
 
 # Owners
@@ -609,13 +631,25 @@ def m4_match_across_turns(spark, sf_dir):
 
 _HITS = f"""{P0}, h as (select *, cast(v % 3 as int) as rule_id from p0 where v % 11 = 0), d as (select distinct rule_id, src, dst, ts_usec from h), c as (select *, row_number() over (partition by rule_id, src, dst order by ts_usec) as k from d),
 g as (select rule_id, src, dst, ts_usec, k, ts_usec as at, true as fires from c where k = 1 union all select c.rule_id, c.src, c.dst, c.ts_usec, c.k, case when c.ts_usec - g.at >= 60000000 then c.ts_usec else g.at end, c.ts_usec - g.at >= 60000000 from g join c on c.rule_id = g.rule_id and c.src = g.src and c.dst = g.dst and c.k = g.k + 1)"""
+_ALL_HITS = _HITS.replace("where v % 11 = 0", "")
+
+
+def _alerts(spark, p: DataFrame) -> DataFrame:
+    hits = p.select("ts_usec", "pkt_no", (F.col("v") % 3).cast("int").alias("rule_id"), "src", "sport", "dst", F.col("svc_port").alias("dport"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).otherwise("").alias("host"), F.lit("").alias("app"))
+    return signatures.signature_alerts(hits, signatures.rules_table(spark, CORPUS_RULES)).select("ts_usec", "message")
 
 
 @query(f"""{_HITS} select h.ts_usec, h.src || ':' || h.sport || ' → ' || h.dst || ':' || h.svc_port || case when h.user_id % 2 = 0 then ' (h' || h.user_id || ')' else '' end || ', signature ' || (array['tracker', 'licence', 'script'])[1 + h.rule_id] as message
 from h join g on g.fires and g.rule_id = h.rule_id and g.src = h.src and g.dst = h.dst and g.ts_usec = h.ts_usec""")
 def m9_signature_alerts(spark, sf_dir):
-    hits = _packets(spark, sf_dir).where("v % 11 = 0").select("ts_usec", "pkt_no", (F.col("v") % 3).cast("int").alias("rule_id"), "src", "sport", "dst", F.col("svc_port").alias("dport"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).otherwise("").alias("host"), F.lit("").alias("app"))
-    return signatures.signature_alerts(hits, signatures.rules_table(spark, CORPUS_RULES)).select("ts_usec", "message")
+    return _alerts(spark, _packets(spark, sf_dir).where("v % 11 = 0"))
+
+
+@query(f"""{_ALL_HITS} select h.ts_usec, h.src || ':' || h.sport || ' → ' || h.dst || ':' || h.svc_port || case when h.user_id % 2 = 0 then ' (h' || h.user_id || ')' else '' end || ', signature ' || (array['tracker', 'licence', 'script'])[1 + h.rule_id] as message
+from h join g on g.fires and g.rule_id = h.rule_id and g.src = h.src and g.dst = h.dst and g.ts_usec = h.ts_usec""")
+def m9_signature_alerts_all(spark, sf_dir):
+    """A hit in every packet."""
+    return _alerts(spark, _packets(spark, sf_dir))
 
 
 # The packet fold over the projection: sessions, roles, handshakes
