@@ -8,9 +8,8 @@ is counted this way without building a piece, in time linear in the word.
 A word is a run of anything but ASCII white space. Pieces that begin a word and pieces that
 continue one are two sets; a word that cannot be segmented counts as one unknown piece. Any
 SentencePiece model gives both sets: pieces that begin with U+2581, and the others. The automaton
-reads a word of any length to its end. A WordPiece model takes words of more than ``MAX_WORD`` code
-points for unknown without reading them; ``max_word`` is there to compare with it, and the
-registered query gives no limit.
+reads a word of any length to its end. A WordPiece model may take words of more than some code
+points for unknown without reading them; ``max_word`` is there to compare with one, and is not set.
 
 Defined results: null and empty texts have no words and no pieces; repeated rows and null ids stay.
 """
@@ -23,7 +22,6 @@ from pyspark.sql import DataFrame
 
 from .common import map_text
 
-MAX_WORD = 100
 #: Words kept with their counts, and the bytes of the longest kept; longer ones are counted each time.
 MAX_KEPT, KEPT_BYTES = 300_000, 400
 
@@ -115,7 +113,7 @@ def _automaton(begin: tuple[str, ...], inside: tuple[str, ...]) -> Automaton:
     return Automaton(list(begin), list(inside))
 
 
-def token_counts(docs: DataFrame, vocab: tuple[list[str], list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", max_word: int | None = MAX_WORD) -> DataFrame:
+def token_counts(docs: DataFrame, vocab: tuple[list[str], list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text", max_word: int | None = None) -> DataFrame:
     """``id, n_words, n_tokens, n_unknown`` of every row; an unknown word is one token.
 
     Words of more than ``max_word`` code points are unknown; with None every word is read.
