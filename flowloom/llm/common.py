@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -78,8 +80,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     """At most ``limit`` learnable (id text, text, label) rows, chosen by a hash of the id.
 
     The chosen ids are at most ``limit`` rows, so the join with the texts is a broadcast of known
-    size and the texts are never shuffled. Null labels and ids are left out; an id with several
-    labels takes the largest.
+    size; of an id's texts the least goes on, so repeated ids are combined where they are read. Null
+    labels and ids are left out; an id with several labels takes the largest.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -88,8 +90,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     )
     chosen = least_hashes(known, "doc_id", limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.select(F.col("doc_id").cast("string").alias("k"), F.coalesce("text", F.lit("")).alias("text"), "y")
-    return sorted({(r.k, r.text, r.y) for r in got.toLocalIterator()})
+    got = rows.groupBy(F.col("doc_id").cast("string").alias("k")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    return sorted((r.k, r.text, r.y) for r in got.toLocalIterator())
 
 
 def blocks(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -105,6 +107,21 @@ def blocks(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(text: str, most: int):
+    """Cuts a text before spaces or line ends into parts of at most ``most`` characters; a longer word is a part of its own."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
+        if cut < 0:
+            ends = [k for k in (text.find(" ", at + most), text.find("\n", at + most)) if k >= 0]
+            if not ends:
+                break
+            cut = min(ends)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def release() -> None:
     """Gives memory that a task no longer needs back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

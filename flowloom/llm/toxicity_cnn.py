@@ -6,9 +6,13 @@ takes its maximum, and a logistic layer joins them. A maximum has one place, so
 touches only the windows that won. Words are runs of letters or of digits of the lower-cased text;
 they are found, hashed and looked up for many texts at once.
 
-Thresholds are calibrated by language: on rows the fit has not seen, each language (told from the
-text by its function words) gets the margin that separates its classes best, and that margin is
-what a score of 0.5 stands for. Languages with too few rows use the margin of all.
+Only buckets of several training texts have an embedding, so a word that a single text has cannot
+decide, and its first number begins with how far the texts that have it lean to a class. A fifth of
+the labelled rows is not trained on: it chooses the pass over the others that stays.
+
+Thresholds are calibrated by language, for the model that scores, on that fifth: each language (told
+from the text by its function words) gets the margin that separates its classes best, and that
+margin is what a score of 0.5 stands for. Languages with too few rows use the margin of all.
 
 The model is fitted on a bounded sample of labelled rows (``MAX_ROWS``, chosen by a hash of the id
 among rows whose crc32 modulo 5 is not 0); every row is scored over its whole text. Labels, the
@@ -28,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, keep_rows, labelled_sample, map_text
+from .common import blocks, held_out, keep_rows, labelled_sample, map_text, pieces
 from .hashing import DIGIT, LETTER, Hasher, hash_of, joined, kinds, mix, runs_of
 
 #: Labelled rows that the model is fitted on at most.
@@ -39,8 +43,12 @@ BATCH, RATE = 64, 0.02
 SHOWN, LEAST_EPOCHS, MOST_EPOCHS = 24_000, 5, 200
 #: Labelled rows of a language, at least, for a threshold of its own.
 LEAST = 60
+#: Texts of the training rows, at least, that a bucket's words are in.
+LEAST_TEXTS = 3
+#: Bound of the standard score that an embedding begins with.
+LEAN = 8.0
 THRESHOLD = 0.5
-#: Characters whose words are looked up at once; a longer text is read in parts of so many.
+#: Characters whose words are looked up at once; a longer text is read in parts that end between words.
 PART = 1 << 18
 
 _FUNCTION_WORDS = {
@@ -78,6 +86,14 @@ class Words:
     languages: np.ndarray  # (texts, languages): function words
 
 
+    def some(self, rows: np.ndarray) -> Words:
+        """The same for some of the texts."""
+        size = (self.start[1:] - self.start[:-1])[rows]
+        ids = np.concatenate([self.ids[:0], *(self.ids[self.start[k] : self.start[k + 1]] for k in rows.tolist())])
+        used, ids = np.unique(ids, return_inverse=True)
+        return Words(ids, np.concatenate([[0], np.cumsum(size)]), self.buckets[used], self.count[used], self.languages[rows])
+
+
 def _hashes(text: np.ndarray) -> tuple[np.ndarray, ...]:
     """Where each word of some bytes begins, its hash, those of its parts and its length."""
     kind = kinds(text)
@@ -89,19 +105,11 @@ def _hashes(text: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def read(texts: list[str]) -> Words:
-    """A word of more than ``PART`` characters may be read as several."""
-    pieces, of = [], []
-    for k, t in enumerate(texts):
-        t, at = t.lower(), 0
-        while len(t) - at > PART:
-            cut = max(t.rfind(" ", at, at + PART), t.rfind("\n", at, at + PART))
-            cut = cut if cut > at else at + PART
-            pieces.append(t[at:cut]), of.append(k)
-            at = cut
-        pieces.append(t[at:]), of.append(k)
-    of, got, n = np.array(of, np.int32), [], 0
-    for a, b in blocks(np.array(list(map(len, pieces))), PART):
-        data, begin = joined(pieces[a:b])
+    own = [list(pieces(t.lower(), PART)) for t in texts]
+    parts, of = [p for x in own for p in x], np.repeat(np.arange(len(texts), dtype=np.int32), list(map(len, own)))
+    got, n = [], 0
+    for a, b in blocks(np.array(list(map(len, parts))), PART):
+        data, begin = joined(parts[a:b])
         start, own, p3, p4, p5, s3, size = _hashes(data)
         word, first, ids = np.unique(own, return_index=True, return_inverse=True)
         table = np.full((len(word), PARTS), BUCKETS, np.int32)
@@ -190,14 +198,39 @@ class Scorer:
         return out
 
 
-def train(words: Words, rows: np.ndarray, y: np.ndarray, seed: int = 10) -> Model:
-    """Adam on the logistic loss over some of the texts; the rarer class weighs as much as four times its rows at most."""
+def leaning(words: Words, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets have a part of a word of at least ``LEAST_TEXTS`` of the texts, and how far each leans to class 1.
+
+    The lean is the standard score of the texts of class 1 among those that have the bucket.
+    """
+    texts = np.zeros((2, BUCKETS + 1))
+    for k, t in zip(rows.tolist(), y.tolist(), strict=True):
+        texts[t, np.unique(words.buckets[np.unique(words.ids[words.start[k] : words.start[k + 1]])])] += 1
+    n, share = texts.sum(0), y.mean()
+    known = n >= LEAST_TEXTS
+    known[BUCKETS] = False
+    lean = (texts[1] - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share) + 1e-9)
+    return known, np.where(known, np.clip(lean, -LEAN, LEAN), 0)
+
+
+def train(words: Words, rows: np.ndarray, y: np.ndarray, unseen: np.ndarray, truth: np.ndarray, seed: int = 10) -> Model:
+    """Adam on the logistic loss over some of the texts; the rarer class weighs as much as four times its rows at most.
+
+    After each pass the ``unseen`` texts are scored; the model of the pass with the least loss over
+    them stays, and training ends when a quarter of all passes has not found a better one.
+    """
     random = np.random.default_rng(seed)
     epochs = min(MOST_EPOCHS, max(LEAST_EPOCHS, SHOWN // max(1, len(rows))))
+    known, lean = leaning(words, rows, y)
+    words = Words(words.ids, words.start, np.where(known[words.buckets], words.buckets, BUCKETS), words.count, words.languages)
+    best: tuple[float, Model, int] | None = None
     params = {"e": random.normal(0, 0.1, (BUCKETS + 1, SIZE)).astype(np.float32), "b": np.zeros(len(WIDTHS) * FILTERS, np.float32), "o": random.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), "c": np.array([-1.0], np.float32)}
     params["e"][BUCKETS] = 0
     for w in WIDTHS:
         params[f"f{w}"] = random.normal(0, 0.5 / math.sqrt(w), (w, SIZE, FILTERS)).astype(np.float32)
+    params["e"][:, 0] = lean / 4  # the first place of a vector begins with what the counts tell, and a filter with it
+    params["f1"][0, :, 0] = np.eye(SIZE)[0] * 2
+    params["o"][0], params["b"][0] = 1.0, -1.0
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     boost = min(4.0, max(1.0, (y == 0).sum() / max(1, (y == 1).sum())))
@@ -252,7 +285,20 @@ def train(words: Words, rows: np.ndarray, y: np.ndarray, seed: int = 10) -> Mode
                 total[unique == BUCKETS] = 0
                 second["e"][unique] += total * total  # Adagrad: rows are touched at very different rates
                 params["e"][unique] -= 4 * rate * total / (np.sqrt(second["e"][unique]) + 1e-6)
-    return Model(params["e"], [params[f"f{w}"] for w in WIDTHS], params["b"], params["o"], float(params["c"][0]))
+        if len(unseen) or epoch == epochs - 1:
+            now = Model(params["e"] * known[:, None], [params[f"f{w}"].copy() for w in WIDTHS], params["b"].copy(), params["o"].copy(), float(params["c"][0]))
+            loss = log_loss(Scorer(now).margins(words.some(unseen)), truth, boost) if len(unseen) else 0.0
+            if best is None or loss < best[0]:
+                best = loss, now, epoch
+            elif epoch - best[2] > max(2, epochs // 4):
+                break
+    return best[1]
+
+
+def log_loss(z: np.ndarray, y: np.ndarray, boost: float) -> float:
+    """Mean logistic loss, a text without words being sure of class 0."""
+    z = np.clip(np.nan_to_num(z, nan=-30.0), -30, 30)
+    return float((np.log1p(np.exp(np.where(y == 1, -z, z))) * np.where(y == 1, boost, 1)).mean())
 
 
 def threshold(z: np.ndarray, y: np.ndarray) -> float:
@@ -274,12 +320,11 @@ def fit(rows: list[tuple[str, str, int]]) -> Model:
         return empty
     words = read([r[1] for r in rows])
     every = np.arange(len(y))
-    test = every % 4 == 0
+    test = every % 5 == 0
     if len(y) < 40 or (y[~test] == 1).sum() < 1:
         test[:] = False
-    model = train(words, every, y)
-    seen = train(words, every[~test], y[~test]) if test.any() else model
-    z, of = Scorer(seen).margins(words), languages(words.languages)
+    model = train(words, every[~test], y[~test], every[test], y[test])
+    z, of = Scorer(model).margins(words), languages(words.languages)
     own = ~np.isnan(z) & (test | ~test.any())
     z, of, t = z[own], of[own], y[own]
     common = threshold(z, t) if len(z) else 0.0
