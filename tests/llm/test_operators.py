@@ -223,7 +223,7 @@ def test_difference_cover_sorts_suffixes():
     assert len(set(zip(classes.tolist(), strings, strict=True))) == len(set(strings)) == len(set(classes.tolist()))
 
 
-def test_url_rules_longest_wins(spark):
+def test_url_rules_longest_wins(spark, monkeypatch):
     urls = ["http://A.Example.ORG/en/15?x", "https://example.org/en/2", "http://example.com/fr/1", "https://x.example.com/de/", "ftp://notexample.org/es/1", "org", None, "http://org/", "http://org", "x://a.b.com?/fr/", "http://www.example.org/es/#/fr/", "http://com./fr/", "://.com/fr/", "http://" + "a." * 60 + "com/fr/" + "p" * 3000]
     rows = [(k, u, "x", 1) for k, u in enumerate(urls)] + [(None, urls[0], "x", 1), (0, urls[0], "x", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, key string, row int")
@@ -244,6 +244,14 @@ def test_url_rules_longest_wins(spark):
     table = spark.createDataFrame([*rules, (None, "/", "block")], "host string, path string, verdict string")
     rules.remove(("org", "/", "allow"))
     assert rows_of(url_filter.filter_urls(pages, table, parts=1), "page_id", "host", "path", "rule", "verdict") == sorted(((r[0], *want(r[1])) for r in rows), key=repr)
+    bare = [("org", "", "block"), ("bco", "", "block"), ("example.org", "/es/", "allow"), ("a.b", "", "block"), ("", "", "block"), ("a/b", "", "block"), ("q?", "", "block")]
+    more = [*urls, "http://x.organic/a", "http://www.bcom", "http://b.bco/", "http://zorg", "http:///x", "http://a/b/c", "x://a.b.c/", "x://d.a.b", "http://" + "x." * 900 + "org/"]
+    rules[:] = bare[:5]
+    for k, limit in enumerate((1 << 40, 20, 1)):  # one group of hosts, some, many
+        monkeypatch.setattr(url_filter, "MAX_REPEATED", limit), monkeypatch.setattr(url_filter, "SALTS", 2)
+        named = spark.createDataFrame(list(enumerate(more)), "page_id long, url string")
+        got = url_filter.filter_urls(named, spark.createDataFrame(bare, "host string, path string, verdict string"), parts=7)
+        assert rows_of(got, "page_id", "host", "path", "rule", "verdict") == sorted(((i, *want(u)) for i, u in enumerate(more)), key=repr), k
     assert url_filter.filter_urls(pages, table.limit(0)).where("verdict <> 'allow' or rule is not null").count() == 0
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
     assert not [n for n in ("Python", "Arrow", "Pandas") if n in got._jdf.queryExecution().executedPlan().toString()]
