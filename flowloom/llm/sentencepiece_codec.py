@@ -2,9 +2,11 @@
 
 In a BPE model whose pieces hold the white space mark only at their start, no merge crosses the
 point between another character and a mark. A text is therefore cut into chunks (marks and what
-follows up to the next mark), every distinct chunk is segmented once, and the ids are joined back
-by position. The table lives in the Python worker, so no chunk is shuffled and a very frequent
-chunk is only a dictionary hit.
+follows up to the next mark), a distinct chunk is segmented and its ids decoded once, and ids and
+decoded strings are joined back by position. The table lives in the Python worker and outlives its
+tasks, so no chunk is shuffled and a very frequent chunk is only a dictionary hit. Once holds for a
+worker: for the first ``MAX_CHUNKS`` distinct chunks it meets; others are done once for each
+megabyte of text (``TOGETHER_BYTES``) that has them.
 
 Defined results: null and empty texts have the begin and end id only and decode to ""; U+2581 in a
 text is what the model makes of it, a space; ids may repeat or be null, rows stay as they are.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_text
 
 MARK = "▁"
-#: Distinct chunks kept by a task; the table starts anew beyond it.
+#: Distinct chunks that a worker keeps.
 MAX_CHUNKS = 300_000
 #: Longer chunks are not kept beyond the texts they were found in.
 MAX_KEPT_CHARS = 64
@@ -40,35 +42,35 @@ class Codec:
 
     def __init__(self, model: bytes):
         self.sp = sp = _processor(model)
-        self.opens, self.special, exact = _pieces(model)
         #: Whether the chunk table gives what the library gives; else whole texts are segmented.
-        self.chunked = exact
+        self.opens, self.chunked = _pieces(model)
         self.bos = np.uint32(sp.bos_id()).tobytes()
         self.eos = np.uint32(sp.eos_id()).tobytes()
         self.lone = np.uint32(sp.piece_to_id(MARK)).tobytes()
-        #: Chunk -> ids; and the text of the few chunks that do not decode to themselves.
+        #: Chunk -> ids; and what the ids of a chunk decode to where that is not the chunk itself.
         self.ids: dict[str, bytes] = {" ": self.lone}
         self.odd: dict[str, str] = {}
 
-    def _note(self, chunk: str, ids: np.ndarray) -> None:
-        """Only unknown pieces may decode to something else than what they came from."""
-        text = " " + self.sp.decode(ids.tolist())  # decode() takes the first mark away
-        if text != chunk:
-            self.odd[chunk] = text
+    def _decode(self, chunks: list[str], ids: list[list[int]]) -> None:
+        for chunk, text in zip(chunks, self.sp.decode(ids), strict=True):
+            if chunk != " " + text:  # decode() takes the first mark away
+                self.odd[chunk] = " " + text
 
     def _segment(self, new: list[str]) -> None:
         """Puts new chunks into the table.
 
         Chunks with one mark are put end to end: in what the library makes of the string each begins
-        with the only piece that opens with a mark. Those with several marks are segmented alone.
+        with the only piece that opens with a mark. Their ids are decoded end to end too, and one by
+        one where that is not the string. Those with several marks are segmented alone.
         """
         single, size, flush = [], 0, []
+        several = [c for c in new if c[1:2] == " "]
+        if several:
+            found = self.sp.encode([c[1:] for c in several])
+            self.ids.update((c, np.array(i, np.uint32).tobytes()) for c, i in zip(several, found, strict=True))
+            self._decode(several, found)
         for c in new:
             if c[1:2] == " ":
-                ids = np.array(self.sp.encode(c[1:]), np.uint32)
-                self.ids[c] = ids.tobytes()
-                if self.special[ids].any():
-                    self._note(c, ids)
                 continue
             single.append(c)
             size += len(c)
@@ -76,12 +78,13 @@ class Codec:
                 flush.append(single)
                 single, size = [], 0
         for part in [*flush, single] if single else flush:
-            ids = np.array(self.sp.encode("".join(part)[1:]), np.uint32)
-            at = np.flatnonzero(self.opens[ids])
-            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-            self.ids.update(zip(part, map(raw.__getitem__, map(slice, (4 * at).tolist(), ends)), strict=True))
-            for k in np.unique(np.searchsorted(at, np.flatnonzero(self.special[ids]), "right") - 1).tolist():
-                self._note(part[k], ids[at[k] : ends[k] // 4])
+            found = self.sp.encode("".join(part)[1:])
+            ids = np.array(found, np.uint32)
+            at = [*np.flatnonzero(self.opens[ids]).tolist(), len(found)]
+            raw, spans = ids.tobytes(), list(zip(at[:-1], at[1:], strict=True))
+            self.ids.update(zip(part, [raw[4 * a : 4 * b] for a, b in spans], strict=True))
+            if self.sp.decode(found) != "".join(part)[1:]:  # some chunk decodes to something else
+                self._decode(part, [found[a:b] for a, b in spans])
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text all ids as little-endian 32-bit integers, and the text they decode to."""
@@ -94,16 +97,14 @@ class Codec:
         cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         distinct = set(chain.from_iterable(cut))
         new = distinct.difference(self.ids)
-        if len(self.ids) + len(new) > MAX_CHUNKS:
-            self.ids, self.odd = {" ": self.lone}, {}
-            new = distinct.difference(self.ids)
+        full = len(self.ids) + len(new) > MAX_CHUNKS
         self._segment(list(new))
         out, table, odd = [], self.ids, self.odd
         for chunks in cut:
             ids = b"".join(map(table.__getitem__, chunks))
             text = "".join([odd.get(c, c) for c in chunks]) if odd else "".join(chunks)
             out.append((self.bos + ids + self.eos, text[1:]))
-        for c in [c for c in new if len(c) > MAX_KEPT_CHARS]:
+        for c in new if full else [c for c in new if len(c) > MAX_KEPT_CHARS]:
             del table[c]
             odd.pop(c, None)
         return out
@@ -117,15 +118,19 @@ def _processor(model: bytes):
 
 
 @lru_cache(2)
-def _pieces(model: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Which pieces open with the mark, which are unknown, and whether texts may be cut into chunks."""
+def _codec(model: bytes) -> Codec:
+    return Codec(model)
+
+
+@lru_cache(2)
+def _pieces(model: bytes) -> tuple[np.ndarray, bool]:
+    """Which pieces open with the mark, and whether texts may be cut into chunks."""
     sp = _processor(model)
     pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
     own = range(len(pieces))
     bounded = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
     plain = sp.normalize(" aé\u0301ﬁ①  \n\t\x00b ") == f"{MARK}{MARK}aé\u0301ﬁ①{MARK}{MARK}\n\t\x00b{MARK}"
-    special = np.array([sp.is_unknown(i) or sp.is_control(i) for i in own])
-    return np.array([p.startswith(MARK) for p in pieces]), special, bounded and plain and not any(map(sp.is_unused, own))
+    return np.array([p.startswith(MARK) for p in pieces]), bounded and plain and not any(map(sp.is_unused, own))
 
 
 def _model(path: str | None) -> bytes:
@@ -142,7 +147,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, id_col: str =
     model = _model(model_path)
 
     def make():
-        codec = Codec(model)
+        codec = _codec(model)
 
         def kernel(texts):
             got = codec.encode_many(texts)
@@ -158,7 +163,7 @@ def digests(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_i
     model = _model(model_path)
 
     def make():
-        codec = Codec(model)
+        codec = _codec(model)
 
         def kernel(texts):
             got = codec.encode_many(texts)
