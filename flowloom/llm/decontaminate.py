@@ -1,12 +1,13 @@
 """Operator 5: benchmark decontamination with one Aho-Corasick automaton.
 
-Texts and items are normalised to lower-case words between single spaces. Every window (10
-consecutive words of an item, or the whole of a shorter item) is a pattern of one automaton, which
-reads each normalised text once. Hits are word positions, mapped back to spans of the original.
+Texts and items are normalised to lower-case words. Every window (10 consecutive words of an item,
+or the whole of a shorter item) is a pattern of one automaton whose symbols are the benchmark's
+words; it reads each text's words once. Hits are word positions, mapped back to spans of the original.
 
-The benchmark is measured before it is sent to the executors: up to ``MAX_CHARS`` of text it is one
-automaton; beyond it the items are dealt into blocks of that size and the texts pass through one
-automaton after the other, written to the shared folder between them.
+The benchmark is measured before it is sent to the executors. The automaton of ``MAX_CHARS`` of its
+text fits a worker; a larger benchmark is dealt into ranges of that size with an automaton each. Every
+automaton reads the texts where they are stored, texts are neither rewritten nor shuffled, and what
+the automata found in a text is united by id and digest.
 
 Defined results: null or empty texts have no words and no hits; items without words (null, empty)
 are never found; repeated items count once for each distinct id, null ids as no item; repeated rows
@@ -15,19 +16,19 @@ are kept. With an empty benchmark nothing is hit.
 
 from __future__ import annotations
 
-import pickle
 import re
-from functools import lru_cache
+import uuid
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_text, materialize
+from .common import keep_rows, map_text
 
 WINDOW = 10
 #: Characters of benchmark text in one automaton.
-MAX_CHARS = 16 << 20
+MAX_CHARS = 4 << 20
 
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -39,27 +40,35 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows(items: list[tuple[str, str]]) -> dict[str, tuple[int, list[int]]]:
-    """Pattern -> (its words, the items that have it). Patterns are Latin-1 views of UTF-8 bytes."""
-    out: dict[str, tuple[int, list[int]]] = {}
+def windows(items: list[tuple[str, str]]) -> dict[tuple[bytes, ...], list[int]]:
+    """Window -> the items that have it."""
+    out: dict[tuple[bytes, ...], list[int]] = {}
     for k, (_, text) in enumerate(items):
         w = words(text)
         for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-            part = w[i : i + WINDOW]
-            have = out.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), []))[1]
+            have = out.setdefault(tuple(w[i : i + WINDOW]), [])
             if not have or have[-1] != k:
                 have.append(k)
     return out
 
 
+def symbol(k: int) -> str:
+    """A character for each number; surrogates are left out."""
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[str, str]]):
         import ahocorasick
 
         self.ids = [i for i, _ in items]
         self.machine = ahocorasick.Automaton()
-        for pattern, value in windows(items).items():
-            self.machine.add_word(pattern, value)
+        self.symbols: dict[bytes, str] = {}
+        for window, have in windows(items).items():
+            for w in window:
+                if w not in self.symbols:
+                    self.symbols[w] = symbol(len(self.symbols) + 1)  # 0 is any other word
+            self.machine.add_word("".join([self.symbols[w] for w in window]), (len(window), have))
         self.empty = not len(self.machine)
         if not self.empty:
             self.machine.make_automaton()
@@ -70,136 +79,143 @@ class Matcher:
         if not w or self.empty:
             return len(w), [], []
         hits, items = [], set()
-        at = None
-        for end, (size, have) in self.machine.iter((b" " + b" ".join(w) + b" ").decode("latin-1")):
-            if at is None:
-                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)  # of the space after each word
-            at = int(np.searchsorted(ends, end))
-            hits.append((at - size + 1, size))
+        for end, (size, have) in self.machine.iter("".join(map(self.symbols.get, w, repeat("\0")))):
+            hits.append((end - size + 1, size))
             items.update(have)
         return len(w), hits, sorted({self.ids[k] for k in items})
 
 
-@lru_cache(1)
-def _matcher(blob: bytes) -> Matcher:
-    return Matcher(pickle.loads(blob))
-
-
-def covered(n: int, hits: list[tuple[int, int]]) -> np.ndarray:
-    depth = np.zeros(n + 1, np.int32)
-    for start, size in hits:
-        depth[start] += 1
-        depth[start + size] -= 1
-    return np.cumsum(depth[:-1]) > 0
-
-
-def spans(text: str, hits: list[tuple[int, int]]) -> list[dict]:
-    """Maximal runs of hit words as character offsets [start, stop) of the original text."""
-    if not hits:
-        return []
-    data = text.encode("utf-8", "surrogatepass")
-    where = [m.span() for m in _WORD.finditer(data)]
-    hit = np.flatnonzero(np.diff(np.concatenate([[0], covered(len(where), hits).view(np.int8), [0]])))
-    out = []
-    for a, b in hit.reshape(-1, 2).tolist():
-        start = len(data[: where[a][0]].decode("utf-8", "surrogatepass"))
-        out.append({"start": start, "stop": start + len(data[where[a][0] : where[b - 1][1]].decode("utf-8", "surrogatepass"))})
-    return out
+_MATCHERS: dict[str, Matcher] = {}
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, limit: int):
-    """The number of blocks, and their items in lists of about ``limit`` characters, one at a time."""
+def _ranges(benchmark: DataFrame, item_id: str, item_text: str, limit: int) -> list:
+    """For each range of items, of about ``limit`` characters, a function that gives a worker its matcher."""
+    spark = benchmark.sparkSession
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("k"), F.coalesce(item_text, F.lit("")).alias("t")).where("t <> ''")
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
     n = max(1, -(-total // limit))
 
-    def block(i: int) -> list[tuple[str, str]]:
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i)
-        return sorted({(r.k, r.t) for r in part.toLocalIterator()})
+    def matcher_of(k: int):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == k)
+        shared, name = spark.sparkContext.broadcast(sorted({(r.k, r.t) for r in part.toLocalIterator()})), uuid.uuid4().hex
 
-    return n, map(block, range(n))
+        def get() -> Matcher:
+            if name not in _MATCHERS:
+                _MATCHERS.clear()  # a worker holds one at a time
+                _MATCHERS[name] = Matcher(shared.value)
+            return _MATCHERS[name]
 
+        return get
 
-FIELDS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,stop:long>>"
+    return [matcher_of(k) for k in range(n)]
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS,
-) -> DataFrame:
-    """``id, n_words, n_hit, item_ids`` (sorted as strings) ``, spans`` (of the original text) of every row."""
-    n, parts = _blocks(benchmark, item_id, item_text, max_chars)
-    if n == 1:
-        blob = pickle.dumps(next(parts))
+def runs_of(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs [first, behind the last) of hit words; runs that touch are one."""
+    out: list[list[int]] = []
+    for start, size in sorted(hits):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + size)
+        else:
+            out.append([start, start + size])
+    return [(a, b) for a, b in out]
 
-        def make():
-            matcher = _matcher(blob)
 
-            def kernel(texts):
-                got = [matcher.scan(t) for t in texts]
-                return {
-                    "n_words": [n for n, _, _ in got],
-                    "n_hit": [int(covered(n, h).sum()) if h else 0 for n, h, _ in got],
-                    "item_ids": [i for _, _, i in got],
-                    "spans": [spans(t, h) for t, (_, h, _) in zip(texts, got, strict=True)],
-                }
+def spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
+    """Runs of words with their character offsets [start, stop) in the original text."""
+    if not runs:
+        return []
+    data = text.encode("utf-8", "surrogatepass")
+    where = [m.span() for m in _WORD.finditer(data)]
+    first = np.array([where[a][0] for a, _ in runs]), np.array([where[b - 1][1] for _, b in runs])
+    begins = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # characters up to each byte
+    begins = np.concatenate([[0], begins])
+    return [{"first": a, "last": b, "start": int(begins[s]), "stop": int(begins[e])} for (a, b), s, e in zip(runs, *first, strict=True)]
 
-            return kernel
 
-        return map_text(docs, make, FIELDS, id_col, text_col)
-    return _in_blocks(docs, parts, id_col, text_col)
+RUNS = "array<struct<first:long,last:long,start:long,stop:long>>"
+FIELDS = f"n_words long, items array<string>, runs {RUNS}"
 
 
-def _in_blocks(docs, parts, id_col, text_col) -> DataFrame:
-    """The same over several automata; hits so far travel beside each text."""
-    hit = "array<struct<start:int,size:int>>"
-    now = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.array().cast(hit).alias("hits"), F.array().cast("array<string>").alias("items"))
-    schema = now.schema
-    for part in parts:
-        blob = pickle.dumps(part)
+def _found(get):
+    def make():
+        matcher = get()
 
-        def step(batches, blob=blob):
-            import pandas as pd
+        def kernel(texts):
+            got = [matcher.scan(t) for t in texts]
+            return {"n_words": [n for n, _, _ in got], "items": [i for _, _, i in got], "runs": [spans(t, runs_of(h)) for t, (_, h, _) in zip(texts, got, strict=True)]}
 
-            matcher = _matcher(blob)
-            for pdf in batches:
-                got = [matcher.scan(t) for t in pdf["text"]]
-                pdf = pd.DataFrame({
-                    "id": pdf["id"], "text": pdf["text"],
-                    "hits": [[*h, *({"start": a, "size": s} for a, s in g[1])] for h, g in zip(pdf["hits"], got, strict=True)],
-                    "items": [sorted({*i, *g[2]}) for i, g in zip(pdf["items"], got, strict=True)],
-                })
-                yield pdf
+        return kernel
 
-        now = materialize(now.mapInPandas(step, schema))
+    return make
 
-    def finish(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            hits = [[(x["start"], x["size"]) for x in h] for h in pdf["hits"]]
-            n = [len(words(t)) for t in pdf["text"]]
-            yield pd.DataFrame({
-                id_col: pdf["id"], "n_words": n, "n_hit": [int(covered(m, h).sum()) if h else 0 for m, h in zip(n, hits, strict=True)],
-                "item_ids": list(pdf["items"]), "spans": [spans(t, h) for t, h in zip(pdf["text"], hits, strict=True)],
-            })
+def _unite(batches):
+    """Items and runs that several automata found in a text become one list each."""
+    import pandas as pd
 
-    return now.mapInPandas(finish, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {FIELDS}")
+    for pdf in batches:
+        items, runs = [], []
+        for own, more in zip(pdf["found"], pdf["more"], strict=True):
+            parts = [own, *(more if more is not None else ())]
+            items.append(sorted({i for p in parts for i in p["items"]}))
+            merged: list[dict] = []
+            for r in sorted((r for p in parts for r in p["runs"]), key=lambda r: (r["first"], r["last"])):
+                if merged and r["first"] <= merged[-1]["last"]:
+                    merged[-1] = merged[-1] | ({"last": r["last"], "stop": r["stop"]} if r["last"] > merged[-1]["last"] else {})
+                else:
+                    merged.append(dict(r))
+            runs.append(merged)
+        yield pd.DataFrame({"key": pdf["key"], "n_words": pdf["n_words"], "items": items, "runs": runs})
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS,
+) -> DataFrame:
+    """``id, n_words, n_hit, item_ids`` (sorted as strings) ``, spans`` (of the original text) of every row."""
+    first, *rest = _ranges(benchmark, item_id, item_text, max_chars)
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).alias("id"), *([F.sha2(text, 256).alias("text")] if rest else []))
+    keyed = docs.select(key.alias("key"), text.alias("text"))
+    found = map_text(keyed, _found(first), FIELDS, "key")
+    if rest:
+        others = [map_text(keyed, _found(get), FIELDS, "key").where("size(runs) > 0") for get in rest]
+        while len(others) > 1:
+            others = [a if b is None else a.union(b) for a, b in zip(others[::2], [*others[1::2], None], strict=False)]
+        more = others[0].groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct("items", "runs")).alias("more"))  # repeated rows are combined
+        both = found.join(more, F.col("key").eqNullSafe(F.col("of")), "left").select("key", "n_words", F.struct("items", "runs").alias("found"), "more")
+        found = both.mapInPandas(_unite, found.schema)
+    return found.select(
+        F.col("key.id").alias(id_col), "n_words", F.expr("aggregate(runs, 0L, (n, r) -> n + r.last - r.first)").alias("n_hit"), F.col("items").alias("item_ids"),
+        F.expr("transform(runs, r -> struct(r.start as start, r.stop as stop))").alias("spans"),
+    )
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that no window of the benchmark hits."""
-    for part in _blocks(benchmark, item_id, item_text, max_chars)[1]:
-        blob = pickle.dumps(part)
+    first, *rest = _ranges(benchmark, item_id, item_text, max_chars)
 
-        def make(blob=blob):
-            matcher = _matcher(blob)
+    def clean(get):
+        def make():
+            matcher = get()
             return lambda texts: [not matcher.scan(t)[1] for t in texts]
 
-        docs = keep_rows(docs, make, text_col)
-    return docs
+        return make
+
+    kept = keep_rows(docs, clean(first), text_col)
+    if not rest:
+        return kept
+    # whether a text is hit depends on nothing else, so digests of hit texts tell the rows of the other ranges
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.sha2(text, 256).alias("key"), text.alias("text"))
+    hit = [map_text(keyed, _found(get), FIELDS, "key").where("size(runs) > 0").select("key") for get in rest]
+    while len(hit) > 1:
+        hit = [a if b is None else a.union(b) for a, b in zip(hit[::2], [*hit[1::2], None], strict=False)]
+    gone = hit[0].distinct()
+    return kept.join(gone, F.sha2(kept[text_col].cast("string"), 256) == gone["key"], "left_anti")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -208,4 +224,3 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
     )
-
