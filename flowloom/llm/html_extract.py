@@ -2,10 +2,13 @@
 
 A page is read once, from start to end, into flat text blocks: the text between two block-level
 tags. A block has its number of words and its link density (the share of its words inside links),
-those of the blocks before and after it, whether it is a heading, and what it stands in: the
-innermost container with a telling name (article or boilerplate), and whether any container is
-boilerplate by its element or by its class, id or role. A decision tree trained on the small
-labelled table of ``html_labels`` tells main text from the rest.
+those of the blocks before and after it, whether it is a heading, ends like a sentence and has long
+text before and behind it, and what its elements say: the innermost telling one (article or
+boilerplate), whether any is boilerplate or a form, and how classes, ids and roles read, near and
+all around. A decision tree trained on the small labelled table of ``html_labels`` tells main text
+from the rest. Names are only features: pages of the table have none, or such that mislead.
+
+Text in an inline element with a boilerplate name is a block of its own behind the one it stands in.
 
 Defined results: null and empty pages, and pages without a main-text block, have text "" and 0
 characters; what is not closed ends with what it stands in, a table cell also with the next cell,
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html as _html
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,11 +35,12 @@ _TAG = re.compile(
 )
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
+_VOID = frozenset("br img input wbr".split())
 #: Elements that stay open until they, or what they stand in, are closed.
 _CONTAINER = frozenset("html body div section article main nav header footer aside form dialog menu fieldset noscript template svg math object canvas details figure table td ul ol dl blockquote center head select button".split())
 #: Their start tags end an open cell of the same table, and so do the end tags of all but ``th``.
 _ENDS_CELL = frozenset("td th tr tbody thead tfoot".split())
-_BOILER_TAG = frozenset("nav footer aside form dialog menu fieldset noscript template svg math object canvas head select button".split())
+_BOILER_TAG = frozenset("nav footer aside dialog menu fieldset noscript template svg math object canvas head select button".split())
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _BOILER_NAME = re.compile(
     r"\b(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|side ?bar|cookies?\w*|consent|gdpr|notices?|alert|comments?|commentlist|disqus|respond|replies|related|recommend\w*|share|sharing|social|"
@@ -44,7 +49,14 @@ _BOILER_NAME = re.compile(
 _ARTICLE_NAME = re.compile(r"\b(?:articles?|content|post|entry|story|main|body|text)\b")
 _SPACE = re.compile(r"\s+")
 
-FEATURES = ("zone", "boiler_tag", "boiler_name", "words", "link_density", "words_before", "words_after", "density_before", "density_after", "heading")
+FEATURES = (
+    "zone", "boiler_tag", "in_form", "name_near", "name_any", "name_share", "words", "link_density", "words_before", "words_after", "density_before", "density_after", "links",
+    "heading", "sentence", "page_article", "long_before", "long_after",
+)
+#: How a name reads: nothing telling, like an article, like both, like boilerplate, hidden.
+PLAIN, ARTICLE, BOTH, BOILER, HIDDEN = range(5)
+#: Words of a long block.
+LONG = 20
 
 
 @dataclass
@@ -52,39 +64,66 @@ class Block:
     text: str
     words: int
     density: float
-    zone: int  # of the innermost telling container: 0 none, 1 article, 2 a header in an article, 3 boilerplate
+    links: int
+    zone: int  # of the innermost telling element: 0 none, 1 article, 2 a header in an article, 3 boilerplate
     boiler_tag: bool
-    boiler_name: bool
+    in_form: bool
+    name_near: int  # of the innermost element with a telling name
+    name_any: int  # the most like boilerplate of all around
+    named: int  # number of the element whose name is near
     heading: bool
 
 
-def _kind(tag: str, attrs: str, in_article: bool) -> tuple[int, bool, bool]:
-    """What a container says of what it holds: (zone or 0, boilerplate by element, by name)."""
-    names, hidden = [], False
-    if attrs:
-        for key, value in _ATTR.findall(attrs):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                hidden = True
-            elif key in ("class", "id", "role"):
-                names.append(re.sub(r"[-_]+", " ", value))
+@dataclass
+class Open:
+    """An open container and what is known inside it."""
+
+    tag: str
+    zone: int = 0
+    boiler_tag: bool = False
+    in_form: bool = False
+    near: int = PLAIN
+    worst: int = PLAIN
+    named: int = 0
+
+
+def reading(attrs: str) -> int:
+    """How the class, id and role of an element read, and whether it is hidden."""
+    names = []
+    for key, value in _ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+            return HIDDEN
+        if key in ("class", "id", "role"):
+            names.append(value.replace("-", " ").replace("_", " "))
     name = " ".join(names)
-    by_name = hidden or bool(name and _BOILER_NAME.search(name))
-    by_tag = tag in _BOILER_TAG or (tag == "header" and not in_article)
-    if tag in ("article", "main") or (name and not by_name and _ARTICLE_NAME.search(name)):
-        return (3 if by_name and tag not in ("article", "main") else 1), by_tag, by_name and tag not in ("article", "main")
-    if by_name or by_tag:
-        return 3, by_tag, by_name
-    return (2 if tag == "header" else 0), False, False
+    if not name:
+        return PLAIN
+    boiler, article = _BOILER_NAME.search(name), _ARTICLE_NAME.search(name)
+    return (BOTH if article else BOILER) if boiler else ARTICLE if article else PLAIN
+
+
+def inside(around: Open, tag: str, attrs: str, number: int) -> Open:
+    name = reading(attrs) if attrs and tag not in ("html", "body") else PLAIN
+    zone = 1 if tag in ("article", "main") else 3 if tag in _BOILER_TAG else (2 if around.zone in (1, 2) else 3) if tag == "header" else around.zone
+    boiler = around.boiler_tag or tag in _BOILER_TAG or (tag == "header" and zone == 3)
+    if tag in ("article", "main"):
+        near = name if name >= BOILER else ARTICLE
+    else:
+        near = max(name, BOILER) if boiler and not around.boiler_tag else name
+    return Open(tag, zone, boiler, around.in_form or tag == "form", near or around.near, max(around.worst, name), number if near else around.named)
 
 
 def flat_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    # name, zone in force, boilerplate elements and names around
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    asides: list[tuple[int, list[tuple[str, bool]]]] = []  # inline boilerplate in the block: its name's reading and parts
+    into = parts
+    stack = [Open("")]
     opened: dict[str, list[int]] = {}  # places in the stack, by name
     link = heading = False
+    own = PLAIN  # of the element that the block is, if it is no container
+    aside_tag, aside_depth = "", 0
     pos, n = 0, len(page)
 
     def close(name: str):
@@ -93,25 +132,30 @@ def flat_blocks(page: str) -> list[Block]:
         if places and (name != "td" or places[-1] > (opened.get("table") or [0])[-1]):
             at = places[-1]
             while len(stack) > at:
-                opened[stack.pop()[0]].pop()
+                opened[stack.pop().tag].pop()
 
-    def flush():
-        nonlocal parts
-        if not parts:
-            return
-        text = _SPACE.sub(" ", "".join([_html.unescape(p) for p, _ in parts])).strip() if any(not p.isspace() for p, _ in parts) else ""
+    def put(found: list[tuple[str, bool]], name: int):
+        text = _SPACE.sub(" ", "".join([_html.unescape(p) for p, _ in found])).strip() if any(not p.isspace() for p, _ in found) else ""
         if text:
             words = text.count(" ") + 1
-            linked = sum(len(p.split()) for p, inside in parts if inside)
-            _, zone, tag, name = stack[-1]
-            blocks.append(Block(text, words, min(1.0, linked / words), zone, tag, name, heading))
-        parts = []
+            links = [p.split() for p, linked in found if linked and not p.isspace()]
+            o = stack[-1]
+            named = -pos if name else o.named
+            blocks.append(Block(text, words, min(1.0, sum(map(len, links)) / words), len(links), o.zone, o.boiler_tag, o.in_form, name or o.near, max(o.worst, name), named, heading))
+
+    def flush():
+        nonlocal parts, asides, into, aside_tag
+        put(parts, own)
+        for name, found in asides:
+            put(found, max(own, name))
+        parts, asides, aside_tag = [], [], ""
+        into = parts
 
     while pos < n:
         m = _TAG.search(page, pos)
         stop = m.start() if m else n
         if stop > pos:
-            parts.append((page[pos:stop], link))
+            into.append((page[pos:stop], link))
         if not m:
             break
         pos = m.end()
@@ -123,10 +167,18 @@ def flat_blocks(page: str) -> list[Block]:
             if tag == "a":
                 link = not closing
             elif tag == "br":
-                parts.append((" ", link))
+                into.append((" ", link))
+            elif aside_tag:
+                aside_depth += (tag == aside_tag) * (-1 if closing else 1)
+                if not aside_depth:
+                    aside_tag, into = "", parts
+            elif attrs and not closing and tag not in _VOID and not attrs.endswith("/") and (name := reading(attrs)) >= BOILER:
+                asides.append((name, []))
+                parts.append((" ", False))
+                aside_tag, aside_depth, into = tag, 1, asides[-1][1]
             continue
         flush()
-        link = False
+        link, own = False, PLAIN
         if tag in _RAW:
             if not closing:
                 end = _RAW[tag].search(page, pos)
@@ -139,10 +191,10 @@ def flat_blocks(page: str) -> list[Block]:
                 if tag != "td":  # done above
                     close(tag)
             elif not attrs.endswith("/"):
-                _, zone, by_tag, by_name = stack[-1]
-                own, t, b = _kind(tag, attrs, zone in (1, 2))
                 opened.setdefault(tag, []).append(len(stack))
-                stack.append((tag, own or zone, by_tag or t, by_name or b))
+                stack.append(inside(stack[-1], tag, attrs, pos))
+        elif attrs and not closing:
+            own = reading(attrs)
         heading = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     flush()
     return blocks
@@ -153,10 +205,15 @@ def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((n, len(FEATURES)))
     if n:
         w, d = np.array([b.words for b in blocks], float), np.array([b.density for b in blocks])
-        x[:, :3] = [(b.zone, b.boiler_tag, b.boiler_name) for b in blocks]
-        x[:, 3], x[:, 4] = w, d
-        x[1:, 5], x[:-1, 6], x[1:, 7], x[:-1, 8] = w[:-1], w[1:], d[:-1], d[1:]
-        x[:, 9] = [b.heading for b in blocks]
+        x[:, :5] = [(b.zone, b.boiler_tag, b.in_form, b.name_near, b.name_any) for b in blocks]
+        _, of = np.unique([b.named for b in blocks], return_inverse=True)
+        x[:, 5] = np.bincount(of, w)[of] / w.sum()  # of the page's words, in the element with the near name
+        x[:, 6], x[:, 7] = w, d
+        x[1:, 8], x[:-1, 9], x[1:, 10], x[:-1, 11] = w[:-1], w[1:], d[:-1], d[1:]
+        x[:, 12:15] = [(b.links, b.heading, b.text[-1] in ".!?…\"”»") for b in blocks]
+        x[:, 15] = any(b.zone == 1 for b in blocks)
+        long = (w >= LONG) & (d < 0.3)
+        x[:, 16], x[:, 17] = np.cumsum(long) - long, np.cumsum(long[::-1])[::-1] - long
     return x
 
 
@@ -193,16 +250,17 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def trained(pages: list[str] | None = None) -> tuple:
+@lru_cache(1)
+def trained() -> tuple:
     """The tree of the labelled table."""
-    if pages is None:
-        from .html_labels import PAGES as pages
+    from .html_labels import pages
+
     xs, ys = [], []
-    for page in pages:
+    for page in pages():
         blocks = flat_blocks(page)
         ys += [b.text.startswith("+") for b in blocks]
         xs.append(features(blocks))
-    return grow(np.concatenate(xs), np.array(ys, float), depth=4)
+    return grow(np.concatenate(xs), np.array(ys, float), depth=11, least=2)
 
 
 def main_text(page: str, tree: tuple) -> str:
