@@ -14,6 +14,11 @@ form a run; there is a run for about 16 bytes.
    next to each other are compared byte by byte.
 3. Decisions go back by document, which cuts its text.
 
+Texts around a passage that very many documents share give its first and last anchors a different
+string in each document. Such anchors, told by a bounded sample that decides nothing else, are hot:
+their windows are dealt one by one, by hash, so that no part gets all documents of an anchor, and
+equal ones of one task are combined before.
+
 Runs travel packed: columns of a few bytes, planes apart, compressed. Equal runs of one task are
 combined before they are shuffled, so a passage that a third of all documents share sends one run
 for each task to its anchor's part, not one for each document.
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialize
 from .difference_cover import equal_windows
-from .hashing import TABLE, mix, powers
+from .hashing import TABLE, Hasher, mix, powers
 
 K = 50
 GRAM = 20
@@ -45,6 +50,9 @@ PACK = 400_000
 #: Parts by anchor and by document for each partition of the input.
 PARTS = 4
 
+#: Documents of the sample that tells hot anchors, distinct strings there that make one hot, hot anchors at most.
+SAMPLE, HOT, MOST_HOT = 4_000, 8, 50_000
+
 _LAST = np.iinfo(np.int64).max
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -78,6 +86,26 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, more, mix(gram[anchor] ^ np.uint64(0x5851F42D4C957F2D)), whole
 
 
+def windows_of(data: np.ndarray, first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For runs of windows: the run of each window, its place in the run and the hash of its bytes."""
+    count = more + 1
+    of = np.repeat(np.arange(len(first)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[of] + place
+    return of, place, mix(Hasher(data)(start, start + K))
+
+
+def joined_windows(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows as spans (row, start, stop): those of a row that follow each other are one."""
+    by = np.lexsort((start, row))
+    row, start = row[by], start[by]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(row))[: len(at)] - 1
+    return row[at], start[at], start[last] + K
+
+
 def pack(*columns: tuple[np.ndarray, int]) -> bytes:
     """Columns of integers as planes of their lowest bytes, compressed."""
     import zstandard
@@ -133,60 +161,107 @@ def _binary(col) -> tuple[np.ndarray, np.ndarray]:
 
 # Widths of the packed columns. Rows and order are 8 bytes of which most planes are empty.
 RUN = (5, 7, 8, 8, 6, 1)  # anchor, string, row, order, start, further windows
+WINDOW = (5, 8, 8, 8, 6)  # anchor, hash, row, order, start
 SPAN = (8, 6, 6, 4, 1)  # row, start, stop, anchor's part, decided
 PLACE = (8, 8, 6, 1)  # row, order, start, length
 
 
-def _anchors(parts: int):
-    """Texts -> packed runs by anchor, and what another document of the same task decides."""
-
-    def flush(held):
-        a, c, row, order, start, more = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.lexsort((order, c, a))
-        new = np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (c[by][1:] != c[by][:-1])])
-        least = np.empty(len(a), np.int64)
-        least[by] = order[by][new][np.cumsum(new) - 1]
-        decided = order > least
-        rows, kinds, blobs = [], [], []
-        own = np.flatnonzero(~decided)
-        for p, i in dealt(part_of(a[own], parts)):
-            i = own[i]
-            rows.append(p), kinds.append(0), blobs.append(pack((a[i], 5), (c[i], 7), (row[i], 8), (order[i], 8), (start[i], 6), (more[i], 1)))
-        own = np.flatnonzero(decided)
-        for p, i in dealt(_by_row(row[own], parts)):
-            i = own[i]
+def least_of(a: np.ndarray, c: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The least order among those with the same ``a`` and ``c``."""
+    by = np.lexsort((order, c, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[by][1:] != a[by][:-1]) | (c[by][1:] != c[by][:-1])
+    least = np.empty(len(a), np.int64)
+    least[by] = order[by][new][np.cumsum(new) - 1]
+    return least
+
+
+def _pieces(col):
+    """Text of a batch, a megabyte at a time: (bytes, sizes of the pieces laid end to end, document of each, from)."""
+    data, off = _binary(col)
+    # consecutive pieces of a document share K - 1 bytes
+    doc, lo = [], []
+    for k, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        if e - s >= K:
+            at = range(s, e - K + 1, PIECE)
+            doc += [k] * len(at)
+            lo += at
+    doc, lo = np.array(doc, np.int64), np.array(lo, np.int64)
+    hi = np.minimum(lo + PIECE + K - 1, off[1:][doc] if len(doc) else 0)
+    for s, e in blocks(hi - lo, PIECE):
+        text = np.concatenate([data[x:y] for x, y in zip(lo[s:e].tolist(), hi[s:e].tolist(), strict=True)])
+        yield text, hi[s:e] - lo[s:e], doc[s:e], (lo - off[doc])[s:e]
+
+
+def hot_anchors(rows: DataFrame, n: int) -> np.ndarray:
+    """Anchors with many different strings in a sample of the documents, sorted."""
+
+    def pairs(batches):
+        for batch in batches:
+            for text, sizes, _, _ in _pieces(batch.column(0)):
+                _, _, anchor, whole = runs(text, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["a", "c"])
+
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
+    found = rows.where(share).select("text").mapInArrow(pairs, "a long, c long").distinct().groupBy("a").count().where(F.col("count") >= HOT)
+    hot = found.orderBy(F.col("count").desc(), "a").limit(MOST_HOT).collect()
+    return np.sort(np.array([r.a for r in hot], np.int64).view(np.uint64))
+
+
+def _anchors(parts: int, hot: np.ndarray):
+    """Texts -> packed runs by anchor, windows of hot anchors by hash, and what another document of the same task decides."""
+
+    def spans(out, row, start, stop):
+        for p, i in dealt(_by_row(row, parts)):
             zero = np.zeros(len(i), np.int64)
-            rows.append(p), kinds.append(1), blobs.append(pack((row[i], 8), (start[i], 6), (start[i] + more[i] + K, 6), (zero, 4), (zero + 1, 1)))
+            out.append((p, 1, pack((row[i], 8), (start[i], 6), (stop[i], 6), (zero, 4), (zero + 1, 1))))
+
+    def flush(held, held_hot):
+        out: list[tuple[int, int, bytes]] = []
+        if held:
+            a, c, row, order, start, more = (np.concatenate(x) for x in zip(*held, strict=True))
+            decided = order > least_of(a, c, order)
+            own = np.flatnonzero(~decided)
+            for p, i in dealt(part_of(a[own], parts)):
+                i = own[i]
+                out.append((p, 0, pack((a[i], 5), (c[i], 7), (row[i], 8), (order[i], 8), (start[i], 6), (more[i], 1))))
+            spans(out, row[decided], start[decided], (start + more + K)[decided])
+        if held_hot:
+            a, w, row, order, start = (np.concatenate(x) for x in zip(*held_hot, strict=True))
+            decided = order > least_of(a, w, order)
+            own = np.flatnonzero(~decided)
+            for p, i in dealt(part_of(w[own], parts)):
+                i = own[i]
+                out.append((p, 2, pack((a[i], 5), (w[i], 8), (row[i], 8), (order[i], 8), (start[i], 6))))
+            spans(out, *joined_windows(row[decided], start[decided]))
+        rows, kinds, blobs = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
     def work(batches):
-        held, count = [], 0
+        held, held_hot, count = [], [], 0
         for batch in batches:
             row, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, off = _binary(batch.column(2))
-            # pieces: (document, from, to); consecutive pieces of a document share K - 1 bytes
-            doc, lo = [], []
-            for k, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                if e - s >= K:
-                    at = range(s, e - K + 1, PIECE)
-                    doc += [k] * len(at)
-                    lo += at
-            doc, lo = np.array(doc, np.int64), np.array(lo, np.int64)
-            hi = np.minimum(lo + PIECE + K - 1, off[1:][doc] if len(doc) else 0)
-            for s, e in blocks(hi - lo, PIECE):
-                sizes = hi[s:e] - lo[s:e]
-                text = np.concatenate([data[x:y] for x, y in zip(lo[s:e].tolist(), hi[s:e].tolist(), strict=True)])
+            for text, sizes, doc, lo in _pieces(batch.column(2)):
                 first, more, anchor, whole = runs(text, sizes)
                 begin = np.cumsum(sizes) - sizes
                 piece = np.searchsorted(begin, first, "right") - 1
-                of = doc[s:e][piece]
-                held.append((anchor, whole & np.uint64(0xFFFFFFFFFFFFFF), row[of], order[of], first - begin[piece] + lo[s:e][piece] - off[of], more))
-                count += len(first)
+                of, start = doc[piece], first - begin[piece] + lo[piece]
+                cool = np.ones(len(first), bool)
+                if len(hot):
+                    cool = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] != anchor
+                    warm = np.flatnonzero(~cool)
+                    if len(warm):
+                        k, place, w = windows_of(text, first[warm], more[warm])
+                        k = warm[k]
+                        held_hot.append((anchor[k], w, row[of[k]], order[of[k]], start[k] + place))
+                        count += len(k)
+                held.append((anchor[cool], whole[cool] & np.uint64(0xFFFFFFFFFFFFFF), row[of[cool]], order[of[cool]], start[cool], more[cool]))
+                count += int(cool.sum())
                 if count >= PACK:
-                    yield flush(held)
-                    held, count = [], 0
+                    yield flush(held, held_hot)
+                    held, held_hot, count = [], [], 0
         if held:
-            yield flush(held)
+            yield flush(held, held_hot)
 
     return work
 
@@ -202,6 +277,12 @@ def _decide(parts: int):
         by = np.lexsort((c, a))
         a, c, row, order, start, more = (x[by] for x in (a, c, row, order, start, more))
         out = [[x.view(np.int64) for x in unpack([b for k, b in zip(kind, blob, strict=True) if k == 1], SPAN)]]
+        wa, w, w_row, w_order, w_start = unpack([b for k, b in zip(kind, blob, strict=True) if k == 2], WINDOW)
+        if len(w):
+            w_row, w_order, w_start = (x.view(np.int64) for x in (w_row, w_order, w_start))
+            hit = w_order > least_of(wa, w, w_order)
+            r, b, e = joined_windows(w_row[hit], w_start[hit])
+            out.append([r, b, e, np.full(len(r), here), np.ones(len(r), np.int64)])
         if len(a):
             new_a = np.concatenate([[True], a[1:] != a[:-1]])
             new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
@@ -355,14 +436,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["id"].dataType
     schema = _half(to_arrow_type(kind))
     parts = max(1, PARTS * rows.rdd.getNumPartitions())
-    packed = rows.select("row", "order", "text").mapInArrow(_anchors(parts), "part int, kind int, blob binary")
+    packed = rows.select("row", "order", "text").mapInArrow(_anchors(parts, hot_anchors(rows, ids.rows)), "part int, kind int, blob binary")
     spans = packed.groupBy("part").applyInArrow(_decide(parts), "part int, blob binary")
     dealt_rows = rows.withColumn("part", (F.pmod("row", F.lit(_PRIME)) % parts).cast("int"))
     done = f"id {kind.simpleString()}, {DONE}"
     half = materialize(
         dealt_rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_apply(want_text, schema), f"kind int, part int, row long, {done}, blob binary, lines binary")
     )
-    found = half.where("kind = 2").select("part", "blob", "lines").groupBy("part").applyInArrow(_compare(parts), "part int, blob binary")
+    # small in bytes and long in work, so its parts are not to be put together
+    found = half.where("kind = 2").select("part", "blob", "lines").repartition(parts, "part").groupBy("part").applyInArrow(_compare(parts), "part int, blob binary")
     waiting = half.where("kind = 1").select("part", "row", "id", "blob", "lines")
     late = waiting.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_finish(want_text, schema), f"row long, {done}")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]

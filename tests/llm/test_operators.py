@@ -226,8 +226,9 @@ def test_suffix_dedup_matches(docs, corpus, empty):
     assert suffix_dedup.digests(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_on_unique_ids_and_small_alphabets(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(0, 8), (1, 8), (2, 8), (1, 2), (2, 1)])
+def test_suffix_dedup_on_unique_ids_and_small_alphabets(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 1 makes all anchors hot
     rng = random.Random(seed)
     words = ["ab", "a", "ba", "é", "the"][: seed + 2]
     rows = [(k, "".join(rng.choice(words) for _ in range(rng.randrange(0, 200)))) for k in range(40)]
@@ -241,6 +242,7 @@ def test_suffix_dedup_on_unique_ids_and_small_alphabets(spark, seed):
 def test_suffix_dedup_of_a_text_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     monkeypatch.setattr(suffix_dedup, "PACK", 50)
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
     rng = random.Random(9)
     long = prose(rng, 1500)
     rows = [(1, long), (2, prose(rng, 30) + long[2000:5500] + prose(rng, 30)), (3, long[:4000]), (4, prose(rng, 10))]
@@ -248,6 +250,16 @@ def test_suffix_dedup_of_a_text_longer_than_a_piece(spark, monkeypatch):
     assert rows_of(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted((r[:5] for r in brute.repeats(rows)), key=repr)
 
 
+def test_suffix_dedup_with_a_passage_that_most_documents_share(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    rows = [(k, prose(rng, 12) + (passage if k % 3 else passage[3:-4]) + prose(rng, 12)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    numbered = df.select(F.col("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
+    assert 0 < len(suffix_dedup.hot_anchors(numbered, 60)) < 40
+    assert rows_of(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted((r[:5] for r in brute.repeats(rows)), key=repr)
+
+
 def test_runs_of_pieces_hold_every_window_once():
     rng = random.Random(4)
     text = prose(rng, 400).encode()
