@@ -240,14 +240,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fingerprint`` (16 lowercase hex digits) ``, component_id`` (the smallest id of its component)."""
-    fps = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    fps = materialize(fingerprints(ids, "id", "text"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")))
     joined = components(shard_links(distinct, distinct.count()))
     rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("of_fp"), "component_id")
     return fps.join(of, fps.fp == of.of_fp).select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 

@@ -170,6 +170,8 @@ def test_simhash_fingerprints_and_components(docs, corpus, empty):
     want = sorted(((i, f"{prints[k]:016x}", least.get(comp[k])) for k, (i, _) in enumerate(corpus)), key=repr)
     assert rows_of(near, "doc_id", "fingerprint", "component_id") == want
     assert simhash_vptree.near_duplicates(empty).count() == 0
+    other = docs.select(F.col("doc_id").alias("fp"), F.col("text").alias("root"), F.lit(1).alias("node"), F.lit(1).alias("least"))
+    assert rows_of(simhash_vptree.near_duplicates(other, "fp", "root"), "fp", "fingerprint", "component_id") == want
     one = simhash_vptree.one_of_each(docs)
     assert one.columns == docs.columns and one.count() == len(set(comp.values()))
     assert sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == sorted(least.values())
@@ -380,6 +382,36 @@ def test_long_words_are_counted_to_their_end(spark, tmp_path):
     assert rows_of(queries.op9_token_counts(spark, str(tmp_path)), "doc_id", "n_words", "n_tokens", "n_unknown") == sorted(want, key=repr)
 
 
+def long_texts():
+    """Very long texts: of one word, of one symbol and space, of lines, with a word of 300 and one of 300,000 characters."""
+    rng = random.Random(31)
+    word = "".join(rng.choice("abcdefgh") for _ in range(300_000))
+    return [word, "a " * 200_000, "\n".join(prose(rng, 9) for _ in range(6000)), prose(rng, 300) + " " + word[:300] + " " + prose(rng, 300) + " " + word + " é", "é" * 90_000]
+
+
+def test_very_long_texts_and_words(spark):
+    rows = list(enumerate(long_texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert rows_of(sentencepiece_codec.digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == [(i, *brute.tokens(t)) for i, t in rows]
+    assert rows_of(quality_rules.quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == [(i, *brute.quality(t)) for i, t in rows]
+    assert rows_of(simhash_vptree.fingerprints(docs).withColumn("fp", F.lower(F.lpad(F.hex("fp"), 16, "0"))), "doc_id", "fp") == [(i, f"{brute.fingerprint(t):016x}") for i, t in rows]
+    items = {1: rows[2][1][:200], 2: rows[3][1][-300_050:]}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows_of(decontaminate.digests(decontaminate.decontaminate(docs, bench)), *cols) == [(i, *brute.contamination(t, items)) for i, t in rows]
+    assert rows_of(suffix_dedup.digests(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == [r[:5] for r in brute.repeats(rows)]
+    host = "http://" + "a." * 3000 + "example.org/es/" + "b" * 300_000
+    assert url_filter.filter_urls(spark.createDataFrame([(1, host)], "page_id long, url string")).first().rule == "example.org/es/"
+
+
+@pytest.mark.parametrize("most", [340, 5000])
+def test_texts_are_cut_between_words(most):
+    for t in [*long_texts(), *TRICKY]:
+        parts = list(common.pieces(t, most))
+        assert "".join(parts) == t and [w for p in parts for w in p.split(" ") if w] == [w for w in t.split(" ") if w] or "\n" in t
+        assert all(len(p) <= most or not (set(p[1:]) & {" ", "\n"}) for p in parts)
+
+
 def labelled(spark, n=700, seed=1):
     rng, bad = random.Random(seed), "vile scum wretch".split()
     rows = []
