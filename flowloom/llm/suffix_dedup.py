@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, materialize
 from .difference_cover import equal_windows
@@ -433,20 +434,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = base.withColumn("row", F.col("order"))
     else:  # repeated or null ids: rows get numbers of their own, which a table in the shared folder keeps
         rows = materialize(base.withColumn("order", F.coalesce("order", F.lit(_LAST))).withColumn("row", F.monotonically_increasing_id()))
-    kind = rows.schema["id"].dataType
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema["id"].dataType])
     schema = _half(to_arrow_type(kind))
     parts = max(1, PARTS * rows.rdd.getNumPartitions())
     packed = rows.select("row", "order", "text").mapInArrow(_anchors(parts, hot_anchors(rows, ids.rows)), "part int, kind int, blob binary")
     spans = packed.groupBy("part").applyInArrow(_decide(parts), "part int, blob binary")
     dealt_rows = rows.withColumn("part", (F.pmod("row", F.lit(_PRIME)) % parts).cast("int"))
-    done = f"id {kind.simpleString()}, {DONE}"
-    half = materialize(
-        dealt_rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_apply(want_text, schema), f"kind int, part int, row long, {done}, blob binary, lines binary")
-    )
+    fields = lambda ddl: T.StructType.fromDDL(ddl).fields
+    done = [*fields("row long"), T.StructField("id", kind), *fields(DONE)]
+    half_type = T.StructType([*fields("kind int, part int"), *done, *fields("blob binary, lines binary")])
+    half = materialize(dealt_rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_apply(want_text, schema), half_type))
     # small in bytes and long in work, so its parts are not to be put together
     found = half.where("kind = 2").select("part", "blob", "lines").repartition(parts, "part").groupBy("part").applyInArrow(_compare(parts), "part int, blob binary")
     waiting = half.where("kind = 1").select("part", "row", "id", "blob", "lines")
-    late = waiting.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_finish(want_text, schema), f"row long, {done}")
+    late = waiting.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_finish(want_text, schema), T.StructType(done))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     return half.where("kind = 0").select("id.*", *names).union(late.select("id.*", *names))
 

@@ -4,6 +4,7 @@ import random
 import pytest
 
 import brute
+from pyspark.sql import functions as F
 import corpus_pipeline
 from test_operators import prose
 
@@ -59,3 +60,21 @@ def test_empty_table_passes_through(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_and_other_columns(spark, folder):
+    path, toxic = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "source", F.lit("x").alias("row"), F.lit(2).alias("score"))
+    one = docs.where("doc_id in (0, 2)")
+    odd = docs.union(one).union(one.select(F.lit(None).cast("long"), "text", "source", "row", "score")).union(docs.where("doc_id = 3").select(F.lit(4), "text", "source", "row", "score"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, path)
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        rows = [(r.doc_id, r.text) for r in out.collect()]
+        ids = [i for i, _ in rows if i is not None]
+        if name == "toxicity":
+            assert rows.count((0, rows[[i for i, _ in rows].index(0)][1])) == 2 and [i for i, _ in rows].count(None) == 2
+        elif name == "simhash_near_dedup":
+            assert len(ids) == len(set(ids)) and None not in [i for i, _ in rows]
+        odd = out.withColumn("lang", F.lit("en"))
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, path).count() == odd.count() > 0
