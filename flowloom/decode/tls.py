@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FOUND, NEED_MORE, NO_SNI, NOT_TLS = "Found", "NeedMore", "NoSni", "NotTls"
-_HOST = re.compile(rb"[A-Za-z0-9._-]+")
+_HOST = re.compile(r"[A-Za-z0-9._-]{1,253}")
+_SERVER_NAME = 0
+#: A hello's version and random number, and the bytes of a session id at most.
+_FIXED, _SESSION = 34, 32
 
 
 def looks_like_tls(d: bytes) -> bool:
@@ -17,68 +22,78 @@ def looks_like_tls(d: bytes) -> bool:
     return len(d) >= 6 and d[0] == 0x16 and d[1] == 3 and d[2] <= 4 and d[5] == 1
 
 
-class _Short(Exception):
+class _Cut(Exception):
+    """The bytes end inside a field."""
+
+
+class _NotHello(Exception):
     pass
 
 
+class _Fields(io.BytesIO):
+    def take(self, n: int) -> bytes:
+        got = self.read(n)
+        if len(got) < n:
+            raise _Cut
+        return got
+
+    def number(self, n: int) -> int:
+        return int.from_bytes(self.take(n))
+
+    def sized(self, n: int) -> bytes:
+        """Bytes behind their own length, which has ``n`` bytes."""
+        return self.take(self.number(n))
+
+
+def _extensions(record: bytes, whole: bool) -> Iterator[tuple[int, bytes]]:
+    """(type, data) of the extensions of the hello in a record."""
+    r = _Fields(record)
+    r.take(1)
+    if r.number(3) < _FIXED + 4:
+        raise _NotHello
+    r.take(_FIXED)
+    if len(r.getvalue()) > r.tell() and r.getvalue()[r.tell()] > _SESSION:
+        raise _NotHello
+    for width in (1, 2, 1):  # session, ciphers, compressions
+        r.sized(width)
+    size = r.number(2)
+    stop = r.tell() + size
+    if whole and stop > len(record):
+        raise _NotHello
+    while r.tell() < stop:
+        yield r.number(2), r.sized(2)
+
+
+def _host(names: bytes) -> str:
+    """The first host name in the data of the extension, if it is one."""
+    r = _Fields(names[2:])
+    try:
+        while True:
+            kind, name = r.number(1), r.sized(2)
+            if kind == 0 and 0 < len(name) <= 253:
+                text = name.decode("latin-1")
+                return text.lower() if _HOST.fullmatch(text) else ""
+    except _Cut:
+        return ""
+
+
 def extract_sni(d: bytes) -> tuple[str, str]:
     """(result, host). A record that is not whole yet asks for more; one that lies is not TLS."""
     if len(d) < 6:
         return (NEED_MORE if not d or d[0] == 0x16 else NOT_TLS), ""
     if not looks_like_tls(d):
         return NOT_TLS, ""
-    end = 5 + (d[3] << 8 | d[4])
-    partial = len(d) < end
-    end = min(end, len(d))
-    at = 5
-
-    def take(n: int) -> int:
-        nonlocal at
-        if at + n > end:
-            raise _Short
-        at += n
-        return at - n
-
-    def number(n: int) -> int:
-        p = take(n)
-        return int.from_bytes(d[p : p + n], "big")
-
+    size = int.from_bytes(d[3:5])
+    whole = len(d) >= 5 + size
     try:
-        take(1)
-        if number(3) < 38:
-            return NOT_TLS, ""
-        take(34)
-        session = number(1)
-        if session > 32:
-            return NOT_TLS, ""
-        take(session)
-        take(number(2))
-        take(number(1))
-        last = number(2)
-        last += at
-        if not partial and last > end:
-            return NOT_TLS, ""
-        while at < last:
-            kind = number(2)
-            size = number(2)
-            p = take(size)
-            if kind:
-                continue
-            names, p = p + size, p + 2
-            if size < 2:
-                return NO_SNI, ""
-            while p + 3 <= names:
-                sort, n = d[p], d[p + 1] << 8 | d[p + 2]
-                p += 3
-                if p + n > names:
-                    return NO_SNI, ""
-                if sort == 0 and 0 < n <= 253:
-                    host = d[p : p + n]
-                    return (FOUND, host.decode("ascii").lower()) if _HOST.fullmatch(host) else (NO_SNI, "")
-                p += n
-            return NO_SNI, ""
-    except _Short:
-        return (NEED_MORE if partial else NO_SNI), ""
+        for kind, data in _extensions(d[5 : 5 + size], whole):
+            if kind == _SERVER_NAME:
+                host = _host(data)
+                return (FOUND if host else NO_SNI), host
+    except _NotHello:
+        return NOT_TLS, ""
+    except _Cut:
+        return (NO_SNI if whole else NEED_MORE), ""
     return NO_SNI, ""
 
 

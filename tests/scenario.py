@@ -9,7 +9,7 @@ from builders import dns, ether, hello, ipv4, tcp, udp
 START = 1_790_168_400
 ME, GATEWAY = "192.168.1.23", "192.168.1.1"
 SITES = {"news.example": "203.0.113.10", "mail.example": "203.0.113.20", "video.example": "203.0.113.30"}
-EICAR = b"X5O!P%@AP[4\\PZX54(P^)7CC)7}$" + b"EICAR-STANDARD-ANTIVIRUS-TEST-FILE!" + b"$H+H*"
+EICAR = rb"X5O!P%@AP[4\PZX54(P^)7CC)7}$EICAR-STANDARD-ANTIVIRUS-TEST-FILE!$H+H*"
 
 
 class Capture:

@@ -63,7 +63,7 @@ def test_incidents_of_the_scenario_come_once_and_in_order(analysis):
     assert by["port_scan"].src == "192.168.1.44" and "ports on 192.168.1.23 in" in by["port_scan"].message
     assert by["syn_flood"].dst == "192.168.1.23:3000" and by["syn_flood"].message.endswith("0% completed")
     assert by["traffic_spike"].message.startswith("Inbound 30.")
-    assert any("(printer.local)" in r.message and "http-basic-auth" in r.message for r in analysis.alerts.collect())
+    assert any("(printer.local)" in r.message and "web-password" in r.message for r in analysis.alerts.collect())
 
 
 def test_views_of_the_scenario(analysis):

@@ -69,4 +69,4 @@ def test_rule_lines():
     assert (a["content"], a["nocase"], a["message"]) == (b'ABC"| d', False, "Matched one")
     assert (b["severity"], b["nocase"], b["message"]) == ("medium", True, "told: so")
     assert (c["name"], c["severity"], c["message"]) == ("plain pattern", "medium", 'Payload contains "plain pattern"')
-    assert len(text.load_rules(text.__file__.replace("sources/text.py", "data/rules.txt"))) == 32
+    assert len(text.load_rules(text.__file__.replace("sources/text.py", "data/rules.txt"))) == 39
