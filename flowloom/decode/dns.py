@@ -98,13 +98,14 @@ def dns_message(payload: Column, proto: Column) -> Column:
     @F.pandas_udf(_STRUCT)
     def parse(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
         rows = [parse_dns_tcp(d) if k == 6 else parse_dns(d) for d, k in zip(data, kind, strict=True)]
-        return pd.DataFrame([{"ok": r is not None, **(r or {})} for r in rows], columns=["ok", "id", "response", "rcode", "question", "qtype", "answers"]).astype({"id": "Int32", "rcode": "Int32", "qtype": "Int32", "response": "boolean"})
+        return pd.DataFrame([{"ok": r is not None, **(r or _NONE)} for r in rows], columns=["ok", *_NONE])
 
     got = parse(payload, proto)
     return F.when(got["ok"], got)
 
 
 _STRUCT = "ok boolean, " + DNS_MESSAGE
+_NONE = {"id": 0, "response": False, "rcode": 0, "question": "", "qtype": 0, "answers": []}
 
 
 def dns_type_name(qtype: Column) -> Column:

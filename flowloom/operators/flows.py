@@ -24,6 +24,7 @@ from ..config import EngineConfig
 from ..decode import tls
 from ..functions.addresses import address_facts, parse_ip_text
 from ..functions.services import is_service, label_of
+from . import naming
 from .naming import DNS, HTTP, SNI
 from .signatures import _matcher, matcher_blob
 
@@ -351,20 +352,19 @@ SLOT, AFTER = 300, 302
 def answers_for_flows(keyed: DataFrame, answers: DataFrame) -> DataFrame:
     """DNS answers (``addr, name, ts_usec, pkt_no``) as rows of the flows that they may name.
 
-    An answer that repeats the name its address has changes nothing. Of the rest a flow gets the
-    newest one up to its first packet, by one sorted pass, and those that come while it lasts, by a
-    join on address and slots of time; so a busy address does not pair all its flows with all its answers.
+    An answer that repeats the name its address has changes nothing; whether it does is told within
+    slots of time, so a busy address is not one task. Of the rest a flow gets the newest one up to
+    its first packet (``naming.asof_name``), and those that come while it lasts, by a join on address
+    and slots of time; so a busy address does not pair all its flows with all its answers.
     """
     unmapped = lambda c: F.regexp_replace(c, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", "$1")
     spans = keyed.groupBy(*KEY).agg(F.min(F.struct("ts_usec", "pkt_no")).alias("f"), F.max("ts_usec").alias("last"))
     ends = spans.withColumn("addr", F.explode(F.array_distinct(F.array(unmapped("a"), unmapped("b")))))
-    in_order = W.partitionBy("addr").orderBy("ts_usec", "pkt_no")
+    in_order = W.partitionBy("addr", F.expr(f"ts_usec div {SLOT * _US}")).orderBy("ts_usec", "pkt_no")
     told = answers.groupBy("addr", "ts_usec", "pkt_no").agg(F.max("name").alias("name"))
     told = told.withColumn("same", F.lag("name").over(in_order) == F.col("name")).where("same is null or not same").drop("same")
-    n = F.struct("ts_usec", "pkt_no", "name")
-    both = ends.select(*KEY, "addr", "f.*", F.lit(1).alias("asks")).unionByName(told.select("addr", "ts_usec", "pkt_no", n.alias("n"), F.lit(0).alias("asks")), allowMissingColumns=True)
-    newest = F.last("n", ignorenulls=True).over(W.partitionBy("addr").orderBy("ts_usec", "pkt_no", "asks").rowsBetween(W.unboundedPreceding, 0))
-    before = both.withColumn("n", newest).where("asks = 1 and n is not null").select(*KEY, "addr", "n.*")
+    before = naming.asof_name(ends.select(*KEY, "addr", "f.*"), told, keep=tuple(KEY)).where("name is not null")
+    before = before.select(*KEY, "addr", "ts_usec", "pkt_no", "name")
     slots = ends.withColumn("slot", F.explode(F.sequence(F.expr(f"f.ts_usec div {SLOT * _US}"), F.expr(f"(last + {AFTER * _US}) div {SLOT * _US}"))))
     during = slots.join(told.withColumn("slot", F.expr(f"ts_usec div {SLOT * _US}")), ["addr", "slot"])
     during = during.where(f"(ts_usec > f.ts_usec or (ts_usec = f.ts_usec and pkt_no > f.pkt_no)) and ts_usec <= last + {AFTER * _US}")

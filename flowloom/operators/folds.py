@@ -1,10 +1,14 @@
-"""Order-sensitive accumulations as higher-order expressions over ordered arrays."""
+"""Order-sensitive accumulations: expressions over ordered arrays where these are short, else folds over sorted Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def greedy(times: Column, gap: Column | int) -> Column:
@@ -61,26 +65,149 @@ def session_ids(df: DataFrame, keys: list[str], ts: str, order: list[str], limit
     return df.withColumn("__new", starts).withColumn("session", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("__new")
 
 
-def clock_epochs(packets: DataFrame, ts: str = "ts_usec", order: str = "pkt_no", tolerance_sec: int = 10) -> DataFrame:
-    """``epoch``: how often the clock has restarted.
+def key_changes(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Where each key's rows begin in a sorted batch with rows (0 left out if the batch goes on with ``last``), and its last key."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    for k in keys:
+        c = batch.column(k)
+        new[1:] |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+    at = lambda i: tuple(batch.column(k)[i].as_py() for k in keys)
+    new[0] = at(0) != last
+    return np.flatnonzero(new), at(n - 1)
+
+
+def greedy_rows(df: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
+    """The rows of ``df`` at least ``gap`` after the last one taken of their key; times of a key are distinct.
+
+    Rows are dealt by key and sorted by time; what is kept of a key is the time of its last taken
+    row, so a key may have any number of rows and a batch is passed through in jumps.
+    """
+
+    def run(batches):
+        key, until = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = b.column(time).to_numpy()
+            starts, last = key_changes(b, keys, key)
+            key, taken = last, []
+            edges = [*([] if len(starts) and starts[0] == 0 else [0]), *starts.tolist(), len(t)]
+            fresh = set(starts.tolist())
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                until = None if s in fresh else until
+                i = s if until is None else s + int(np.searchsorted(t[s:e], until))
+                while i < e:
+                    taken.append(i)
+                    until = int(t[i]) + gap
+                    i = s + int(np.searchsorted(t[s:e], until))
+            yield b.take(pa.array(taken, pa.int64()))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(run, df.schema)
+
+
+def range_part(value: Column, bounds: list) -> Column:
+    """Which of the ranges between ascending bounds a value is in, by bisection."""
+    if not bounds:
+        return F.lit(0)
+
+    def pick(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(value < F.lit(bounds[middle]), pick(lo, middle)).otherwise(pick(middle + 1, hi))
+
+    return pick(0, len(bounds))
+
+
+class _Clock:
+    """The clock over the whole seconds of packets in their order."""
+
+    def __init__(self, tolerance: int, tick: int | None = None, epoch: int = 0):
+        self.tolerance, self.tick, self.epoch = tolerance, tick, epoch
+
+    def see(self, sec: int) -> None:
+        if self.tick is None or sec >= self.tick:
+            self.tick = sec + 1
+        elif sec < self.tick - self.tolerance:
+            self.tick, self.epoch = sec + 1, self.epoch + 1
+
+
+def _seconds(batch: pa.RecordBatch, ts: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows where the second changes, and these seconds; times that are not positive do not move the clock."""
+    t = pc.fill_null(batch.column(ts), 0).to_numpy()
+    rows = np.flatnonzero(t > 0)
+    sec = t[rows] // 1_000_000
+    change = np.ones(len(rows), bool)
+    change[1:] = sec[1:] != sec[:-1]
+    return rows[change], sec[change]
+
+
+def clock_epochs(packets: DataFrame, ts: str = "ts_usec", order: str = "pkt_no", tolerance_sec: int = 10, parts: int | None = None) -> DataFrame:
+    """``packets`` with ``epoch``: how often the clock has restarted.
 
     The clock follows the packets; one that is more than ten seconds before the next tick restarts
-    it. Only seconds that are the first of their task's order matter, but the clock is one for the
-    capture, so this is one ordered pass over packets already reduced to a row for each change of
-    the second.
+    it. Packets are dealt into ranges of their order. How a range carries the clock on depends on
+    its tick only within the tolerance of the range's first second, so a range tells its outcome for
+    each of these few ticks in one pass over its seconds; chaining the ranges gives each its start,
+    and where the clock ever restarted a second pass follows it through all ranges side by side.
     """
-    w = W.orderBy(order)
-    sec = F.floor(F.col(ts) / 1_000_000).cast("bigint")
-    changes = packets.withColumn("__sec", sec).withColumn("__same", F.coalesce(F.lag("__sec").over(w) == F.col("__sec"), F.lit(False)))
-    steps = changes.where("not __same").orderBy(order).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col("__sec").alias("s")))).alias("a"))
-    start = F.struct(F.lit(None).cast("bigint").alias("tick"), F.lit(0).alias("epoch"), F.array().cast("array<struct<n:bigint,epoch:int>>").alias("out"))
-
-    def follow(acc, x):
-        back = F.coalesce(x["s"] < acc["tick"] - tolerance_sec, F.lit(False))
-        epoch = acc["epoch"] + back.cast("int")
-        tick = F.when(acc["tick"].isNull() | back, x["s"] + 1).otherwise(F.greatest(acc["tick"], x["s"] + 1))
-        return F.struct(tick.alias("tick"), epoch.alias("epoch"), F.array_append(acc["out"], F.struct(x["n"].cast("bigint").alias("n"), epoch.alias("epoch"))).alias("out"))
-
-    marks = steps.select(F.explode(F.aggregate("a", start, follow)["out"]).alias("m")).select(F.col("m.n").alias("__n"), F.col("m.epoch").alias("__e"))
-    known = packets.join(marks, packets[order] == marks["__n"], "left")
-    return known.withColumn("epoch", F.last("__e", ignorenulls=True).over(W.orderBy(order))).drop("__n", "__e")
+    parts = parts or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = packets.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    part = range_part(F.col(order), sorted(set(cuts)) if parts > 1 else []).cast("int")
+    by_range = lambda df: df.withColumn("__part", part).repartition(parts, "__part").sortWithinPartitions("__part", order)
+
+    def outcomes(batches):
+        known: dict[int, tuple[int, _Clock, dict[int, _Clock], dict[int, int]]] = {}
+        for b in batches:
+            of = b.column("__part").to_numpy()
+            rows, secs = _seconds(b, ts)
+            for p, sec in zip(of[rows].tolist(), secs.tolist(), strict=True):
+                if p not in known:
+                    # the clock without a tick before, clocks that begin up to the tolerance ahead, and those that have met the first
+                    known[p] = sec, _Clock(tolerance_sec), {d: _Clock(tolerance_sec, sec + 1 + d) for d in range(1, tolerance_sec)}, {0: 0}
+                _, main, apart, met = known[p]
+                main.see(sec)
+                for d, c in list(apart.items()):
+                    c.see(sec)
+                    if c.tick == main.tick:
+                        met[d] = c.epoch - main.epoch
+                        del apart[d]
+        out = []
+        for p, (first, main, apart, met) in known.items():
+            ends = {d: (main.tick, main.epoch + more) for d, more in met.items()} | {d: (c.tick, c.epoch) for d, c in apart.items()}
+            out.append({"part": p, "first": first, "ticks": [ends[d][0] for d in range(tolerance_sec)], "epochs": [ends[d][1] for d in range(tolerance_sec)]})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("first", pa.int64()), ("ticks", pa.list_(pa.int64())), ("epochs", pa.list_(pa.int64()))]))
+
+    found = by_range(packets.select(order, ts)).mapInArrow(outcomes, "part int, first long, ticks array<long>, epochs array<long>")
+    tick, epoch, starts = None, 0, {}
+    for r in sorted(found.collect(), key=lambda r: r.part):  # a row for each range
+        starts[r.part] = tick, epoch
+        ahead = 0 if tick is None else tick - r.first - 1
+        restart = ahead >= tolerance_sec
+        ahead = 0 if restart else max(0, ahead)
+        tick, epoch = r.ticks[ahead], epoch + restart + r.epochs[ahead]
+    if not epoch:
+        return packets.withColumn("epoch", F.lit(0))
+    names = packets.columns
+
+    def follow(batches):
+        clocks: dict[int, _Clock] = {}
+        for b in batches:
+            of = b.column("__part").to_numpy()
+            epochs = np.full(len(of), -1, np.int32)
+            rows, secs = _seconds(b, ts)
+            begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+            for i in begins.tolist():
+                clock = clocks.setdefault(int(of[i]), _Clock(tolerance_sec, *starts.get(int(of[i]), (None, 0))))
+                epochs[i] = clock.epoch
+                stop = int(np.searchsorted(of, of[i], "right"))
+                own = slice(*np.searchsorted(rows, [i, stop]).tolist())
+                for k, sec in zip(rows[own].tolist(), secs[own].tolist(), strict=True):
+                    clock.see(sec)
+                    epochs[k] = clock.epoch
+            at = np.maximum.accumulate(np.where(epochs >= 0, np.arange(len(of)), 0))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(epochs[at])], [*names, "epoch"])
+
+    return by_range(packets).mapInArrow(follow, T.StructType([*packets.schema.fields, T.StructField("epoch", T.IntegerType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,17 +11,32 @@ from pyspark.sql import functions as F
 DNS, HTTP, SNI = 2, 3, 4
 
 
-def asof_name(left: DataFrame, answers: DataFrame, addr: str = "addr", ts: str = "ts_usec", order: str = "pkt_no", keep: tuple[str, ...] = ()) -> DataFrame:
+#: Microseconds of a slot of time that names are carried forward in.
+SLOT = 300_000_000
+
+
+def asof_name(left: DataFrame, answers: DataFrame, addr: str = "addr", ts: str = "ts_usec", order: str = "pkt_no", keep: tuple[str, ...] = (), slot: int = SLOT) -> DataFrame:
     """``left`` with ``name``: the newest answer for its address so far, its own packet's included.
 
-    Both sides are sorted together by address and time and the last name is carried forward: one
-    shuffle and no range join. ``answers``: ``addr, ts, order, name``.
+    Both sides are sorted together by address and time within slots of time and the last name is
+    carried forward, so no range join is made and a busy address is not one task. A slot that begins
+    without a name takes the one the address had before, from a table with a row for each address
+    and slot. ``answers``: ``addr, ts, order, name``; of several at one place the largest name counts.
     """
+    place = F.floor(F.col(ts) / F.lit(slot)).cast("bigint").alias("__slot")
     cols = [addr, ts, order, *keep]
-    ask = left.select(*cols, F.lit(None).cast("string").alias("__name"), F.lit(1).alias("__asks"))
-    told = answers.select(F.col(addr), F.col(ts), F.col(order), *[F.lit(None).cast(left.schema[k].dataType).alias(k) for k in keep], F.col("name").alias("__name"), F.lit(0).alias("__asks"))
-    w = W.partitionBy(addr).orderBy(ts, order, "__asks").rowsBetween(W.unboundedPreceding, 0)
-    return ask.unionByName(told).withColumn("name", F.last("__name", ignorenulls=True).over(w)).where("__asks = 1").drop("__asks", "__name")
+    told = answers.groupBy(addr, ts, order).agg(F.max("name").alias("__name"))
+    ask = left.select(*cols, F.lit(None).cast("string").alias("__name"), F.lit(1).alias("__asks"), place)
+    give = told.select(addr, ts, order, *[F.lit(None).cast(left.schema[k].dataType).alias(k) for k in keep], "__name", F.lit(0).alias("__asks"), place)
+    w = W.partitionBy(addr, "__slot").orderBy(ts, order, "__asks").rowsBetween(W.unboundedPreceding, 0)
+    inside = ask.unionByName(give).withColumn("name", F.last("__name", ignorenulls=True).over(w)).where("__asks = 1").drop("__asks", "__name")
+    ends = told.groupBy(addr, place).agg(F.max_by("__name", F.struct(ts, order)).alias("__end"))
+    asked = left.select(addr, place).distinct().withColumn("__end", F.lit(None).cast("string"))
+    slots = ends.unionByName(asked).groupBy(addr, "__slot").agg(F.max("__end").alias("__end"))
+    before = slots.withColumn("__before", F.last("__end", ignorenulls=True).over(W.partitionBy(addr).orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)))
+    known = before.where("__before is not null").select(F.col(addr).alias("__addr"), F.col("__slot").alias("__of"), "__before")
+    out = inside.join(known, (F.col(addr) == F.col("__addr")) & (F.col("__slot") == F.col("__of")), "left")
+    return out.select(*cols, F.coalesce("name", "__before").alias("name"))
 
 
 def late_name(flows: DataFrame, answers: DataFrame) -> DataFrame:
@@ -55,23 +71,47 @@ def best_name(names: DataFrame, keys: list[str]) -> DataFrame:
     return names.where("host <> ''").groupBy(*keys).agg(top.alias("t")).select(*keys, "t.host", F.col("t.source").alias("host_source"))
 
 
-def dedupe_lookups(lookups: DataFrame, window_usec: int = 2_000_000) -> DataFrame:
+def dedupe_lookups(lookups: DataFrame, window_usec: int = 2_000_000, slot: int = 10_000_000) -> DataFrame:
     """``ts_usec, name, qtype, failed``: answers for the newest lookup's name within two seconds of it are one.
 
-    Only the newest lookup can take an answer in, so a run of answers with one name is folded; runs
-    are found with a window, and each run is a short array. ``lookups``: ``ts_usec, pkt_no, name,
-    qtype, rcode``; empty names are left out. A merged answer without error clears ``failed``.
+    Only the newest lookup can take an answer in, so an answer whose predecessor has another name or
+    is two seconds older begins a chain, and chains are folded apart from each other. Predecessors
+    are found in slots of time; what a slot's first rows need of earlier ones comes from a table with
+    a row for each slot. ``lookups``: ``ts_usec, pkt_no, name, qtype, rcode``; empty names are left
+    out. A merged answer without error clears ``failed``.
     """
-    w = W.orderBy("ts_usec", "pkt_no")
-    runs = lookups.where("name <> ''").withColumn("new", F.coalesce((F.lag("name").over(w) != F.col("name")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    items = runs.groupBy("run", "name").agg(F.array_sort(F.collect_list(F.struct("ts_usec", "pkt_no", "qtype", "rcode"))).alias("a"))
-    kind = "array<struct<ts_usec:bigint,qtype:int,failed:boolean>>"
-
-    def step(out, x):
-        last = F.try_element_at(out, F.lit(-1))
-        near = (F.size(out) > 0) & (x["ts_usec"] - last["ts_usec"] < window_usec)
-        cleared = F.struct(last["ts_usec"].alias("ts_usec"), last["qtype"].alias("qtype"), (last["failed"] & (x["rcode"] != 0)).alias("failed"))
-        merged = F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), cleared)
-        return F.when(near, merged).otherwise(F.array_append(out, F.struct(x["ts_usec"].alias("ts_usec"), x["qtype"].cast("int").alias("qtype"), (x["rcode"] == 3).alias("failed"))))
-
-    return items.select("name", F.explode(F.aggregate("a", F.array().cast(kind), step)).alias("l")).select("l.ts_usec", "name", "l.qtype", "l.failed")
+    at = F.struct("ts_usec", "pkt_no")
+    rows = lookups.where("name <> ''").withColumn("slot", F.floor(F.col("ts_usec") / F.lit(slot)).cast("bigint"))
+    w = W.partitionBy("slot").orderBy("ts_usec", "pkt_no")
+    one_a_slot = W.orderBy("slot")  # rows of slots, not of lookups
+    ends = rows.groupBy("slot").agg(F.max_by(F.struct("name", "ts_usec"), at).alias("end"))
+    known = rows.join(ends.select("slot", F.lag("end").over(one_a_slot).alias("before")), "slot")
+    prior = F.coalesce(F.lag(F.struct("name", "ts_usec")).over(w), F.col("before"))
+    begun = known.withColumn("prior", prior).withColumn("begins", F.col("prior").isNull() | (F.col("prior.name") != F.col("name")) | (F.col("ts_usec") - F.col("prior.ts_usec") >= window_usec))
+    begun = begun.withColumn("chain", F.last(F.when(F.col("begins"), at), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    lasts = begun.groupBy("slot").agg(F.max("chain").alias("end"))
+    carried = lasts.select("slot", F.last("end", ignorenulls=True).over(one_a_slot.rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    chains = begun.join(carried, "slot").select(F.coalesce("chain", "carried").alias("c"), "ts_usec", "pkt_no", "name", F.col("qtype").cast("int").alias("qtype"), "rcode")
+    chains = chains.select(F.col("c.ts_usec").alias("c_ts"), F.col("c.pkt_no").alias("c_no"), "ts_usec", "pkt_no", "name", "qtype", "rcode")
+
+    def fold(batches):
+        chain, newest = None, None  # the newest lookup: ts, name, qtype, failed
+        for b in batches:
+            out = []
+            for c_ts, c_no, ts, name, qtype, rcode in zip(*(b.column(k).to_pylist() for k in ("c_ts", "c_no", "ts_usec", "name", "qtype", "rcode")), strict=True):
+                if newest is not None and (c_ts, c_no) == chain and ts - newest[0] < window_usec:
+                    newest[3] = newest[3] and rcode != 0
+                    continue
+                if newest is not None:
+                    out.append(newest)
+                chain, newest = (c_ts, c_no), [ts, name, qtype, rcode == 3]
+            yield _lookups(out)
+        if newest is not None:
+            yield _lookups([newest])
+
+    return chains.repartition("c_ts", "c_no").sortWithinPartitions("c_ts", "c_no", "ts_usec", "pkt_no").mapInArrow(fold, "ts_usec long, name string, qtype int, failed boolean")
+
+
+def _lookups(rows: list[list]) -> pa.RecordBatch:
+    ts, name, qtype, failed = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(name, pa.string()), pa.array(qtype, pa.int32()), pa.array(failed, pa.bool_())], ["ts_usec", "name", "qtype", "failed"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..decode.columnar import binary_parts
-from .folds import greedy
+from .folds import greedy_rows
 
 
 class Matcher:
@@ -194,15 +194,15 @@ def signature_alerts(matches: DataFrame, rules: DataFrame, cooldown_sec: int = 6
     """Alerts of matches, one for a rule and a direction between two addresses in each cooldown.
 
     ``matches``: ``ts_usec, pkt_no, rule_id, src, sport, dst, dport, host, app`` (host empty if it
-    is the remote address). Ports do not count for the cooldown, which runs on packet times.
+    is the remote address). Ports do not count for the cooldown, which runs on packet times: hits are
+    sorted by rule, direction and time and walked through, none is collected.
     """
     from ..functions.formats import endpoint
 
     named = matches.join(rules.select("rule_id", "name", "severity", F.col("message").alias("title")), "rule_id")
     keys = ["name", "src", "dst"]
     first = named.groupBy(*keys, "ts_usec").agg(F.min_by(F.struct("pkt_no", "severity", "title", "sport", "dport", "host", "app"), F.struct("pkt_no", "rule_id")).alias("m"))
-    times = first.groupBy(*keys).agg(F.array_sort(F.collect_set("ts_usec")).alias("t")).select(*keys, F.explode(greedy(F.col("t"), cooldown_sec * 1_000_000)).alias("ts_usec"))
-    taken = first.join(times, [*keys, "ts_usec"]).select(*keys, "ts_usec", "m.*")
+    taken = greedy_rows(first, keys, "ts_usec", cooldown_sec * 1_000_000).select(*keys, "ts_usec", "m.*")
     src, dst = endpoint(F.col("src"), F.col("sport")), endpoint(F.col("dst"), F.col("dport"))
     host = F.when(F.coalesce("host", F.lit("")) != "", F.concat(F.lit(" ("), "host", F.lit(")"))).otherwise("")
     app = F.when(F.coalesce("app", F.lit("")) != "", F.concat(F.lit(", "), "app")).otherwise("")

@@ -702,3 +702,8 @@ def t3_flow_fold_all(spark, sf_dir):
 
 
 WITHOUT_SQL["t3_flow_fold_all"] = t3_flow_fold_all
+
+from . import registry_packets  # noqa: E402
+
+QUERIES |= registry_packets.QUERIES
+ORACLES |= registry_packets.ORACLES
