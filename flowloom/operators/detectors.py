@@ -17,9 +17,14 @@ from .series import second
 _US = 1_000_000
 
 
-def attempts_by_second(attempts: DataFrame) -> DataFrame:
-    """``src, dst, dport, sec, last_ts``: the latest attempt on each port in each second."""
-    return attempts.groupBy("src", "dst", "dport", second(F.col("ts_usec")).alias("sec")).agg(F.max("ts_usec").alias("last_ts"))
+def latest_attempts(attempts: DataFrame, *more) -> DataFrame:
+    """``src, dst, dport, last_ts``: the latest attempt on each port; by ``more`` too, if given."""
+    return attempts.groupBy("src", "dst", "dport", *more).agg(F.max("ts_usec").alias("last_ts"))
+
+
+def attempts_by_second(attempts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same in each second ``sec``."""
+    return latest_attempts(attempts, *by, second(F.col("ts_usec")).alias("sec"))
 
 
 def with_lives(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -33,17 +38,18 @@ def with_lives(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
     return rows.withColumn("__new", new).withColumn("life", F.sum("__new").over(w)).drop("__new")
 
 
-def scan_candidates(attempts: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def scan_candidates(attempts: DataFrame, cfg: DetectorConfig = DetectorConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """``src, dst, life, tick, n_ports, first_ts, last_ts`` where enough distinct ports were tried in the window.
 
     ``attempts``: ``ts_usec, src, dst, dport``. Repeats in a second are combined before anything is
     expanded; a pair's ports of ten seconds are counted by (pair, tick, port), never collected. All
-    seconds of one window are of one life.
+    seconds of one window are of one life. What ``by`` tells apart (restarts of the clock) shares no state.
     """
+    keys = ["src", "dst", *by]
     ticks = F.explode(F.sequence(F.col("sec") + 1, F.col("sec") + cfg.scan_window)).alias("tick")
-    living = with_lives(attempts_by_second(attempts), ["src", "dst"], cfg.scan_window)
-    latest = living.select("src", "dst", "life", "dport", "last_ts", ticks).groupBy("src", "dst", "life", "tick", "dport").agg(F.max("last_ts").alias("last_ts"))
-    return latest.groupBy("src", "dst", "life", "tick").agg(F.count("*").alias("n_ports"), F.min("last_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).where(F.col("n_ports") >= cfg.scan_ports)
+    living = with_lives(attempts_by_second(attempts, by), keys, cfg.scan_window)
+    latest = living.select(*keys, "life", "dport", "last_ts", ticks).groupBy(*keys, "life", "tick", "dport").agg(F.max("last_ts").alias("last_ts"))
+    return latest.groupBy(*keys, "life", "tick").agg(F.count("*").alias("n_ports"), F.min("last_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")).where(F.col("n_ports") >= cfg.scan_ports)
 
 
 def with_cooldown(candidates: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -52,30 +58,31 @@ def with_cooldown(candidates: DataFrame, keys: list[str], gap: int) -> DataFrame
     return candidates.join(taken, [*keys, "life", "tick"]).drop("life")
 
 
-def port_scans(attempts: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def port_scans(attempts: DataFrame, cfg: DetectorConfig = DetectorConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """``src, dst, tick, n_ports, first_ts, last_ts`` of each alert."""
-    return with_cooldown(scan_candidates(attempts, cfg), ["src", "dst"], cfg.cooldown)
+    return with_cooldown(scan_candidates(attempts, cfg, by), ["src", "dst", *by], cfg.cooldown).drop(*by)
 
 
-def flood_seconds(attempts: DataFrame, completed: DataFrame) -> DataFrame:
+def flood_seconds(attempts: DataFrame, completed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``dst, dport, sec, attempts, completed`` of each target and second; a completion alone makes one too."""
-    both = attempts.select("ts_usec", "dst", "dport", F.lit(1).alias("a"), F.lit(0).alias("c")).union(completed.select("ts_usec", "dst", "dport", F.lit(0), F.lit(1)))
-    return both.groupBy("dst", "dport", second(F.col("ts_usec")).alias("sec")).agg(F.sum("a").cast("bigint").alias("attempts"), F.sum("c").cast("bigint").alias("completed"))
+    both = attempts.select("ts_usec", "dst", "dport", *by, F.lit(1).alias("a"), F.lit(0).alias("c")).union(completed.select("ts_usec", "dst", "dport", *by, F.lit(0), F.lit(1)))
+    return both.groupBy("dst", "dport", *by, second(F.col("ts_usec")).alias("sec")).agg(F.sum("a").cast("bigint").alias("attempts"), F.sum("c").cast("bigint").alias("completed"))
 
 
-def flood_candidates(seconds: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def flood_candidates(seconds: DataFrame, cfg: DetectorConfig = DetectorConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """``dst, dport, life, tick, attempts, completed, busy`` where attempts are many and few complete."""
     ticks = F.explode(F.sequence(F.col("sec") + 1, F.col("sec") + cfg.flood_window)).alias("tick")
-    sums = with_lives(seconds, ["dst", "dport"], cfg.flood_window).select("*", ticks).groupBy("dst", "dport", "life", "tick").agg(
+    keys = ["dst", "dport", *by]
+    sums = with_lives(seconds, keys, cfg.flood_window).select("*", ticks).groupBy(*keys, "life", "tick").agg(
         F.sum("attempts").cast("bigint").alias("attempts"), F.sum("completed").cast("bigint").alias("completed"), (F.max("sec") - F.min("sec") + 1).alias("busy")
     )
     many = F.col("attempts") / F.lit(float(cfg.flood_window)) >= cfg.flood_rate
     return sums.where(many & (F.col("completed").cast("double") < F.col("attempts").cast("double") * cfg.flood_completed))
 
 
-def syn_floods(attempts: DataFrame, completed: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def syn_floods(attempts: DataFrame, completed: DataFrame, cfg: DetectorConfig = DetectorConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """``dst, dport, tick, attempts, completed, busy`` of each alert."""
-    return with_cooldown(flood_candidates(flood_seconds(attempts, completed), cfg), ["dst", "dport"], cfg.cooldown)
+    return with_cooldown(flood_candidates(flood_seconds(attempts, completed, by), cfg, by), ["dst", "dport", *by], cfg.cooldown).drop(*by)
 
 
 def spike_scores(series: DataFrame, value: str, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:

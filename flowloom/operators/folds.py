@@ -143,7 +143,7 @@ def _seconds(batch: pa.RecordBatch, ts: str) -> tuple[np.ndarray, np.ndarray]:
     return rows[change], sec[change]
 
 
-def clock_epochs(packets: DataFrame, ts: str = "ts_usec", order: str = "pkt_no", tolerance_sec: int = 10, parts: int | None = None) -> DataFrame:
+def clock_epochs(packets: DataFrame, ts: str = "ts_usec", order: str = "pkt_no", tolerance_sec: int = 10, parts: int | None = None, if_any: bool = False) -> DataFrame | None:
     """``packets`` with ``epoch``: how often the clock has restarted.
 
     The clock follows the packets; one that is more than ten seconds before the next tick restarts
@@ -151,6 +151,7 @@ def clock_epochs(packets: DataFrame, ts: str = "ts_usec", order: str = "pkt_no",
     its tick only within the tolerance of the range's first second, so a range tells its outcome for
     each of these few ticks in one pass over its seconds; chaining the ranges gives each its start,
     and where the clock ever restarted a second pass follows it through all ranges side by side.
+    With ``if_any`` there is no result if it never did.
     """
     parts = parts or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = packets.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
@@ -189,7 +190,7 @@ def clock_epochs(packets: DataFrame, ts: str = "ts_usec", order: str = "pkt_no",
         ahead = 0 if restart else max(0, ahead)
         tick, epoch = r.ticks[ahead], epoch + restart + r.epochs[ahead]
     if not epoch:
-        return packets.withColumn("epoch", F.lit(0))
+        return None if if_any else packets.withColumn("epoch", F.lit(0))
     names = packets.columns
 
     def follow(batches):

@@ -17,7 +17,7 @@ from ..config import EngineConfig
 from ..decode.dns import dns_message
 from ..decode.link import is_attempt
 from ..functions.addresses import is_local, parse_ip, parse_ip_text
-from ..operators import detectors, flows, naming, owners, rates, series, signatures
+from ..operators import detectors, flows, folds, naming, owners, rates, series, signatures
 
 KEYS = ["a", "pa", "b", "pb", "proto", "session"]
 
@@ -85,10 +85,14 @@ def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[
         table = table.withColumn("app", F.lit(""))
 
     d = cfg.detectors
-    tries = packets.where((F.col("decode_status") == "Ok") & F.col("has_l4") & is_attempt(F.col("tcp_flags"), F.col("proto"))).select("ts_usec", "src", "dst", "dport")
+    known = ["pkt_no", "ts_usec", "decode_status", "has_l4", "tcp_flags", "proto", "src", "dst", "dport"]
+    clock = folds.clock_epochs(packets.select(*known), if_any=True)  # where the clock restarts, the two detectors of SYNs begin anew
+    by = () if clock is None else ("epoch",)
+    tries = (packets if clock is None else clock).where((F.col("decode_status") == "Ok") & F.col("has_l4") & is_attempt(F.col("tcp_flags"), F.col("proto"))).select("ts_usec", "src", "dst", "dport", *by)
     server = F.when(F.col("client_is_a"), F.struct(F.col("b").alias("dst"), F.col("pb").alias("dport"))).otherwise(F.struct(F.col("a").alias("dst"), F.col("pa").alias("dport")))
-    done = of_flow.where("completed").select("ts_usec", server.alias("s")).select("ts_usec", "s.dst", "s.dport")
-    found = [detectors.scan_alerts(detectors.port_scans(tries, d)), detectors.flood_alerts(detectors.syn_floods(tries, done, d))]
+    done = of_flow.where("completed").select("ts_usec", "pkt_no", server.alias("s"))
+    done = (done if clock is None else done.join(clock.select("pkt_no", "epoch"), "pkt_no")).select("ts_usec", "s.dst", "s.dport", *by)
+    found = [detectors.scan_alerts(detectors.port_scans(tries, d, by)), detectors.flood_alerts(detectors.syn_floods(tries, done, d, by))]
     for value, direction in (("bytes_in", "Inbound"), ("bytes_out", "Outbound")):
         found.append(detectors.spike_alerts(detectors.spikes(seconds, value, d), direction, d.spike_seconds))
     if rules:

@@ -178,18 +178,9 @@ def d1_decode_frames(spark, sf_dir):
     return got.select("pkt_no", "decode_status", "src", "dst", "proto", "fragment", "sport", "dport", "tcp_flags", "seq", "payload_len", F.col("payload").cast("string").alias("payload"))
 
 
-@query(f"""{P0} select pkt_no, wire_len % 40 > 20 as truncated from p0 where proto = 17 and decode_status = 'Ok' and not fragment and event_id % 11 <> 0 and event_id % 13 <> 0 and event_id % 9 <> 0""")
-def d11_truncated(spark, sf_dir):
-    """UDP frames kept to 62 bytes, and whether that cut their payload."""
-    from .decode.link import decode_packets, is_truncated
-
-    got = decode_packets(_frames(spark, sf_dir).where("pkt_no % 11 <> 0 and pkt_no % 13 <> 0 and pkt_no % 9 <> 0"), snap_len=62)
-    return got.where("proto = 17 and not fragment").select("pkt_no", is_truncated(F.col("payload_len"), F.col("payload_total")).alias("truncated"))
-
-
 @query(f"""{P0} select pkt_no, wire_len % 40 > case when event_id % 9 = 0 then 16 else 20 end as truncated from p0 where proto = 17 and decode_status = 'Ok' and not fragment and event_id % 11 <> 0 and event_id % 13 <> 0""")
-def d11_truncated_all(spark, sf_dir):
-    """The same from every frame: a VLAN tag takes 4 of the 62 bytes, and decoding tells what is no IP or malformed."""
+def d11_truncated(spark, sf_dir):
+    """Frames kept to 62 bytes, and whether that cut their UDP payload; a VLAN tag takes 4 of them."""
     from .decode.link import decode_packets, is_truncated
 
     got = decode_packets(_frames(spark, sf_dir), snap_len=62)
@@ -223,9 +214,9 @@ def f24_endpoint(spark, sf_dir):
 # Counters and series
 
 
-def _annotated(spark, sf_dir) -> DataFrame:
+def _annotated(spark, sf_dir, holes=False) -> DataFrame:
     """Projected packets with direction and service, as if every third were a reply."""
-    p = _directed(_packets(spark, sf_dir))
+    p = _directed(_packets(spark, sf_dir, holes))
     local = tuple(addresses.parse_ip_text(a) for a in LOCAL)
     s, d = (addresses.is_local(addresses.ipv4_bytes(F.col(c)), local) for c in ("s", "d"))
     out = series.is_outbound(F.col("decode_status"), F.col("fragment"), s, d, F.col("reply"))
@@ -248,13 +239,10 @@ def a2_per_second(spark, sf_dir):
     return series.per_second(_annotated(spark, sf_dir))
 
 
-_GAPS = _ANNOTATED.replace("from p0)", "from p0 where (event_id // 400) % 5 <> 3)")
-
-
-@query(f"""{_GAPS}, {_PER_SECOND}, axis as (select unnest(range((select min(sec) from ps), (select max(sec) from ps) + 1)) as sec)
+@query(f"""{_ANNOTATED.replace(P0, P0_HOLES)}, {_PER_SECOND}, axis as (select unnest(range((select min(sec) from ps), (select max(sec) from ps) + 1)) as sec)
 select sec, coalesce(bytes_in, 0) as bytes_in, coalesce(bytes_out, 0) as bytes_out, coalesce(packets, 0) as packets from axis left join ps using (sec)""")
 def a3_gap_fill(spark, sf_dir):
-    return series.gap_fill(series.per_second(_annotated(spark, sf_dir).where("(event_id div 400) % 5 <> 3")))
+    return series.gap_fill(series.per_second(_annotated(spark, sf_dir, holes=True)))
 
 
 @query(f"{_ANNOTATED} select ts_usec // 1000000 as sec, service, cast(sum(wire_len) as bigint) as bytes from an group by 1, 2")
@@ -262,9 +250,22 @@ def a4_service_second(spark, sf_dir):
     return series.service_second(_annotated(spark, sf_dir))
 
 
-@query(f"""{P0} select src, dst, sport, cast(sum(wire_len) as bigint) as bytes, count(*) as packets, min(ts_usec) as first_usec, max(ts_usec) as last_usec from p0 group by 1, 2, 3""")
+@query(f"""{P0}, t as (select src, dst, sport, svc_port, cast(sum(case when reply then wire_len else 0 end) as bigint) as bytes_out, cast(sum(case when reply then 0 else wire_len end) as bigint) as bytes_in,
+  count(*) as packets, min(ts_usec) as first_usec, max(ts_usec) as last_usec from p0 where decode_status = 'Ok' and not fragment group by 1, 2, 3, 4) select src, sport, dst, svc_port, bytes_in, bytes_out, packets, first_usec, last_usec from t""")
 def a5_flow_totals(spark, sf_dir):
-    return _packets(spark, sf_dir).groupBy("src", "dst", "sport").agg(F.sum("wire_len").cast("bigint").alias("bytes"), F.count("*").alias("packets"), F.min("ts_usec").alias("first_usec"), F.max("ts_usec").alias("last_usec"))
+    """Totals by direction of every conversation: the fold over every packet, all taken as UDP, and its sessions together."""
+    from .config import EngineConfig
+    from .operators.flows import flow_totals, fold_flows
+
+    t = flow_totals(fold_flows(_decoded(spark, sf_dir).withColumn("proto", F.lit(17)), cfg=EngineConfig(local=(*LOCAL, "192.168.1.12"))))
+    return _as_client(t).groupBy("src", "sport", "dst", "svc_port").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("bytes_in", "bytes_out", "packets")], F.min("first_usec").alias("first_usec"), F.max("last_usec").alias("last_usec"))
+
+
+def _as_client(t: DataFrame) -> DataFrame:
+    """Folded flows with the projection's names of their ends."""
+    client = F.struct(F.col("a").alias("src"), F.col("pa").alias("sport"), F.col("b").alias("dst"), F.col("pb").alias("svc_port"))
+    server = F.struct(F.col("b").alias("src"), F.col("pb").alias("sport"), F.col("a").alias("dst"), F.col("pa").alias("svc_port"))
+    return t.select(F.when(F.col("a").startswith("10.0.0."), client).otherwise(server).alias("e"), "*").select("e.*", *t.columns)
 
 
 @query(f"""{_ANNOTATED}, ss as (select ts_usec // 1000000 as sec, service, sum(wire_len) as bytes from an group by 1, 2), t as (select service, cast(sum(bytes) as bigint) as bytes from ss where sec > (select max(sec) from ss) - 60 group by 1)
@@ -290,7 +291,7 @@ def a11_upper_median_mad(spark, sf_dir):
 
 @query(f"""{P0} select src, dst, count(distinct dport) as ports, cast(sum(last_ts % 1000003) as bigint) as check_sum from (select src, dst, dport, max(ts_usec) as last_ts from p0 where flags = 2 group by 1, 2, 3) q group by 1, 2""")
 def a9_distinct_ports(spark, sf_dir):
-    latest = _packets(spark, sf_dir).where("flags = 2").groupBy("src", "dst", "dport").agg(F.max("ts_usec").alias("last_ts"))
+    latest = detectors.latest_attempts(_packets(spark, sf_dir).where("flags = 2"))
     return latest.groupBy("src", "dst").agg(F.count("*").alias("ports"), F.sum(F.col("last_ts") % 1000003).cast("bigint").alias("check_sum"))
 
 
@@ -460,20 +461,12 @@ def _lookups(p: DataFrame) -> DataFrame:
     return naming.dedupe_lookups(rows).select("ts_usec", "name", "failed")
 
 
-@query(f"""{P0}, e as (select row_number() over (order by ts_usec, pkt_no) as k, ts_usec, pkt_no, 'n' || (event_id // 7 % 3) as name, case event_id % 4 when 0 then 0 when 3 then 2 else 3 end as rcode from p0 where event_id % 3 <> 1),
-g as (select k, ts_usec, name, ts_usec as since, rcode = 3 as failed, k as head from e where k = 1 union all
-  select e.k, e.ts_usec, e.name, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.since else e.ts_usec end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.failed and e.rcode <> 0 else e.rcode = 3 end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.head else e.k end from g join e on e.k = g.k + 1)
-select max(since) as ts_usec, name, arg_max(failed, k) as failed from g group by head, name""")
-def t12_lookup_dedupe(spark, sf_dir):
-    return _lookups(_packets(spark, sf_dir).where("event_id % 3 <> 1"))
-
-
 @query(f"""{P0}, e as (select row_number() over (order by ts_usec, pkt_no) as k, ts_usec, pkt_no, 'n' || (event_id // 7 % 3) as name, case event_id % 4 when 0 then 0 when 3 then 2 else 3 end as rcode from p0),
 g as (select k, ts_usec, name, ts_usec as since, rcode = 3 as failed, k as head from e where k = 1 union all
   select e.k, e.ts_usec, e.name, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.since else e.ts_usec end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.failed and e.rcode <> 0 else e.rcode = 3 end, case when e.name = g.name and e.ts_usec - g.since < 2000000 then g.head else e.k end from g join e on e.k = g.k + 1)
 select max(since) as ts_usec, name, arg_max(failed, k) as failed from g group by head, name""")
-def t12_lookup_dedupe_all(spark, sf_dir):
-    """Lookups of every packet."""
+def t12_lookup_dedupe(spark, sf_dir):
+    """A lookup in every packet."""
     return _lookups(_packets(spark, sf_dir))
 
 
@@ -629,9 +622,8 @@ def m4_match_across_turns(spark, sf_dir):
     return signatures.match_streams(_table(spark, sf_dir, "conversations"), rule, ["conv_id"], ["turn"], "text").groupBy("conv_id").agg(F.count("*").alias("matches"))
 
 
-_HITS = f"""{P0}, h as (select *, cast(v % 3 as int) as rule_id from p0 where v % 11 = 0), d as (select distinct rule_id, src, dst, ts_usec from h), c as (select *, row_number() over (partition by rule_id, src, dst order by ts_usec) as k from d),
+_HITS = f"""{P0}, h as (select *, cast(v % 3 as int) as rule_id from p0), d as (select distinct rule_id, src, dst, ts_usec from h), c as (select *, row_number() over (partition by rule_id, src, dst order by ts_usec) as k from d),
 g as (select rule_id, src, dst, ts_usec, k, ts_usec as at, true as fires from c where k = 1 union all select c.rule_id, c.src, c.dst, c.ts_usec, c.k, case when c.ts_usec - g.at >= 60000000 then c.ts_usec else g.at end, c.ts_usec - g.at >= 60000000 from g join c on c.rule_id = g.rule_id and c.src = g.src and c.dst = g.dst and c.k = g.k + 1)"""
-_ALL_HITS = _HITS.replace("where v % 11 = 0", "")
 
 
 def _alerts(spark, p: DataFrame) -> DataFrame:
@@ -642,12 +634,6 @@ def _alerts(spark, p: DataFrame) -> DataFrame:
 @query(f"""{_HITS} select h.ts_usec, h.src || ':' || h.sport || ' → ' || h.dst || ':' || h.svc_port || case when h.user_id % 2 = 0 then ' (h' || h.user_id || ')' else '' end || ', signature ' || (array['tracker', 'licence', 'script'])[1 + h.rule_id] as message
 from h join g on g.fires and g.rule_id = h.rule_id and g.src = h.src and g.dst = h.dst and g.ts_usec = h.ts_usec""")
 def m9_signature_alerts(spark, sf_dir):
-    return _alerts(spark, _packets(spark, sf_dir).where("v % 11 = 0"))
-
-
-@query(f"""{_ALL_HITS} select h.ts_usec, h.src || ':' || h.sport || ' → ' || h.dst || ':' || h.svc_port || case when h.user_id % 2 = 0 then ' (h' || h.user_id || ')' else '' end || ', signature ' || (array['tracker', 'licence', 'script'])[1 + h.rule_id] as message
-from h join g on g.fires and g.rule_id = h.rule_id and g.src = h.src and g.dst = h.dst and g.ts_usec = h.ts_usec""")
-def m9_signature_alerts_all(spark, sf_dir):
     """A hit in every packet."""
     return _alerts(spark, _packets(spark, sf_dir))
 
@@ -665,19 +651,16 @@ def _decoded(spark, sf_dir, *more) -> DataFrame:
     )
 
 
-@query(f"""{P0}, q as (select *, case when (ts_usec // 1000000) * 1000000 - lag(ts_usec) over (partition by src, dst, sport, svc_port order by ts_usec, pkt_no) > 120000000 then 1 else 0 end as n from p0 where proto = 17 and decode_status = 'Ok' and not fragment),
+@query(f"""{P0}, q as (select *, case when (ts_usec // 1000000) * 1000000 - lag(ts_usec) over (partition by src, dst, sport, svc_port order by ts_usec, pkt_no) > 120000000 then 1 else 0 end as n from p0 where decode_status = 'Ok' and not fragment),
 s as (select *, cast(sum(n) over (partition by src, dst, sport, svc_port order by ts_usec, pkt_no rows unbounded preceding) as bigint) as session from q)
 select src, sport, dst, svc_port, session, count(*) as packets, cast(sum(wire_len) as bigint) as bytes, min(ts_usec) as first_usec, max(ts_usec) as last_usec, case svc_port when 443 then 'QUIC' else 'UDP' end as service from s group by 1, 2, 3, 4, 5""")
 def t3_flow_fold(spark, sf_dir):
-    """The stateful fold on UDP flows, whose sessions SQL can express."""
+    """The stateful fold over every packet, all taken as UDP, whose sessions SQL can express."""
     from .config import EngineConfig
     from .operators.flows import flow_totals, fold_flows
 
-    t = flow_totals(fold_flows(_decoded(spark, sf_dir).where("proto = 17"), cfg=EngineConfig(local=LOCAL)))
-    client = F.struct(F.col("a").alias("src"), F.col("pa").alias("sport"), F.col("b").alias("dst"), F.col("pb").alias("svc_port"))
-    server = F.struct(F.col("b").alias("src"), F.col("pb").alias("sport"), F.col("a").alias("dst"), F.col("pa").alias("svc_port"))
-    from_a = F.col("a").startswith("10.0.0.")
-    return t.select(F.when(from_a, client).otherwise(server).alias("e"), "*").select("e.*", "session", "packets", (F.col("bytes_in") + F.col("bytes_out")).cast("bigint").alias("bytes"), "first_usec", "last_usec", "service")
+    t = flow_totals(fold_flows(_decoded(spark, sf_dir).withColumn("proto", F.lit(17)), cfg=EngineConfig(local=LOCAL)))
+    return _as_client(t).select("src", "sport", "dst", "svc_port", "session", "packets", (F.col("bytes_in") + F.col("bytes_out")).cast("bigint").alias("bytes"), "first_usec", "last_usec", "service")
 
 
 def _with_bodies(spark, sf_dir) -> DataFrame:

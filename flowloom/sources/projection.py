@@ -27,13 +27,17 @@ def projection_sql(dialect: str, events: str = "events") -> str:
     return _TEMPLATE.format(div="div" if dialect == "spark" else "//", events=events)
 
 
+#: After every 80 seconds a silence of 20.
+_HOLES = "ts_usec + (event_id {div} 1600) * 20000000"
+
+
 def packets(spark: SparkSession, sf_dir: str, holes: bool = False) -> DataFrame:
-    """The projection; ``holes`` leaves out 20 of every 100 seconds, so that idle state ages out."""
+    """The projection; ``holes`` puts 20 silent seconds behind every 80, so that idle state ages out."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     out = spark.sql(projection_sql("spark", "{events}"), events=events)
-    return out.where("(event_id div 400) % 5 <> 3") if holes else out
+    return out.selectExpr(*[c if c != "ts_usec" else _HOLES.format(div="div") + " as ts_usec" for c in out.columns]) if holes else out
 
 
 def oracle_cte(holes: bool = False) -> str:
-    where = "where (event_id // 400) % 5 <> 3" if holes else ""
-    return f"with recursive p0 as (select * from ({projection_sql('duckdb')}) q {where})"
+    columns = f"* replace ({_HOLES.format(div='//')} as ts_usec)" if holes else "*"
+    return f"with recursive p0 as (select {columns} from ({projection_sql('duckdb')}) q)"
