@@ -29,6 +29,16 @@ def format_rate_text(bytes_per_second: float, bits: bool = False) -> str:
     return si(bytes_per_second * 8, "b/s", _PREFIXES[:4]) if bits else si(bytes_per_second, "B/s", _PREFIXES[:4])
 
 
+def printed(pattern: str, value: Column) -> Column:
+    """A number as C prints it: the exact binary value is rounded, which decimals cannot tell from a half."""
+
+    @F.pandas_udf("string")
+    def show(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if pd.isna(v) else pattern % v)
+
+    return show(value.cast("double"))
+
+
 def format_bytes(n: Column) -> Column:
     @F.pandas_udf("string")
     def show(s: pd.Series) -> pd.Series:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
+from ..functions.formats import printed
 from .folds import greedy, nth_of_run, upper_mad, upper_median
 from .series import second
 
@@ -107,7 +108,7 @@ def spikes(series: DataFrame, value: str, cfg: DetectorConfig = DetectorConfig()
 
 def scan_alerts(scans: DataFrame) -> DataFrame:
     span = (F.col("last_ts") - F.col("first_ts")) / F.lit(1e6)
-    took = F.when(span < 0.9995, F.concat(F.format_string("%.0f", F.bround(span * 1000)), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.1f", F.bround(span, 1)), F.lit(" s")))
+    took = F.when(span < 0.9995, printed("%.0f ms", span * 1000)).otherwise(printed("%.1f s", span))
     text = F.concat("src", F.lit(" tried "), F.format_number("n_ports", 0), F.lit(" ports on "), "dst", F.lit(" in "), took)
     return _alert(scans, "port_scan", "high", "Port scan", text, F.col("src"), F.col("dst"))
 
@@ -115,7 +116,7 @@ def scan_alerts(scans: DataFrame) -> DataFrame:
 def flood_alerts(floods: DataFrame) -> DataFrame:
     target = F.concat("dst", F.lit(":"), F.col("dport").cast("string"))  # IPv6 without brackets, by definition
     rate = F.format_number(F.floor(F.col("attempts") / F.greatest(F.col("busy"), F.lit(1))), 0)
-    done = F.format_string("%.0f%%", F.bround(F.lit(100.0) * F.col("completed") / F.col("attempts")))
+    done = printed("%.0f%%", F.lit(100.0) * F.col("completed") / F.col("attempts"))
     return _alert(floods, "syn_flood", "high", "SYN flood", F.concat(target, F.lit(" got "), rate, F.lit(" connection attempts a second, "), done, F.lit(" completed")), F.lit(""), target)
 
 
@@ -123,10 +124,10 @@ def spike_alerts(found: DataFrame, direction: str, seconds: int = 3) -> DataFram
     from ..functions.formats import format_rate
 
     usual = F.expm1("median")
-    times = F.format_string("%.0f", F.bround(F.col("bytes") / F.greatest(usual, F.lit(1.0))))
+    times = printed("%.0f", F.col("bytes") / F.greatest(usual, F.lit(1.0)))
     text = F.concat(
         F.lit(f"{direction} "), format_rate(F.col("bytes")), F.lit(f" for {seconds} s, "), times, F.lit("× the usual "), format_rate(usual),
-        F.lit(" ("), F.format_string("%.1f", F.bround("z", 1)), F.lit("σ)"),
+        F.lit(" ("), printed("%.1fσ", F.col("z")), F.lit(")"),
     )
     return _alert(found, "traffic_spike", "medium", "Traffic spike", text, F.lit(""), F.lit(""))
 

@@ -686,7 +686,7 @@ def t3_flow_fold_all(spark, sf_dir):
 
 WITHOUT_SQL["t3_flow_fold_all"] = t3_flow_fold_all
 
-from . import registry_packets  # noqa: E402
+from . import registry_packets, registry_views  # noqa: E402
 
-QUERIES |= registry_packets.QUERIES
-ORACLES |= registry_packets.ORACLES
+QUERIES |= registry_packets.QUERIES | registry_views.QUERIES
+ORACLES |= registry_packets.ORACLES | registry_views.ORACLES
