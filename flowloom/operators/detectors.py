@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
 from ..functions.formats import printed
-from .folds import greedy, nth_of_run, upper_mad, upper_median
+from .folds import greedy, nth_of_run, trailing_medians
 from .series import second
 
 _US = 1_000_000
@@ -88,11 +88,8 @@ def syn_floods(attempts: DataFrame, completed: DataFrame, cfg: DetectorConfig =
 
 def spike_scores(series: DataFrame, value: str, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """``sec, bytes, seen, median, mad, z, high`` of a gap-filled series: one row a second, in one order."""
-    before = W.orderBy("sec").rowsBetween(-cfg.spike_history, -1)
     x = F.log1p(F.greatest(F.col("bytes").cast("double"), F.lit(0.0)))
-    rows = series.select("sec", F.col(value).alias("bytes")).withColumn("x", x)
-    rows = rows.withColumn("h", F.collect_list("x").over(before)).withColumn("seen", F.size("h")).withColumn("median", upper_median(F.col("h")))
-    rows = rows.withColumn("mad", upper_mad(F.col("h"), F.col("median"))).drop("h")
+    rows = trailing_medians(series.select("sec", F.col(value).alias("bytes")).withColumn("x", x), "x", cfg.spike_history)
     rows = rows.withColumn("z", (F.col("x") - F.col("median")) / F.greatest(F.col("mad") * 1.4826, F.lit(0.25)))
     high = (F.col("seen") >= cfg.spike_warmup) & (F.col("z") >= cfg.spike_sigma) & (F.col("bytes") >= cfg.spike_min_bytes)
     return rows.withColumn("high", F.coalesce(high, F.lit(False))).drop("x")

@@ -304,45 +304,54 @@ def plain(addr: str) -> str:
     return addr[7:] if addr.startswith("::ffff:") and "." in addr else addr
 
 
-_KEYED = (
-    "a string, pa int, b string, pb int, proto int, ts_usec bigint, pkt_no bigint, kind int, wire_len bigint, from_a boolean, has_l4 boolean, sport int, dport int, tcp_flags int, seq bigint, "
-    "payload binary, payload_len bigint, payload_total bigint, src_local boolean, dst_local boolean, dst_multicast boolean, addr string, name string"
-)
+KEY = ["a", "pa", "b", "pb", "proto"]
+_OF_PACKET = ["ts_usec", "pkt_no", "wire_len", "has_l4", "sport", "dport", "tcp_flags", "seq", "payload", "payload_len", "payload_total"]
+_OF_KEY = "a string, pa int, b string, pb int, from_a boolean, src_local boolean, dst_local boolean, dst_multicast boolean"
 
 
-def with_keys(packets: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Decoded packets that belong to flows, with key, direction and what addresses tell.
+def add_keys(packets: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Decoded packets with the ends of their flow in key order, direction and what addresses tell (null without addresses).
 
     The same as ``functions.addresses.flow_key`` and its predicates, for both families: addresses
-    are parsed once for each distinct one of a batch, and payloads pass through untouched.
+    are parsed once for each distinct one of a batch, and the other columns pass through untouched.
     """
     local = tuple(x for x in map(parse_ip_text, cfg.local) if x is not None)
-    schema = T.StructType.fromDDL(_KEYED)
-    taken = ["ts_usec", "pkt_no", "wire_len", "has_l4", "sport", "dport", "tcp_flags", "seq", "payload", "payload_len", "payload_total"]
+    names = packets.columns
+    schema = T.StructType([*packets.schema.fields, *T.StructType.fromDDL(_OF_KEY).fields])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types = to_arrow_schema(schema)
         for b in batches:
-            src, dst, proto = b.column("src"), b.column("dst"), b.column("proto")
-            both = pa.chunked_array([src, dst]).combine_chunks().dictionary_encode()
+            src, dst, known = b.column("src"), b.column("dst"), pc.is_valid(b.column("src"))
+            both = pa.chunked_array([src, dst]).combine_chunks().fill_null("0.0.0.0").dictionary_encode()
             facts = [address_facts(t, local) for t in both.dictionary.to_pylist()]
             rank = np.zeros(len(facts), np.int64)
             rank[sorted(range(len(facts)), key=lambda k: facts[k].order)] = np.arange(len(facts))
             s, d = (x.to_numpy(zero_copy_only=False) for x in (both.indices.slice(0, len(src)), both.indices.slice(len(src))))
             is_local, multicast = np.array([f.local for f in facts], bool), np.array([f.multicast for f in facts], bool)
-            kind = proto.to_numpy(zero_copy_only=False)
-            sp, dp = (np.where(np.isin(kind, (1, 58)), 0, pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False)) for c in ("sport", "dport"))
+            icmp = np.isin(pc.fill_null(b.column("proto"), 0).to_numpy(zero_copy_only=False), (1, 58))
+            sp, dp = (np.where(icmp, 0, pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False)) for c in ("sport", "dport"))
             from_a = (rank[s] < rank[d]) | ((s == d) & (sp <= dp))
             which = pa.array(from_a)
-            out = {c: b.column(c) for c in taken}
-            out |= {"a": pc.if_else(which, src, dst), "pa": pa.array(np.where(from_a, sp, dp)), "b": pc.if_else(which, dst, src), "pb": pa.array(np.where(from_a, dp, sp)), "proto": proto, "from_a": which}
-            out |= {"kind": pa.array(np.ones(len(s), np.int32)), "src_local": pa.array(is_local[s]), "dst_local": pa.array(is_local[d]), "dst_multicast": pa.array(multicast[d])}
-            out |= {c: pa.nulls(len(s), pa.string()) for c in ("addr", "name")}
-            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in types], schema=types)
+            own = [
+                pc.if_else(which, src, dst), pa.array(np.where(from_a, sp, dp)), pc.if_else(which, dst, src), pa.array(np.where(from_a, dp, sp)), which,
+                pa.array(is_local[s]), pa.array(is_local[d]), pa.array(multicast[d]),
+            ]
+            own = [pc.if_else(known, c, pa.scalar(None, c.type)) for c in own]
+            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip([*(b.column(n) for n in names), *own], types, strict=True)], schema=types)
 
-    return packets.where("decode_status = 'Ok' and not fragment").select("src", "dst", "proto", *taken).mapInArrow(run, schema)
+    return packets.mapInArrow(run, schema)
+
+
+def with_keys(packets: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The packets that belong to flows, in the columns of the fold; keys are added where ``packets`` have none yet."""
+    own = packets.where("decode_status = 'Ok' and not fragment")
+    if "from_a" not in packets.columns:
+        own = add_keys(own.select("src", "dst", "proto", *_OF_PACKET), cfg)
+    none = F.lit(None).cast("string")
+    return own.select(*KEY, *_OF_PACKET, F.lit(1).alias("kind"), "from_a", "src_local", "dst_local", "dst_multicast", none.alias("addr"), none.alias("name"))
 
 
 #: Seconds of a slot that flows and answers are matched in, and for how long after its last packet an answer may name a flow.
@@ -391,7 +400,6 @@ def fold_flows(packets: DataFrame, answers: DataFrame | None = None, cfg: Engine
     return rows.repartition(*KEY).sortWithinPartitions(*KEY, "ts_usec", "pkt_no", "kind").mapInArrow(run, schema)
 
 
-KEY = ["a", "pa", "b", "pb", "proto"]
 STATE = ("session", "incarnation", "service", "host", "host_source", "client_is_a", "local_is_a", "transit", "half_open", "closed")
 #: The shortest idle time that ends a flow; packets closer than this need no look at the flow's state.
 _SHORTEST = 10
@@ -432,9 +440,7 @@ def fold_batch(fold: Fold, b: pa.RecordBatch, types: pa.Schema):
     for name in KEY:
         c = b.column(name)
         new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    own = [b.column(name) for name in KEY]
-    first_key = tuple(c[0].as_py() for c in own)
-    new[0] = first_key != fold.key
+    new[0] = tuple(b.column(name)[0].as_py() for name in KEY) != fold.key
     is_packet, ts, proto, from_a = array("kind") == 1, array("ts_usec"), array("proto"), array("from_a", False)
     flags, seq, length, total = array("tcp_flags"), array("seq"), array("payload_len"), array("payload_total")
     has_l4 = array("has_l4", False)
@@ -443,9 +449,10 @@ def fold_batch(fold: Fold, b: pa.RecordBatch, types: pa.Schema):
     hard = new | ~is_packet | (payload & (fold.matcher is not None)) | (tcp & (flags & (SYN | FIN | RST) != 0))
     hard[1:] |= ~is_packet[:-1] | (ts[1:] // _US * _US - ts[:-1] > _SHORTEST * _US)
     hard[0] = True  # what was before it is in another batch
-    places, text = {}, ("addr", "name")
-    for name in ("sport", "dport", "src_local", "dst_local", "dst_multicast", "payload", *text):
-        places[name] = b.column(name)
+    stops = np.flatnonzero(hard)
+    text, facts = ("addr", "name"), ("sport", "dport", "src_local", "dst_local", "dst_multicast", "payload")
+    taken = b.select([*facts, *text, *KEY]).take(pa.array(stops)).to_pydict()  # of hard rows, all at once
+    place = {h: k for k, h in enumerate(stops.tolist())}
     states: list[tuple] = []
     counts: list[int] = []
     completed = np.zeros(n, bool)
@@ -453,8 +460,9 @@ def fold_batch(fold: Fold, b: pa.RecordBatch, types: pa.Schema):
     late: list[tuple] = []
 
     def single(i: int) -> None:
-        got = {k: places[k][i].as_py() for k in ("sport", "dport", "src_local", "dst_local", "dst_multicast")}
-        got |= {"payload": places["payload"][i].as_py() if payload[i] else None, "ts_usec": int(ts[i]), "from_a": bool(from_a[i]), "has_l4": bool(has_l4[i]), "tcp_flags": int(flags[i]), "seq": int(seq[i]), "payload_len": int(length[i]), "payload_total": int(total[i])}
+        k = place.get(i)
+        got = {c: b.column(c)[i].as_py() for c in facts} if k is None else {c: taken[c][k] for c in facts}
+        got |= {"ts_usec": int(ts[i]), "from_a": bool(from_a[i]), "has_l4": bool(has_l4[i]), "tcp_flags": int(flags[i]), "seq": int(seq[i]), "payload_len": int(length[i]), "payload_total": int(total[i])}
         completed[i], rules = fold.packet(got)
         if rules:
             matched[i] = rules
@@ -464,12 +472,11 @@ def fold_batch(fold: Fold, b: pa.RecordBatch, types: pa.Schema):
         else:
             states.append(state), counts.append(1)
 
-    stops = np.flatnonzero(hard)
     for h, stop in zip(stops.tolist(), [*stops[1:].tolist(), n], strict=True):
         if new[h]:
-            late += fold.start_key(tuple(c[h].as_py() for c in own))
+            late += fold.start_key(tuple(taken[c][place[h]] for c in KEY))
         if not is_packet[h]:
-            fold.answer(int(ts[h]), *(places[k][h].as_py() for k in text))
+            fold.answer(int(ts[h]), *(taken[c][place[h]] for c in text))
             continue
         single(h)
         i = h + 1

@@ -45,15 +45,43 @@ def nth_of_run(df: DataFrame, flag: str, order: str, n: int) -> DataFrame:
     return runs.withColumn("__n", place).where(F.col(flag) & (F.col("__n") == n)).drop("__run", "__n")
 
 
-def upper_median(window_values: Column) -> Column:
-    """The element at half the count of the sorted values; null for none."""
-    s = F.array_sort(window_values)
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def trailing_medians(series: DataFrame, value: str, n: int, order: str = "sec") -> DataFrame:
+    """``series`` with ``seen``, ``median`` and ``mad`` of the ``n`` values before each row: upper medians, null for none.
 
+    One row a second in one order, so this is one pass; a batch's windows are sorted together, and
+    only the last ``n`` values are carried on.
+    """
 
-def upper_mad(window_values: Column, median: Column) -> Column:
-    """The same of the distances to the median."""
-    return upper_median(F.transform(window_values, lambda x: F.abs(x - median)))
+    def run(batches):
+        held = np.zeros(0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(value).cast(pa.float64()).to_numpy()
+            every = np.concatenate([held, x])
+            count = np.minimum(len(held) + np.arange(len(x)), n)
+            median, mad = np.zeros(len(x)), np.zeros(len(x))
+            for s in range(0, len(x), 4096):
+                own = count[s : s + 4096]
+                short = np.flatnonzero(own < n)
+                for k in short.tolist():  # at the beginning of the series only
+                    h = np.sort(every[len(held) + s + k - own[k] : len(held) + s + k])
+                    if len(h):
+                        median[s + k] = h[len(h) // 2]
+                        mad[s + k] = np.sort(np.abs(h - median[s + k]))[len(h) // 2]
+                full = np.flatnonzero(own == n)
+                if len(full):
+                    first = len(held) + s + int(full[0]) - n
+                    w = np.sort(np.lib.stride_tricks.sliding_window_view(every[first : first + n + len(full) - 1], n), axis=1)
+                    m = w[:, n // 2]
+                    median[s + full], mad[s + full] = m, np.partition(np.abs(w - m[:, None]), n // 2, axis=1)[:, n // 2]
+            none = pa.array(count == 0)
+            more = [pa.array(count, pa.int32()), pc.if_else(none, None, pa.array(median)), pc.if_else(none, None, pa.array(mad))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "seen", "median", "mad"])
+            held = every[-n:]
+
+    schema = T.StructType([*series.schema.fields, *T.StructType.fromDDL("seen int, median double, mad double").fields])
+    return series.repartition(1).sortWithinPartitions(order).mapInArrow(run, schema)
 
 
 def session_ids(df: DataFrame, keys: list[str], ts: str, order: list[str], limit_sec: int) -> DataFrame:

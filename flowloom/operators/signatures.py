@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,17 +177,15 @@ def match_streams(df: DataFrame, rules: list[dict], stream: list[str], order: li
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def contains_rule(payload: Column, content: str, nocase: bool) -> Column:
-    """Whether a text payload contains ``content``; only ASCII letters are folded."""
-    if nocase:
-        return F.translate(payload, _UPPER, _LOWER).contains(content.translate(str.maketrans(_UPPER, _LOWER)))
-    return payload.contains(content)
-
-
 def match_native(df: DataFrame, rules: list[dict], keys: list[str], payload: str) -> DataFrame:
-    """``keys, rule_id`` of rules found in each payload, by one search for each rule; for a few rules."""
-    found = [F.when(contains_rule(F.col(payload), r["content"].decode(), r["nocase"]), F.lit(r["rule_id"])) for r in rules]
-    return df.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("rule_id"))
+    """``keys, rule_id`` of rules found in each payload, by one search for each rule; for a few rules.
+
+    Only ASCII letters are folded, once for each payload.
+    """
+    folded = df.select(*keys, F.col(payload).alias("__payload"), F.translate(payload, _UPPER, _LOWER).alias("__folded"))
+    fold = str.maketrans(_UPPER, _LOWER)
+    found = [F.when((F.col("__folded").contains(r["content"].decode().translate(fold)) if r["nocase"] else F.col("__payload").contains(r["content"].decode())), F.lit(r["rule_id"])) for r in rules]
+    return folded.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("rule_id"))
 
 
 def signature_alerts(matches: DataFrame, rules: DataFrame, cooldown_sec: int = 60) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``analyse`` decodes nothing itself: it takes decoded packets, folds flows once (the only Python on
 the path besides decoding) and derives the rest with relational operators. If it is given a folder,
-packets and folded flows are written there first, so that neither is computed more than once and
-later steps read only the columns they need.
+packets with the keys of their flows, folded flows and alerts are written there, so that none is
+computed more than once and later steps read only the columns they need.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[
     """Everything about decoded ``packets``; ``recorded`` are owners, ``write_to`` is a folder for the tables."""
     spark = packets.sparkSession
     if write_to:
-        packets.write.mode("overwrite").parquet(f"{write_to}/packets")
+        flows.add_keys(packets, cfg).write.mode("overwrite").parquet(f"{write_to}/packets")
         packets = spark.read.parquet(f"{write_to}/packets")
     messages = dns_messages(packets)
     answers = dns_answers(messages)
@@ -104,7 +104,11 @@ def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[
         hits = hits.join(table.select(*KEYS, "app"), KEYS, "left").select("ts_usec", "pkt_no", "rule_id", "e.*", "host", "app")
         found.append(signatures.signature_alerts(hits, signatures.rules_table(spark, rules), d.cooldown))
     lookups = naming.dedupe_lookups(messages.select("ts_usec", "pkt_no", F.col("m.question").alias("name"), F.col("m.qtype").alias("qtype"), F.col("m.rcode").alias("rcode")))
-    return Analysis(packets, annotated, folded, table, seconds, series.service_second(annotated), lookups, detectors.alert_union(*found), last, first)
+    alerts = detectors.alert_union(*found)
+    if write_to:
+        alerts.write.mode("overwrite").parquet(f"{write_to}/alerts")
+        alerts = spark.read.schema(alerts.schema).parquet(f"{write_to}/alerts")
+    return Analysis(packets, annotated, folded, table, seconds, series.service_second(annotated), lookups, alerts, last, first)
 
 
 # Views

@@ -282,11 +282,9 @@ def w5_trailing_sum(spark, sf_dir):
 @query(f"""{P0}, s as (select ts_usec // 1000000 as sec, cast(sum(wire_len) as bigint) as bytes from p0 group by 1), w as (select *, list(bytes) over (order by sec rows between 300 preceding and 1 preceding) as h from s),
 m as (select *, list_sort(h)[len(h) // 2 + 1] as median from w) select sec, bytes, median, list_sort([abs(x - median) for x in h])[len(h) // 2 + 1] as mad from m where h is not null""")
 def a11_upper_median_mad(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     s = _packets(spark, sf_dir).groupBy(series.second(F.col("ts_usec")).alias("sec")).agg(F.sum("wire_len").cast("bigint").alias("bytes"))
-    w = s.withColumn("h", F.collect_list("bytes").over(W.orderBy("sec").rowsBetween(-300, -1))).where(F.size("h") > 0).withColumn("median", folds.upper_median(F.col("h")))
-    return w.select("sec", "bytes", "median", folds.upper_mad(F.col("h"), F.col("median")).alias("mad"))
+    w = folds.trailing_medians(s, "bytes", 300).where("seen > 0")
+    return w.select("sec", "bytes", *[F.col(c).cast("bigint").alias(c) for c in ("median", "mad")])
 
 
 @query(f"""{P0} select src, dst, count(distinct dport) as ports, cast(sum(last_ts % 1000003) as bigint) as check_sum from (select src, dst, dport, max(ts_usec) as last_ts from p0 where flags = 2 group by 1, 2, 3) q group by 1, 2""")

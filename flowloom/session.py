@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "flowloom", **conf: str) -> SparkSession:
@@ -24,3 +25,13 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="flowloom-")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is stored in fewer pieces: a small table is often one row group, so one task.
+
+    Pieces are counted without reading a column; a table of as many pieces as there are cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < pieces < cores else df

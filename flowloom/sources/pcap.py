@@ -1,22 +1,25 @@
 """Capture files as a Spark data source (``pcap``), for reading, streaming and writing.
 
 Classic captures in both byte orders with micro- or nanoseconds, and pcapng. A path is a file, a
-directory or a pattern; a file is one partition and is read in one pass with bounded memory. The
-position of a packet in its file is ``pkt_no``; with several files, files follow each other in the
+directory or a pattern of names in one, local or on any file system that Arrow knows by its URI
+(``hdfs://``, ``s3://``, ``gs://``); a file is one partition and is read in one pass with bounded
+memory, as records can only be found one after the other. The position of a packet in its file is ``pkt_no``; with several files, files follow each other in the
 order of their names with a distance of 2**40.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import struct
 from collections.abc import Iterator
+from fnmatch import fnmatch
 from itertools import islice
+from os.path import abspath
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..decode.columnar import cut
@@ -34,9 +37,20 @@ class CaptureError(ValueError):
     """A file that is no capture, or ends inside a packet."""
 
 
-def read_packets(path: str) -> Iterator[tuple[int, int, int, bytes]]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a path or URI is, and its name there."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), abspath(path))
+
+
+def _open(where: fs.FileSystem, name: str) -> io.BufferedReader:
+    return io.BufferedReader(where.open_input_file(name), 1 << 20)
+
+
+def read_packets(path: str, where: fs.FileSystem | None = None) -> Iterator[tuple[int, int, int, bytes]]:
     """(ts_usec, link type, wire length, bytes) of each packet."""
-    with open(path, "rb") as f:
+    if where is None:
+        where, path = file_system(path)
+    with _open(where, path) as f:
         head = f.read(24)
         if head[:4] == _SECTION:
             f.seek(0)
@@ -95,10 +109,12 @@ def _read_ng(f, path: str) -> Iterator[tuple[int, int, int, bytes]]:
             yield 0, links[0][0], wire, body[4 : 4 + wire]
 
 
-def write_packets(path: str, packets, link_type: int = 1, snap_len: int = 65535) -> int:
+def write_packets(path: str, packets, link_type: int = 1, snap_len: int = 65535, where: fs.FileSystem | None = None) -> int:
     """Writes (ts_usec, wire length, bytes) as a classic capture in microseconds."""
     n = 0
-    with open(path, "wb") as f:
+    if where is None:
+        where, path = file_system(path)
+    with where.open_output_stream(path, buffer_size=1 << 20) as f:
         f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snap_len, link_type))
         for ts, wire, data in packets:
             data = data[:snap_len]
@@ -107,16 +123,20 @@ def write_packets(path: str, packets, link_type: int = 1, snap_len: int = 65535)
     return n
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p) and not os.path.basename(p).startswith(("_", ".")))
-    return sorted(glob.glob(path)) or ([] if glob.has_magic(path) else [path])
+def _files(where: fs.FileSystem, name: str) -> list[str]:
+    """Capture files of a file's, a directory's or a pattern's name, in order."""
+    info = where.get_file_info(name)
+    if info.type == fs.FileType.File:
+        return [name]
+    folder, pattern = (name, "*") if info.type == fs.FileType.Directory else (name.rpartition("/")[0], name.rpartition("/")[2])
+    found = where.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(i.path for i in found if i.type == fs.FileType.File and not i.base_name.startswith(("_", ".")) and fnmatch(i.base_name, pattern))
 
 
 class _File(InputPartition):
-    def __init__(self, path: str, first: int):
+    def __init__(self, where: fs.FileSystem, path: str, first: int):
         super().__init__(path)
-        self.path, self.first = path, first
+        self.where, self.path, self.first = where, path, first
 
 
 _SCHEMA = pa.schema([("pkt_no", pa.int64()), ("ts_usec", pa.int64()), ("link_type", pa.int32()), ("cap_len", pa.int64()), ("wire_len", pa.int64()), ("data", pa.binary())])
@@ -158,12 +178,12 @@ def _classic_batches(f, head: bytes, path: str, first: int, snap_len: int) -> It
 
 
 def _batches(part: _File, snap_len: int) -> Iterator[pa.RecordBatch]:
-    with open(part.path, "rb") as f:
+    with _open(part.where, part.path) as f:
         head = f.read(24)
         if len(head) == 24 and head[:4] in _MAGIC:
             yield from _classic_batches(f, head, part.path, part.first, snap_len)
             return
-    packets, first = read_packets(part.path), part.first
+    packets, first = read_packets(part.path, part.where), part.first
     while rows := list(islice(packets, BATCH)):
         ts, links, wire, data = zip(*rows, strict=True)
         yield _record(first, ts, links, wire, pa.array([d[:snap_len] for d in data], pa.binary()))
@@ -175,10 +195,11 @@ class PcapReader(DataSourceReader):
         self.path, self.snap_len = options["path"], int(options.get("snaplen", 65535))
 
     def partitions(self):
-        files = _files(self.path)
+        where, name = file_system(self.path)
+        files = _files(where, name)
         if not files:
             raise CaptureError(f"{self.path}: no capture file")
-        return [_File(p, k * FILE_STRIDE) for k, p in enumerate(files)]
+        return [_File(where, p, k * FILE_STRIDE) for k, p in enumerate(files)]
 
     def read(self, partition):
         yield from _batches(partition, self.snap_len)
@@ -201,12 +222,13 @@ class PcapStream(DataSourceStreamReader):
         return {"files": 0}
 
     def latestOffset(self):
-        ready = len(_files(self.path))
+        ready = len(_files(*file_system(self.path)))
         return {"files": ready if self.taken is None else min(ready, self.taken + self.at_once)}
 
     def partitions(self, start, end):
         self.taken = end["files"]
-        return [_File(p, k * FILE_STRIDE) for k, p in list(enumerate(_files(self.path)))[start["files"] : end["files"]]]
+        where, name = file_system(self.path)
+        return [_File(where, p, k * FILE_STRIDE) for k, p in list(enumerate(_files(where, name)))[start["files"] : end["files"]]]
 
     def read(self, partition):
         yield from _batches(partition, self.snap_len)
@@ -230,21 +252,24 @@ class PcapWriter(DataSourceWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        where, folder = file_system(self.path)
+        where.create_dir(folder, recursive=True)
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}.pcap"
-        temporary = os.path.join(self.path, f".{name}.{context.taskAttemptId()}")
-        n = write_packets(temporary, ((r["ts_usec"], r["wire_len"], bytes(r["data"])) for r in iterator), self.link_type, self.snap_len)
-        return _Written(f"{temporary}\0{os.path.join(self.path, name)}", n)
+        temporary = f"{folder}/.{name}.{context.taskAttemptId()}"
+        n = write_packets(temporary, ((r["ts_usec"], r["wire_len"], bytes(r["data"])) for r in iterator), self.link_type, self.snap_len, where)
+        return _Written(f"{temporary}\0{folder}/{name}", n)
 
     def commit(self, messages):
+        where, _ = file_system(self.path)
         for m in messages:
-            os.replace(*m.name.split("\0"))
+            where.move(*m.name.split("\0"))
 
     def abort(self, messages):
+        where, _ = file_system(self.path)
         for m in messages:
             if m is not None:
-                os.unlink(m.name.split("\0")[0])
+                where.delete_file(m.name.split("\0")[0])
 
 
 class PcapDataSource(DataSource):
