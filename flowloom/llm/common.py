@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Text bytes handed to a kernel at once; bounds the arrays a kernel makes.
 BLOCK_BYTES = 4 << 20
 
@@ -22,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; one that is stored in fewer pieces than there are cores is spread over them."""
+    return spread(table(spark, sf_dir, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
