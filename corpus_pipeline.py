@@ -68,7 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote is deleted when the next one has been written; only the last folder stays, for the result.
     """
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.texts(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark).rstrip('/')}/flowloom-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
