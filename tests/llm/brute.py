@@ -38,6 +38,25 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(repeat), len(w) < 10 or 100 * len(repeat) > 20 * len(w)
 
 
+def quality_kept(text):
+    """The verdict: shares of characters in repeated n-grams and lines, and of symbols."""
+    text = text or ""
+    w = SPACE_WORD.findall(text)
+    chars = sum(map(len, w))
+    if quality(text)[5]:
+        return False
+    for n, limit in {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}.items():
+        seen = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        inside = {k + i for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for i in range(n)}
+        if sum(len(w[k]) for k in inside) / chars > limit:
+            return False
+    lines = [line for line in text.split("\n") if SPACE_WORD.search(line)]
+    again = [line for k, line in enumerate(lines) if line in lines[:k]]
+    if len(again) > 0.30 * len(lines) or sum(len(x) for line in again for x in SPACE_WORD.findall(line)) > 0.20 * chars:
+        return False
+    return sum(text.count(c) for c in "#*$%&|<>") <= 0.10 * len(w)
+
+
 def fingerprint(text):
     import xxhash
 
