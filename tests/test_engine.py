@@ -262,3 +262,27 @@ def test_answers_that_matter_name_flows_as_all_answers_do(spark, monkeypatch):
     monkeypatch.setattr(flows, "answers_for_flows", every)
     want = sorted(map(tuple, flows.fold_flows(packets, answers, EngineConfig(LOCAL)).select(columns).collect()))
     assert got == want and len({r[8] for r in got}) == 4
+
+
+def test_a_clock_that_jumps_back_resets_the_scan_detector(spark, tmp_path):
+    start = 1_790_168_400_000_000
+
+    def scan(at):
+        return [(at + p * 1000, ether(ipv4(PEER, ME, 6, tcp(33000, 1 + p, 9, 0, 2)))) for p in range(25)] + [(at + 2_000_000, ether(ipv4(PEER, ME, 17, udp(9, 9))))]
+
+    for back, alerts in ((0, 1), (8_000_000, 2)):  # 8 seconds apart one alert is left out, unless the clock has restarted
+        rows = scan(start) + scan(start - back if back else start + 8_000_000)
+        for folder in (None, str(tmp_path / str(back))):
+            a = engine.analyse(decode_packets(raw_frame(spark, rows)), EngineConfig(LOCAL), write_to=folder)
+            assert [r.kind for r in a.alerts.collect()] == ["port_scan"] * alerts
+
+
+def test_captures_by_uri_and_pattern(spark, tmp_path):
+    pcap.register(spark)
+    for name in ("b1.pcap", "b2.pcap", "c1.pcap", "_b3.pcap"):
+        pcap.write_packets(f"file://{tmp_path}/{name}", [(7, 60, name.encode())])
+    read = lambda path: [bytes(r.data).decode() for r in spark.read.format("pcap").option("path", path).load().orderBy("pkt_no").collect()]
+    assert read(f"file://{tmp_path}") == ["b1.pcap", "b2.pcap", "c1.pcap"]
+    assert read(f"{tmp_path}/b*.pcap") == ["b1.pcap", "b2.pcap"] and read(f"file://{tmp_path}/c1.pcap") == ["c1.pcap"]
+    spark.createDataFrame([(0, 5, 1, 3, 3, bytearray(b"abc"))], RAW_PACKETS).write.format("pcap").mode("append").option("path", f"file://{tmp_path}/out").save()
+    assert read(f"file://{tmp_path}/out") == ["abc"]
