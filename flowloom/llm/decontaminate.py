@@ -1,8 +1,8 @@
 """Operator 5: benchmark decontamination with one Aho-Corasick automaton.
 
 Texts and items are normalised to lower-case words. Every window (10 consecutive words of an item,
-or the whole of a shorter item) is a pattern of one automaton whose symbols are the benchmark's
-words; it reads each text's words once. Hits are word positions, mapped back to spans of the original.
+or the whole of a shorter item) is a pattern of one automaton over the benchmark's words, each a few
+characters; it reads each text's runs of such words once. Hits are word positions, mapped back to spans of the original.
 
 The benchmark is measured before it is sent to the executors. The automaton of ``MAX_CHARS`` of its
 text fits a worker; a larger benchmark is dealt into ranges of that size with an automaton each. Every
@@ -52,9 +52,13 @@ def windows(items: list[tuple[str, str]]) -> dict[tuple[bytes, ...], list[int]]:
     return out
 
 
-def symbol(k: int) -> str:
-    """A character for each number; surrogates are left out."""
-    return chr(k if k < 0xD800 else k + 0x800)
+#: Characters at each place of a word's symbol; few, so that a node of the automaton has few edges.
+BASE = 60
+
+
+def symbol(k: int, width: int) -> str:
+    """A number as ``width`` characters, with an alphabet of its own at each place; no character is 0."""
+    return "".join(chr(1 + BASE * place + k // BASE**place % BASE) for place in range(width))
 
 
 class Matcher:
@@ -63,15 +67,18 @@ class Matcher:
 
         self.ids = [i for i, _ in items]
         self.machine = ahocorasick.Automaton()
-        self.symbols: dict[bytes, str] = {}
-        for window, have in windows(items).items():
-            for w in window:
-                if w not in self.symbols:
-                    self.symbols[w] = symbol(len(self.symbols) + 1)  # 0 is any other word
+        found = windows(items)
+        known = dict.fromkeys(w for window in found for w in window)
+        self.width = next(n for n in range(1, 9) if len(known) <= BASE**n)
+        self.symbols = {w: symbol(k, self.width) for k, w in enumerate(known)}
+        self.other = "\0" * self.width
+        for window, have in found.items():
             self.machine.add_word("".join([self.symbols[w] for w in window]), (len(window), have))
-        self.empty = not len(self.machine)
+        self.empty = not found
         if not self.empty:
             self.machine.make_automaton()
+            # runs of known words that are long enough for the shortest window
+            self.runs = re.compile(f"[^\0]{{{min(map(len, found)) * self.width},}}").finditer
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Words of the text, (first word, words) of each hit, sorted ids of the items found."""
@@ -79,9 +86,10 @@ class Matcher:
         if not w or self.empty:
             return len(w), [], []
         hits, items = [], set()
-        for end, (size, have) in self.machine.iter("".join(map(self.symbols.get, w, repeat("\0")))):
-            hits.append((end - size + 1, size))
-            items.update(have)
+        for run in self.runs("".join(map(self.symbols.get, w, repeat(self.other)))):
+            for end, (size, have) in self.machine.iter(run[0]):
+                hits.append(((run.start() + end + 1) // self.width - size, size))
+                items.update(have)
         return len(w), hits, sorted({self.ids[k] for k in items})
 
 
