@@ -47,10 +47,16 @@ def local_only(packets: DataFrame, local: DataFrame, addr: str = "src") -> DataF
     return packets.join(local.select(F.col("addr").alias(addr)), addr, "left_semi")
 
 
-def owner_after_retries(first_try_tick: int, found_tick: int | None, tries: int = 6) -> bool:
-    """Whether a connection whose owner appears at ``found_tick`` still gets it.
+def retried_owner(flows: DataFrame, sightings: DataFrame, tries: int = 6, flow_id: str = "flow_id") -> DataFrame:
+    """``flows`` with ``app`` where owners only appear in time.
 
-    It is asked for when the connection begins and at each tick after, six times in all. With a
-    fixed dimension the first answer is the last, so batch queries join once.
+    An owner is asked for when a flow begins (``first_tick``) and at each tick after, ``tries`` times
+    in all; the first answer stays. ``sightings``: ``proto, local_addr, local_port, remote_addr,
+    remote_port, tick, app``, one that is seen stays seen; of one tick's the least name counts. With a
+    fixed table the first answer is the only one, so ``exact_owner`` joins once.
     """
-    return found_tick is not None and found_tick - first_try_tick < tries
+    full = ["proto", "local_addr", "local_port", "remote_addr", "remote_port"]
+    asked = flows.select(flow_id, "first_tick", *full).join(sightings.select(*full, "tick", F.col("app").alias("__app")), full)
+    at = F.greatest("tick", "first_tick")
+    found = asked.where(at - F.col("first_tick") < tries).groupBy(flow_id).agg(F.min(F.struct(at.alias("at"), F.col("__app").alias("app"))).alias("__own"))
+    return flows.join(found, flow_id, "left").withColumn("app", F.col("__own.app")).drop("__own")

@@ -501,6 +501,18 @@ def j5_owner_scored(spark, sf_dir):
     return owners.scored_owner(_flows_to_own(spark, sf_dir), rows).select("flow_id", "app")
 
 
+@query("""with f as (select c_custkey as flow_id, 100 + c_custkey % 7 as first_tick from customer), s as (select c_custkey as flow_id, 95 + (c_custkey * 3 + k) % 20 as tick, 'app' || (c_custkey + k) % 5 as app from customer, (select unnest(range(0, 3)) as k) q where (c_custkey + k) % 4 <> 0),
+m as (select f.flow_id, arg_min(app, (greatest(tick, first_tick), app)) as app from f join s on f.flow_id = s.flow_id and greatest(tick, first_tick) - first_tick < 6 group by 1) select f.flow_id, m.app from f left join m using (flow_id)""")
+def j6_owner_retry(spark, sf_dir):
+    """An owner that appears within six tries, the first being when the flow begins."""
+    k = F.col("c_custkey")
+    ends = [F.lit("tcp").alias("proto"), F.lit("10.0.0.1").alias("local_addr"), k.cast("int").alias("local_port"), F.lit("9.9.9.9").alias("remote_addr"), F.lit(443).alias("remote_port")]
+    c = _table(spark, sf_dir, "customer").select(k, *ends)
+    seen = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where((k + F.col("k")) % 4 != 0)
+    seen = seen.select("*", (95 + (k * 3 + F.col("k")) % 20).alias("tick"), F.concat(F.lit("app"), ((k + F.col("k")) % 5).cast("string")).alias("app"))
+    return owners.retried_owner(c.select("*", k.alias("flow_id"), (100 + k % 7).alias("first_tick")), seen).select("flow_id", "app")
+
+
 @query(f"""{P0} select pkt_no, dst from p0 where dst in ('192.168.1.10', '192.168.1.11')""")
 def j8_local_only(spark, sf_dir):
     local = spark.range(1).select(F.explode(F.array(*map(F.lit, LOCAL))).alias("addr"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import struct
+import time
 from collections.abc import Iterator
 from fnmatch import fnmatch
 from itertools import islice
@@ -209,20 +210,37 @@ class PcapStream(DataSourceStreamReader):
     """A directory that captures are moved into; the offset is the number of files taken, by name.
 
     Executors read the files, one a task. Names of later files have to sort behind those of earlier
-    ones. After a restart the first batch takes all files that wait.
+    ones. After a restart the first batch takes all files that wait. With a ``speed`` a file is taken
+    when its first packet is due: its time after the first file's, divided by the speed; 0 is flat out.
     """
 
     def __init__(self, options: dict):
         self.path, self.snap_len = options["path"], int(options.get("snaplen", 65535))
         self.at_once = int(options.get("maxfilespertrigger", options.get("maxFilesPerTrigger", 1)))
+        self.speed = float(options.get("speed", 0))
         self.taken: int | None = None
+        self.began = 0.0
+        self.first_times: dict[str, int] = {}
+
+    def _ready(self) -> int:
+        where, name = file_system(self.path)
+        files = _files(where, name)
+        if self.speed <= 0 or not files:
+            return len(files)
+        self.began = self.began or time.monotonic()
+        for p in files:
+            if p not in self.first_times:
+                self.first_times[p] = next(read_packets(p, where), (0,))[0]
+        begin = self.first_times[files[0]]
+        due = [(self.first_times[p] - begin) / 1e6 / self.speed <= time.monotonic() - self.began for p in files]
+        return due.index(False) if False in due else len(files)
 
     def initialOffset(self):
         self.taken = 0
         return {"files": 0}
 
     def latestOffset(self):
-        ready = len(_files(*file_system(self.path)))
+        ready = self._ready()
         return {"files": ready if self.taken is None else min(ready, self.taken + self.at_once)}
 
     def partitions(self, start, end):

@@ -78,3 +78,22 @@ def test_alert_log_and_replay_of_captures(spark, tmp_path):
     finally:
         q.stop()
     assert spark.read.text(str(tmp_path / "log")).count() == 300
+
+
+def test_a_paced_replay_waits_for_its_files(spark, tmp_path):
+    import time
+
+    folder, out = tmp_path / "captures", str(tmp_path / "seen")
+    folder.mkdir()
+    for k, at in enumerate((0, 6, 12)):
+        pcap.write_packets(str(folder / f"{k}.pcap"), [((1000 + at) * 1_000_000 + n, 60, b"x") for n in range(5)])
+    began = time.monotonic()
+    q = sinks.replay(spark, str(folder), per_trigger=3, speed=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).start()
+    counts = []
+    while time.monotonic() - began < 40 and (not counts or counts[-1] < 15):
+        counts.append(sum(p.numInputRows for p in q.recentProgress))
+        time.sleep(0.1)
+    took = time.monotonic() - began
+    q.stop()
+    assert counts[-1] == 15 and took >= 4 and 5 in counts  # the last file is due 12 / 3 seconds after the first
+    assert sinks.losses(q.recentProgress) == {"packets": 15, "kernel_drops": 0, "ring_drops": 0, "late": 0}
