@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .config import DetectorConfig
 from .functions import addresses, formats, names, services
 from .operators import detectors, filters, folds, naming, owners, rates, series, signatures
+from .session import spread
 from .sources import projection, text
 
 QUERIES: dict = {}
@@ -610,19 +611,19 @@ def _matches_sql(table: str, key: str, payload: str) -> str:
 
 @query(_matches_sql("pages", "page_id", "html"))
 def m2_match_pages(spark, sf_dir):
-    return signatures.match_payloads(_table(spark, sf_dir, "pages"), CORPUS_RULES, ["page_id"], "html").groupBy("page_id", "rule_id").agg(F.count("*").alias("matches"))
+    return signatures.match_payloads(spread(_table(spark, sf_dir, "pages")), CORPUS_RULES, ["page_id"], "html").groupBy("page_id", "rule_id").agg(F.count("*").alias("matches"))
 
 
 @query(_matches_sql("documents", "doc_id", "text"))
 def m3_match_documents(spark, sf_dir):
     """Payloads with characters outside ASCII: only A-Z are folded."""
-    return signatures.match_payloads(_table(spark, sf_dir, "documents"), CORPUS_RULES, ["doc_id"], "text").groupBy("doc_id", "rule_id").agg(F.count("*").alias("matches"))
+    return signatures.match_payloads(spread(_table(spark, sf_dir, "documents")), CORPUS_RULES, ["doc_id"], "text").groupBy("doc_id", "rule_id").agg(F.count("*").alias("matches"))
 
 
 @query(f"with {_RULES_SQL} select doc_id, rule_id from documents, r where contains(case when nocase then {_FOLD.format(c='text')} else text end, content)")
 def m2_match_native(spark, sf_dir):
     """The same without Python, a search for each rule."""
-    return signatures.match_native(_table(spark, sf_dir, "documents"), CORPUS_RULES, ["doc_id"], "text")
+    return signatures.match_native(spread(_table(spark, sf_dir, "documents")), CORPUS_RULES, ["doc_id"], "text")
 
 
 @query("""with s as (select conv_id, string_agg(text, '' order by turn) as t from conversations group by 1) select conv_id, cast((length(t) - length(replace(t, '.T', ''))) // 2 as bigint) as matches from s where contains(t, '.T')""")
