@@ -197,7 +197,8 @@ def signature_alerts(matches: DataFrame, rules: DataFrame, cooldown_sec: int = 6
     """
     from ..functions.formats import endpoint
 
-    named = matches.join(rules.select("rule_id", "name", "severity", F.col("message").alias("title")), "rule_id")
+    # rules come from a file that the driver has read, so they are few; hits are not, and share few rules
+    named = matches.join(F.broadcast(rules.select("rule_id", "name", "severity", F.col("message").alias("title"))), "rule_id")
     keys = ["name", "src", "dst"]
     first = named.groupBy(*keys, "ts_usec").agg(F.min_by(F.struct("pkt_no", "severity", "title", "sport", "dport", "host", "app"), F.struct("pkt_no", "rule_id")).alias("m"))
     taken = greedy_rows(first, keys, "ts_usec", cooldown_sec * 1_000_000).select(*keys, "ts_usec", "m.*")

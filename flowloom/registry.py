@@ -390,12 +390,6 @@ def t10_cooldown(spark, sf_dir):
     return folds.cooldown(e, ["src", "dst"], "sec", 60)
 
 
-@query(f"select count(*) as alerts, kind from (select 'port_scan' as kind from ({_scan_sql(P0)}) a union all select 'syn_flood' from ({_flood_sql(P0)}) b) u group by kind")
-def u1_alert_union(spark, sf_dir):
-    both = detectors.alert_union(detectors.scan_alerts(x1_port_scan(spark, sf_dir)), detectors.flood_alerts(x2_syn_flood(spark, sf_dir)))
-    return both.groupBy("kind").agg(F.count("*").alias("alerts"))
-
-
 # Folds and sessions
 
 
@@ -639,14 +633,14 @@ g as (select rule_id, src, dst, ts_usec, k, ts_usec as at, true as fires from c
 
 def _alerts(spark, p: DataFrame) -> DataFrame:
     hits = p.select("ts_usec", "pkt_no", (F.col("v") % 3).cast("int").alias("rule_id"), "src", "sport", "dst", F.col("svc_port").alias("dport"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).otherwise("").alias("host"), F.lit("").alias("app"))
-    return signatures.signature_alerts(hits, signatures.rules_table(spark, CORPUS_RULES)).select("ts_usec", "message")
+    return signatures.signature_alerts(hits, signatures.rules_table(spark, CORPUS_RULES))
 
 
 @query(f"""{_HITS} select h.ts_usec, h.src || ':' || h.sport || ' → ' || h.dst || ':' || h.svc_port || case when h.user_id % 2 = 0 then ' (h' || h.user_id || ')' else '' end || ', signature ' || (array['tracker', 'licence', 'script'])[1 + h.rule_id] as message
 from h join g on g.fires and g.rule_id = h.rule_id and g.src = h.src and g.dst = h.dst and g.ts_usec = h.ts_usec""")
 def m9_signature_alerts(spark, sf_dir):
     """A hit in every packet."""
-    return _alerts(spark, _packets(spark, sf_dir))
+    return _alerts(spark, _packets(spark, sf_dir)).select("ts_usec", "message")
 
 
 # The packet fold over the projection: sessions, roles, handshakes
@@ -697,6 +691,18 @@ def t3_flow_fold_all(spark, sf_dir):
 
 WITHOUT_SQL["t3_flow_fold_all"] = t3_flow_fold_all
 
+_KINDS = {"port_scan": "x1_port_scan", "syn_flood": "x2_syn_flood", "traffic_spike": "x3_spike", "signature": "m9_signature_alerts"}
+
+
+@query("select count(*) as alerts, kind from (" + " union all ".join(f"select '{kind}' as kind from ({ORACLES[name]}) q" for kind, name in _KINDS.items()) + ") u group by kind")
+def u1_alert_union(spark, sf_dir):
+    """All four kinds in one table; their texts are in ``s11_alert_json`` and ``v8_alerts``."""
+    both = detectors.alert_union(
+        detectors.scan_alerts(x1_port_scan(spark, sf_dir)), detectors.flood_alerts(x2_syn_flood(spark, sf_dir)), detectors.spike_alerts(detectors.spikes(_burst(spark, sf_dir), "bytes_in"), "Inbound"), _alerts(spark, _packets(spark, sf_dir))
+    )
+    return both.groupBy("kind").agg(F.count("*").alias("alerts"))
+
+
 from . import registry_packets, registry_views  # noqa: E402
 
 QUERIES |= registry_packets.QUERIES | registry_views.QUERIES
