@@ -369,6 +369,7 @@ def answers_for_flows(keyed: DataFrame, answers: DataFrame) -> DataFrame:
     unmapped = lambda c: F.regexp_replace(c, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", "$1")
     spans = keyed.groupBy(*KEY).agg(F.min(F.struct("ts_usec", "pkt_no")).alias("f"), F.max("ts_usec").alias("last"))
     ends = spans.withColumn("addr", F.explode(F.array_distinct(F.array(unmapped("a"), unmapped("b")))))
+    ends = ends.join(answers.select("addr").distinct(), "addr", "left_semi")  # most flows' ends are never answered
     in_order = W.partitionBy("addr", F.expr(f"ts_usec div {SLOT * _US}")).orderBy("ts_usec", "pkt_no")
     told = answers.groupBy("addr", "ts_usec", "pkt_no").agg(F.max("name").alias("name"))
     told = told.withColumn("same", F.lag("name").over(in_order) == F.col("name")).where("same is null or not same").drop("same")
