@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from .common import map_text
 
 MARK = "▁"
-#: Distinct chunks that a worker keeps.
-MAX_CHUNKS = 300_000
+#: Distinct chunks that a worker keeps, about 20 MB.
+MAX_CHUNKS = 100_000
 #: Longer chunks are not kept beyond the texts they were found in.
 MAX_KEPT_CHARS = 64
 #: Text bytes whose new chunks are segmented together.

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, materialize
+from .common import blocks, materialize, release
 from .difference_cover import equal_windows
 from .hashing import TABLE, Hasher, mix, powers
 
@@ -107,6 +107,25 @@ def joined_windows(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]
     return row[at], start[at], start[last] + K
 
 
+def lean(work):
+    """``work`` over a group, after which its memory goes back to the system: workers live on."""
+    if work.__code__.co_argcount == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            out = work(table)
+            release()
+            return out
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        release()
+        return out
+
+    return two
+
+
 def pack(*columns: tuple[np.ndarray, int]) -> bytes:
     """Columns of integers as planes of their lowest bytes, compressed."""
     import zstandard
@@ -263,6 +282,8 @@ def _anchors(parts: int, hot: np.ndarray):
                     held, held_hot, count = [], [], 0
         if held:
             yield flush(held, held_hot)
+        del held, held_hot
+        release()
 
     return work
 
@@ -301,7 +322,7 @@ def _decide(parts: int):
             rows.append(p), blobs.append(pack((row[i], 8), (start[i], 6), (stop[i], 6), (part[i], 4), (decided[i], 1)))
         return pa.table({"part": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return work
+    return lean(work)
 
 
 def _spans(blobs: list[bytes]) -> dict[int, np.ndarray]:
@@ -369,7 +390,7 @@ def _apply(want_text: bool, schema: pa.Schema):
             out.append({"kind": 2, "part": at, "blob": press.compress(b"".join(f[3] for f in found)), "lines": pack((row, 8), (order, 8), (start, 6), (size, 1))})
         return pa.Table.from_pylist(out, schema=schema)
 
-    return work
+    return lean(work)
 
 
 def _compare(parts: int):
@@ -400,7 +421,7 @@ def _compare(parts: int):
                 rows.append(p), blobs.append(pack((r[i], 8), (s[i], 6), (e[i], 6), (one[i], 4), (one[i], 1)))
         return pa.table({"part": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return work
+    return lean(work)
 
 
 def _finish(want_text: bool, schema: pa.Schema):
@@ -418,7 +439,7 @@ def _finish(want_text: bool, schema: pa.Schema):
         names = ["row", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
         return pa.Table.from_pylist(out, schema=pa.schema([schema.field(x) for x in names]))
 
-    return work
+    return lean(work)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
