@@ -145,6 +145,8 @@ def flat_blocks(page: str) -> list[Block]:
 
     def flush():
         nonlocal parts, asides, into, aside_tag
+        if not parts:
+            return
         put(parts, own)
         for name, found in asides:
             put(found, max(own, name))
@@ -200,20 +202,27 @@ def flat_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def features(blocks: list[Block]) -> np.ndarray:
+def features(*pages: list[Block]) -> np.ndarray:
+    """Features of the blocks of pages, one page after the other; neighbours are of the same page."""
+    blocks = [b for page in pages for b in page]
     n = len(blocks)
     x = np.zeros((n, len(FEATURES)))
     if n:
+        of = np.repeat(np.arange(len(pages)), list(map(len, pages)))
         w, d = np.array([b.words for b in blocks], float), np.array([b.density for b in blocks])
         x[:, :5] = [(b.zone, b.boiler_tag, b.in_form, b.name_near, b.name_any) for b in blocks]
-        _, of = np.unique([b.named for b in blocks], return_inverse=True)
-        x[:, 5] = np.bincount(of, w)[of] / w.sum()  # of the page's words, in the element with the near name
+        _, named = np.unique(of << 40 | np.array([b.named for b in blocks]) + (1 << 39), return_inverse=True)
+        x[:, 5] = np.bincount(named, w)[named] / np.bincount(of, w)[of]  # of the page's words, in the element with the near name
         x[:, 6], x[:, 7] = w, d
-        x[1:, 8], x[:-1, 9], x[1:, 10], x[:-1, 11] = w[:-1], w[1:], d[:-1], d[1:]
+        same = of[1:] == of[:-1]
+        x[1:, 8], x[:-1, 9], x[1:, 10], x[:-1, 11] = w[:-1] * same, w[1:] * same, d[:-1] * same, d[1:] * same
         x[:, 12:15] = [(b.links, b.heading, b.text[-1] in ".!?…\"”»") for b in blocks]
-        x[:, 15] = any(b.zone == 1 for b in blocks)
-        long = (w >= LONG) & (d < 0.3)
-        x[:, 16], x[:, 17] = np.cumsum(long) - long, np.cumsum(long[::-1])[::-1] - long
+        x[:, 15] = (np.bincount(of, x[:, 0] == 1) > 0)[of]
+        long = ((w >= LONG) & (d < 0.3)).astype(np.int64)
+        upto = np.cumsum(long)
+        first = np.searchsorted(of, of)  # the page's first block
+        x[:, 16] = upto - long - (upto - long)[first]
+        x[:, 17] = np.bincount(of, long)[of] - x[:, 16] - long
     return x
 
 
@@ -263,12 +272,10 @@ def trained() -> tuple:
     return grow(np.concatenate(xs), np.array(ys, float), depth=11, least=2)
 
 
-def main_text(page: str, tree: tuple) -> str:
-    blocks = flat_blocks(page)
-    if not blocks:
-        return ""
-    keep = decide(tree, features(blocks))
-    return "\n\n".join([b.text for b, k in zip(blocks, keep, strict=True) if k])
+def main_texts(pages: list[str], tree: tuple) -> list[str]:
+    found = [flat_blocks(p) for p in pages]
+    keep = iter(decide(tree, features(*found)).tolist())
+    return ["\n\n".join([b.text for b in blocks if next(keep)]) for blocks in found]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -278,7 +285,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def make():
         def kernel(texts):
-            out = [main_text(t, tree) for t in texts]
+            out = main_texts(texts, tree)
             return {"text": out, "n_chars": list(map(len, out))}
 
         return kernel

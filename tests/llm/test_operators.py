@@ -122,7 +122,7 @@ LONG = "The river had risen for three days before anyone in the lower town thoug
     ],
 )
 def test_html_pages_whose_names_mislead_or_are_not_there(page, want):
-    assert html_extract.main_text(page, html_extract.trained()) == want
+    assert html_extract.main_texts([page, "", page], html_extract.trained()) == [want, "", want]
 
 
 def test_html_query_against_the_article_elements(spark):
