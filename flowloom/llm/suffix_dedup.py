@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, materialize, release
+from .common import blocks, forget, materialize, release
 from .difference_cover import equal_windows
 from .hashing import TABLE, Hasher, mix, powers
 
@@ -465,6 +465,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done = [*fields("row long"), T.StructField("id", kind), *fields(DONE)]
     half_type = T.StructType([*fields("kind int, part int"), *done, *fields("blob binary, lines binary")])
     half = materialize(dealt_rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_apply(want_text, schema), half_type))
+    del packed, spans, dealt_rows, rows
+    forget(docs.sparkSession)  # what was shuffled for it is not read again
     # small in bytes and long in work, so its parts are not to be put together
     found = half.where("kind = 2").select("part", "blob", "lines").repartition(parts, "part").groupBy("part").applyInArrow(_compare(parts), "part int, blob binary")
     waiting = half.where("kind = 1").select("part", "row", "id", "blob", "lines")
