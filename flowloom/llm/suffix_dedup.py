@@ -52,7 +52,7 @@ PACK = 400_000
 PARTS = 4
 
 #: Documents of the sample that tells hot anchors, distinct strings there that make one hot, hot anchors at most.
-SAMPLE, HOT, MOST_HOT = 4_000, 16, 50_000
+SAMPLE, HOT, MOST_HOT = 4_000, 64, 50_000
 
 _LAST = np.iinfo(np.int64).max
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)

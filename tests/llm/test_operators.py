@@ -267,12 +267,13 @@ def test_suffix_dedup_of_a_text_longer_than_a_piece(spark, monkeypatch):
     assert rows_of(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted((r[:5] for r in brute.repeats(rows)), key=repr)
 
 
-def test_suffix_dedup_with_a_passage_that_most_documents_share(spark):
+def test_suffix_dedup_with_a_passage_that_most_documents_share(spark, monkeypatch):
     rng = random.Random(12)
     passage = prose(rng, 60)
     rows = [(k, prose(rng, 12) + (passage if k % 3 else passage[3:-4]) + prose(rng, 12)) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     numbered = df.select(F.col("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
+    monkeypatch.setattr(suffix_dedup, "HOT", 16)
     assert 0 < len(suffix_dedup.hot_anchors(numbered, 60)) < 40
     assert rows_of(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted((r[:5] for r in brute.repeats(rows)), key=repr)
 
