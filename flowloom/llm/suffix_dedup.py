@@ -360,6 +360,25 @@ def _half(id_type: pa.DataType) -> pa.Schema:
     ])
 
 
+def _deal(parts: int):
+    """Rows -> packs of rows by part: Arrow streams, compressed, as texts of many rows shrink better together."""
+
+    def work(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        for batch in batches:
+            places, blobs = [], []
+            for p, i in dealt(_by_row(batch.column("row").to_numpy(), parts)):
+                own = batch.take(pa.array(i))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                    out.write_batch(own)
+                places.append(p), blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(blobs, pa.binary())], ["part", "docs"])
+        release()
+
+    return work
+
+
 def _apply(want_text: bool, schema: pa.Schema):
     """Texts and spans of one part by row -> finished rows (0), rows that wait (1), strings to compare (2)."""
     import zstandard
@@ -370,7 +389,9 @@ def _apply(want_text: bool, schema: pa.Schema):
         out: list[dict] = []
         strings: dict[int, list] = {}
         done: set[int] = set()
-        for part, row, order, oid, text in zip(*(docs.column(c).to_pylist() for c in ("part", "row", "order", "id", "text")), strict=True):
+        part = docs.column("part")[0].as_py() if docs.num_rows else 0
+        rows = (r for pack in docs.column("docs") for r in pa.ipc.open_stream(pack.as_buffer()).read_all().select(["row", "order", "id", "text"]).to_pylist())
+        for row, order, oid, text in (r.values() for r in rows):
             text = text or b""
             own = lines.get(row)
             if own is None or (own[:, 3] == 1).all():
@@ -460,7 +481,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(1, PARTS * rows.rdd.getNumPartitions())
     packed = rows.select("row", "order", "text").mapInArrow(_anchors(parts, hot_anchors(rows, ids.rows)), "part int, kind int, blob binary")
     spans = packed.groupBy("part").applyInArrow(_decide(parts), "part int, blob binary")
-    dealt_rows = rows.withColumn("part", (F.pmod("row", F.lit(_PRIME)) % parts).cast("int"))
+    dealt_rows = rows.select("row", "order", "id", "text").mapInArrow(_deal(parts), "part int, docs binary")
     fields = lambda ddl: T.StructType.fromDDL(ddl).fields
     done = [*fields("row long"), T.StructField("id", kind), *fields(DONE)]
     half_type = T.StructType([*fields("kind int, part int"), *done, *fields("blob binary, lines binary")])
