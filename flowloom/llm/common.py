@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -52,12 +51,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no table refers to any more: it does when the driver's JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_files(df: DataFrame) -> None:
     """Deletes what ``materialize`` wrote for ``df``; only for frames nothing reads any more."""
     jvm = df.sparkSession._jvm
