@@ -38,7 +38,6 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated bytes; a document that had some cut and has no word left goes."""
-    common.forget(spark)  # the stage before has shuffled much that nothing reads any more
     cut = suffix_dedup.repeated_bytes(_plain(docs), want_text=True, carry=("lang", "source"))
     left = cut.where(~((F.col("n_removed") > 0) & ~F.col("kept").rlike(r"\S")))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
