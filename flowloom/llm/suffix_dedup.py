@@ -48,6 +48,8 @@ GRAM = 20
 PIECE = 1 << 20
 #: Runs that a task packs together.
 PACK = 400_000
+#: Bytes of strings whose suffixes are sorted together.
+SORTED = 1 << 19
 #: Parts by anchor and by document for each partition of the input.
 PARTS = 4
 
@@ -414,6 +416,80 @@ def _apply(want_text: bool, schema: pa.Schema):
     return lean(work)
 
 
+def anchored(text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings that are runs, where they begin: the hash of the anchor and how far it stands from the begin."""
+    gram, place = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.int64)
+    for s in range(0, len(begin), 8192):
+        at = begin[s : s + 8192]
+        lo = at[0]
+        start = (at - lo)[:, None] + np.arange(K - GRAM + 1)
+        found = mix(Hasher(text[lo : at[-1] + K])(start, start + GRAM))
+        least = (found & _HIGH).argmin(1)  # of equal hashes the leftmost, as in ``runs``
+        gram[s : s + 8192], place[s : s + 8192] = found[np.arange(len(at)), least], least
+    return gram, place
+
+
+def equal_strings(strings: np.ndarray) -> np.ndarray:
+    """A class for each row of a matrix of bytes: the same for equal rows, told byte by byte."""
+    n, size = strings.shape
+    words = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    words[:, :size] = strings
+    words = words.view(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(words.shape[1]):
+        key = mix(key ^ words[:, k]) + np.uint64(1)
+    by = np.argsort(key, kind="stable")
+    other = (words[by[1:]] != words[by[:-1]]).any(1)
+    if (other & (key[by[1:]] == key[by[:-1]])).any():  # different strings with one hash
+        by = np.lexsort(words.T)
+        other = (words[by[1:]] != words[by[:-1]]).any(1)
+    out = np.empty(n, np.int64)
+    out[by] = np.concatenate([[0], np.cumsum(other)])
+    return out
+
+
+def repeated_windows(text: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For strings laid end to end, each a run: whether a smaller document has their windows (strings x places).
+
+    Equal windows have the same anchor at the same place, so a few anchors are sorted at a time, up to
+    ``SORTED`` bytes; windows of an anchor with more are sorted for one place of the anchor after the other.
+    """
+    begin = np.cumsum(size) - size
+    hit = np.zeros((len(size), K - GRAM + 1), bool)
+    if not len(size):
+        return hit
+    anchor, place = anchored(text, begin)
+    by = np.argsort(anchor, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], anchor[by][1:] != anchor[by][:-1]]))
+    ends = np.append(cut[1:], len(by))
+    for s, e in blocks(np.add.reduceat(size[by], cut), SORTED):
+        i = by[cut[s] : ends[e - 1]]
+        n = size[i]
+        if n.sum() <= SORTED:
+            end = np.cumsum(n)
+            some = text[np.repeat(begin[i] - (end - n), n) + np.arange(end[-1])]
+            count = n - K + 1  # windows of each string
+            of = np.repeat(np.arange(len(i)), count)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            same = equal_windows(some, (end - n)[of] + inside, K)
+            mine = order[i][of]
+            least = np.full(int(same.max()) + 1, _LAST)
+            np.minimum.at(least, same, mine)
+            hit[i[of], inside] = mine > least[same]
+            continue
+        view = np.lib.stride_tricks.sliding_window_view(text, K)
+        for back in range(K - GRAM + 1):
+            inside = place[i] - back
+            own = np.flatnonzero((inside >= 0) & (inside <= n - K))
+            if len(own):
+                j, inside = i[own], inside[own]
+                same = equal_strings(view[begin[j] + inside])
+                least = np.full(int(same.max()) + 1, _LAST)
+                np.minimum.at(least, same, order[j])
+                hit[j, inside] = order[j] > least[same]
+    return hit
+
+
 def _compare(parts: int):
     """Strings of one part by anchor -> packed spans by row that a smaller document has."""
     import zstandard
@@ -422,24 +498,16 @@ def _compare(parts: int):
         d = zstandard.ZstdDecompressor()
         text = np.frombuffer(b"".join(d.decompress(b) for b in table.column("blob").to_pylist()), np.uint8)
         row, order, start, size = (x.view(np.int64) for x in unpack(table.column("lines").to_pylist(), PLACE))
-        end = np.cumsum(size)
-        count = size - K + 1  # windows of each string
-        of = np.repeat(np.arange(len(size)), count)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        at = (end - size)[of] + inside
-        same = equal_windows(text, at, K)
-        least = np.full(int(same.max()) + 1 if len(same) else 0, _LAST)
-        np.minimum.at(least, same, order[of])
-        hit = np.flatnonzero(order[of] > least[same])
+        hit = repeated_windows(text, order, size)
+        # neighbouring windows of a string become one span
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).view(np.int8), axis=1)
+        of, first = np.nonzero(edge == 1)
+        last = np.nonzero(edge == -1)[1] - 1
+        r, s, e = row[of], start[of] + first, start[of] + last + K
+        one = np.ones(len(r), np.int64)
         rows, blobs = [], []
-        if len(hit):
-            # neighbouring windows of a string become one span
-            first = np.concatenate([[True], (np.diff(hit) != 1) | (of[hit][1:] != of[hit][:-1])])
-            begin, last = hit[first], hit[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(hit) - 1]])]
-            r, s, e = row[of[begin]], start[of[begin]] + inside[begin], start[of[last]] + inside[last] + K
-            one = np.ones(len(r), np.int64)
-            for p, i in dealt(_by_row(r, parts)):
-                rows.append(p), blobs.append(pack((r[i], 8), (s[i], 6), (e[i], 6), (one[i], 4), (one[i], 1)))
+        for p, i in dealt(_by_row(r, parts)):
+            rows.append(p), blobs.append(pack((r[i], 8), (s[i], 6), (e[i], 6), (one[i], 4), (one[i], 1)))
         return pa.table({"part": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return lean(work)

@@ -278,6 +278,64 @@ def test_suffix_dedup_with_a_passage_that_most_documents_share(spark, monkeypatc
     assert rows_of(suffix_dedup.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted((r[:5] for r in brute.repeats(rows)), key=repr)
 
 
+def _strings(texts, orders):
+    """What ``_compare`` gets: one document a string, whose row is its order."""
+    import pyarrow as pa
+    import zstandard
+
+    order = np.array(orders, np.int64)
+    lines = suffix_dedup.pack((order, 8), (order, 8), (order * 0, 6), (np.array([len(t) for t in texts]), 1))
+    return pa.table({"part": pa.array([0], pa.int32()), "blob": [zstandard.ZstdCompressor().compress(b"".join(texts))], "lines": [lines]})
+
+
+def _windows(table):
+    return {(r, w) for r, lines in suffix_dedup._spans(table.column("blob").to_pylist()).items() for a, b, *_ in lines.tolist() for w in range(a, b - 49)}
+
+
+def _around(rng, n, passage, near=24):
+    """Runs, and so strings of one anchor, of documents around a passage."""
+    found = []
+    for k in range(n):
+        text = np.frombuffer((prose(rng, 3)[-near:] + passage + prose(rng, 9)[:near]).encode(), np.uint8)
+        first, more, _, _ = suffix_dedup.runs(text, np.array([len(text)]))
+        found += [(text[a : a + m + 50].tobytes(), k) for a, m in zip(first.tolist(), more.tolist(), strict=True)]
+    rng.shuffle(found)
+    return zip(*found, strict=True)
+
+
+@pytest.mark.parametrize("most,collide", [(1 << 19, False), (3000, False), (1, False), (1, True)])
+def test_strings_of_an_anchor_with_many_of_them(monkeypatch, most, collide):
+    monkeypatch.setattr(suffix_dedup, "SORTED", most, raising=False)  # 1 sorts each anchor's windows by place
+    rng = random.Random(21)
+    texts, orders = _around(rng, 150, prose(rng, 8))
+    least = {}
+    for t, o in zip(texts, orders, strict=True):
+        for w in range(len(t) - 49):
+            least[t[w : w + 50]] = min(o, least.get(t[w : w + 50], o))
+    want = {(o, w) for t, o in zip(texts, orders, strict=True) for w in range(len(t) - 49) if least[t[w : w + 50]] < o}
+    table = _strings(texts, orders)
+    if collide:  # every hash of a string is the same
+        anchored = suffix_dedup.anchored
+        found = anchored(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts[:-1])]))
+        monkeypatch.setattr(suffix_dedup, "anchored", lambda *_: found)
+        monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * np.uint64(0))
+    assert want and _windows(suffix_dedup._compare(4)(table)) == want
+
+
+def test_comparing_strings_takes_the_memory_of_a_few_anchors():
+    import tracemalloc
+
+    rng = random.Random(22)
+    texts = [t for _ in range(4) for t in next(_around(rng, 3000, prose(rng, 12)))]
+    table = _strings(texts, range(len(texts)))
+    suffix_dedup._compare(4)(_strings(texts[:100], range(100)))
+    tracemalloc.start()
+    suffix_dedup._compare(4)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 2_500_000 and peak < 150_000_000, (peak, sum(map(len, texts)))
+
+
 def test_runs_of_pieces_hold_every_window_once():
     rng = random.Random(4)
     text = prose(rng, 400).encode()
