@@ -11,7 +11,8 @@ form a run; there is a run for about 16 bytes.
 2. What is left, runs at the ends of repeated passages, comes together as strings by anchor, so
    equal windows meet. There the suffixes are sorted with a difference cover (``difference_cover``:
    sampled triples sorted, recursion on their names, the remaining suffixes merged in), and windows
-   next to each other are compared byte by byte.
+   next to each other are compared byte by byte. A few anchors are taken at a time; the windows of one
+   with very many strings are sorted for each place of the anchor.
 3. Decisions go back by document, which cuts its text.
 
 Texts around a passage that very many documents share give its first and last anchors a different

@@ -6,7 +6,8 @@ import pytest
 import brute
 from pyspark.sql import functions as F
 import corpus_pipeline
-from test_operators import prose
+from flowloom.llm import suffix_dedup
+from test_operators import _around, _strings, prose
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,20 @@ def test_null_and_repeated_ids_and_other_columns(spark, folder):
             assert len(ids) == len(set(ids)) and None not in [i for i, _ in rows]
         odd = out.withColumn("lang", F.lit("en"))
     assert corpus_pipeline.STAGES[-1][1](spark, odd, path).count() == odd.count() > 0
+
+
+def test_memory_of_the_suffix_stage_with_more_documents_around_a_passage():
+    import tracemalloc
+
+    def peak(n):
+        rng = random.Random(23)
+        texts = next(_around(rng, n, prose(rng, 12)))
+        table = _strings(texts, range(len(texts)))
+        tracemalloc.start()
+        suffix_dedup._compare(4)(table)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(100)
+    assert peak(9000) < 2 * peak(3000)
