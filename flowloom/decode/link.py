@@ -138,15 +138,15 @@ def decode_one(link: int, data: bytes) -> dict:
     return {f: out.get(f) for f in FIELDS}
 
 
-def decode_packets(raw: DataFrame, snap_len: int | None = None) -> DataFrame:
-    """``raw_packets`` to ``packets``; ``snap_len`` cuts the kept bytes first, not the wire length."""
+def decode_packets(raw: DataFrame, snap_len: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``raw_packets`` to ``packets``; ``snap_len`` cuts the kept bytes first, not the wire length; columns to ``keep`` come behind."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if snap_len is not None:
         raw = raw.withColumn("data", F.substring("data", 1, snap_len)).withColumn("cap_len", F.least("cap_len", F.lit(snap_len).cast("bigint")))
-    full = T.StructType.fromDDL(PACKETS)
+    full = T.StructType([*T.StructType.fromDDL(PACKETS).fields, *(raw.schema[c] for c in keep)])
 
     def run(batches):
         from .columnar import decode_columns
@@ -154,10 +154,10 @@ def decode_packets(raw: DataFrame, snap_len: int | None = None) -> DataFrame:
         types = to_arrow_schema(full)
         for b in batches:
             got = decode_columns(b.column("link_type").to_numpy(zero_copy_only=False), b.column("data"))
-            cols = [b.column(c) for c in ("pkt_no", "ts_usec", "wire_len", "cap_len")] + [got[f] for f in FIELDS]
+            cols = [b.column(c) for c in ("pkt_no", "ts_usec", "wire_len", "cap_len")] + [got[f] for f in FIELDS] + [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(cols, schema=types)
 
-    return raw.select("pkt_no", "ts_usec", "wire_len", "cap_len", "link_type", "data").mapInArrow(run, full)
+    return raw.select("pkt_no", "ts_usec", "wire_len", "cap_len", "link_type", "data", *keep).mapInArrow(run, full)
 
 
 def native_ipv4(raw: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def against_oracle(spark, folder, name):
     return rows
 
 
+def test_frames_of_large_ports(spark, large):
+    rows = against_oracle(spark, large, "d1_decode_frames")
+    assert max(int(r[9]) for r in rows if r[9] != "null") >= 340_000
+    against_oracle(spark, large, "d11_truncated")
+
+
 def test_owners_of_large_ports(spark, large):
     assert any("340000" in r for r in against_oracle(spark, large, "s7_owner_sink"))
 
