@@ -88,7 +88,7 @@ class Flow:
             return 10
         if proto == 6:
             return 30 if self.syn_seen and not self.established else 300
-        return 120
+        return _SHORTEST_OTHER
 
 
 class Fold:
@@ -402,8 +402,8 @@ def fold_flows(packets: DataFrame, answers: DataFrame | None = None, cfg: Engine
 
 
 STATE = ("session", "incarnation", "service", "host", "host_source", "client_is_a", "local_is_a", "transit", "half_open", "closed")
-#: The shortest idle time that ends a flow; packets closer than this need no look at the flow's state.
-_SHORTEST = 10
+#: The shortest idle times that end a TCP flow and any other; packets closer than this need no look at the flow's state.
+_SHORTEST, _SHORTEST_OTHER = 10, 120
 
 
 @dataclass
@@ -448,7 +448,7 @@ def fold_batch(fold: Fold, b: pa.RecordBatch, types: pa.Schema):
     tcp, payload = proto == 6, length > 0
     moves = payload | (tcp & (total > 0))
     hard = new | ~is_packet | (payload & (fold.matcher is not None)) | (tcp & (flags & (SYN | FIN | RST) != 0))
-    hard[1:] |= ~is_packet[:-1] | (ts[1:] // _US * _US - ts[:-1] > _SHORTEST * _US)
+    hard[1:] |= ~is_packet[:-1] | (ts[1:] // _US * _US - ts[:-1] > np.where(tcp, _SHORTEST, _SHORTEST_OTHER)[1:] * _US)
     hard[0] = True  # what was before it is in another batch
     stops = np.flatnonzero(hard)
     text, facts = ("addr", "name"), ("sport", "dport", "src_local", "dst_local", "dst_multicast", "payload")

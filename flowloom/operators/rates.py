@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import ewma
@@ -25,14 +25,21 @@ def rates_at(seconds: DataFrame, keys: list[str], tick: int, values: tuple[str,
     Only the last seconds matter: a rate halves at each tick and is 0 under 1, so what is older
     than ``FADES`` seconds would have to exceed 2**64 bytes to show. A flow's array is that short.
     """
-    recent = seconds.where((F.col("sec") < tick) & (F.col("sec") >= tick - FADES))
-    slots = recent.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.struct("sec", v))).alias(v) for v in values], F.min("sec").alias("__s"))
-    axis = F.sequence(F.col("__s"), F.lit(tick - 1).cast("bigint"))
+    recent = seconds.where(is_recent(F.col("sec"), tick))
+    slots = recent.groupBy(*keys).agg(F.collect_list(F.struct("sec", *values)).alias("__slots"))
+    return slots.select(*keys, *[slot_rate(F.col("__slots"), v, tick).alias(f"rate_{v}") for v in values])
 
-    def rate(value: str):
-        return ewma(F.transform(axis, lambda s: F.coalesce(F.try_element_at(F.col(value), s), F.lit(0))))
 
-    return slots.select(*keys, *[rate(v).alias(f"rate_{v}") for v in values])
+def is_recent(sec: Column, tick: int) -> Column:
+    """Whether a second may still show in a rate at ``tick``."""
+    return (sec < tick) & (sec >= tick - FADES)
+
+
+def slot_rate(slots: Column, value: str, tick: int) -> Column:
+    """The rate of ``value`` at ``tick`` from an array of a flow's recent seconds (``sec`` and values, in any order); null if it is empty."""
+    of = F.map_from_entries(F.transform(slots, lambda s: F.struct(s["sec"], s[value])))
+    axis = F.sequence(F.array_min(F.transform(slots, lambda s: s["sec"])), F.lit(tick - 1).cast("bigint"))
+    return ewma(F.transform(axis, lambda s: F.coalesce(F.try_element_at(of, s), F.lit(0))))
 
 
 def grouped(flows: DataFrame, name: str, detail: str, tick: int) -> DataFrame:
@@ -42,13 +49,19 @@ def grouped(flows: DataFrame, name: str, detail: str, tick: int) -> DataFrame:
     total_in, total_out, flow_id``. Only flows of the last minute count and add to rates; the
     busiest of them gives detail and service, of equally busy ones the one with the least id.
     """
+    return all_groups(flows, name, detail, tick).where("total_in + total_out > 0")
+
+
+def all_groups(flows: DataFrame, name: str, detail: str, tick: int, *more: Column) -> DataFrame:
+    """``grouped`` with groups that have no bytes, and ``more`` aggregates behind; rows without ``last_usec`` only count there and in totals."""
     active = F.lit(tick * 1_000_000) - F.col("last_usec") < 60_000_000
     busiest = F.max_by(F.struct(F.col(detail).alias("d"), F.col("service").alias("s")), F.when(active, F.struct(F.col("rate_in") + F.col("rate_out"), -F.col("flow_id"))))
     total = flows.groupBy(F.coalesce(name, F.lit("")).alias("name")).agg(
         busiest.alias("b"), F.count_if(active).alias("flows"), F.coalesce(F.sum(F.when(active, F.col("rate_in"))), F.lit(0.0)).alias("rate_in"),
-        F.coalesce(F.sum(F.when(active, F.col("rate_out"))), F.lit(0.0)).alias("rate_out"), F.sum("total_in").cast("bigint").alias("total_in"), F.sum("total_out").cast("bigint").alias("total_out"),
+        F.coalesce(F.sum(F.when(active, F.col("rate_out"))), F.lit(0.0)).alias("rate_out"), F.sum("total_in").cast("bigint").alias("total_in"), F.sum("total_out").cast("bigint").alias("total_out"), *more,
     )
-    return total.where("total_in + total_out > 0").select("name", F.col("b.d").alias("detail"), F.when(F.col("flows") > 0, F.col("b.s")).otherwise("").alias("service"), "flows", "rate_in", "rate_out", "total_in", "total_out")
+    own = ("name", "b", "flows", "rate_in", "rate_out", "total_in", "total_out")
+    return total.select("name", F.col("b.d").alias("detail"), F.when(F.col("flows") > 0, F.col("b.s")).otherwise("").alias("service"), *own[2:], *[c for c in total.columns if c not in own])
 
 
 def credited_totals(named_seconds: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,14 +48,18 @@ class Analysis:
     alerts: DataFrame
     last: int
     first: int
+    owned: bool = False
 
     @property
     def tick(self) -> int:
         return self.last // 1_000_000 + 1
 
 
-def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[dict] | None = None, recorded: DataFrame | None = None, write_to: str | None = None) -> Analysis:
-    """Everything about decoded ``packets``; ``recorded`` are owners, ``write_to`` is a folder for the tables."""
+def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[dict] | None = None, recorded: DataFrame | None = None, write_to: str | None = None, want_alerts: bool = True) -> Analysis:
+    """Everything about decoded ``packets``; ``recorded`` are owners, ``write_to`` is a folder for the tables.
+
+    Alerts need passes of their own over the packets before any view is computed; without ``want_alerts`` there are none.
+    """
     spark = packets.sparkSession
     if write_to:
         flows.add_keys(packets, cfg).write.mode("overwrite").parquet(f"{write_to}/packets")
@@ -84,6 +88,16 @@ def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[
     else:
         table = table.withColumn("app", F.lit(""))
 
+    lookups = naming.dedupe_lookups(messages.select("ts_usec", "pkt_no", F.col("m.question").alias("name"), F.col("m.qtype").alias("qtype"), F.col("m.rcode").alias("rcode")))
+    alerts = _alerts(packets, of_flow, table, seconds, cfg, rules) if want_alerts else None
+    if write_to and want_alerts:
+        alerts.write.mode("overwrite").parquet(f"{write_to}/alerts")
+        alerts = spark.read.schema(alerts.schema).parquet(f"{write_to}/alerts")
+    return Analysis(packets, annotated, folded, table, seconds, series.service_second(annotated), lookups, alerts, last, first, recorded is not None)
+
+
+def _alerts(packets: DataFrame, of_flow: DataFrame, table: DataFrame, seconds: DataFrame, cfg: EngineConfig, rules: list[dict] | None) -> DataFrame:
+    """Alerts of all detectors; the clock is followed through the packets at once."""
     d = cfg.detectors
     known = ["pkt_no", "ts_usec", "decode_status", "has_l4", "tcp_flags", "proto", "src", "dst", "dport"]
     clock = folds.clock_epochs(packets.select(*known), if_any=True)  # where the clock restarts, the two detectors of SYNs begin anew
@@ -102,13 +116,8 @@ def analyse(packets: DataFrame, cfg: EngineConfig = EngineConfig(), rules: list[
         remote = F.when(F.col("local_is_a"), F.col("b")).otherwise(F.col("a"))
         hits = of_flow.where(F.size("rules") > 0).select("ts_usec", "pkt_no", F.explode("rules").alias("rule_id"), ends.alias("e"), F.when(F.col("host") != remote, F.col("host")).otherwise("").alias("host"), *KEYS)
         hits = hits.join(table.select(*KEYS, "app"), KEYS, "left").select("ts_usec", "pkt_no", "rule_id", "e.*", "host", "app")
-        found.append(signatures.signature_alerts(hits, signatures.rules_table(spark, rules), d.cooldown))
-    lookups = naming.dedupe_lookups(messages.select("ts_usec", "pkt_no", F.col("m.question").alias("name"), F.col("m.qtype").alias("qtype"), F.col("m.rcode").alias("rcode")))
-    alerts = detectors.alert_union(*found)
-    if write_to:
-        alerts.write.mode("overwrite").parquet(f"{write_to}/alerts")
-        alerts = spark.read.schema(alerts.schema).parquet(f"{write_to}/alerts")
-    return Analysis(packets, annotated, folded, table, seconds, series.service_second(annotated), lookups, alerts, last, first)
+        found.append(signatures.signature_alerts(hits, signatures.rules_table(packets.sparkSession, rules), d.cooldown))
+    return detectors.alert_union(*found)
 
 
 # Views
@@ -155,15 +164,36 @@ def view_apps(a: Analysis, keep: int = 100) -> DataFrame:
 
 
 def view_hosts(a: Analysis, keep: int = 200) -> DataFrame:
-    """Rates and busiest application by host; bytes are credited to the name a flow had when they came."""
-    live = live_flows(a)
-    now = rates.grouped(live, "shown", "app", a.tick)
-    remote = F.when(F.col("local_is_a"), F.col("b")).otherwise(F.col("a"))
-    label = F.when(F.col("host") != "", F.col("host")).otherwise(remote)
-    steps = a.folded.groupBy(*KEYS, (series.second(F.col("ts_usec")) + F.when(F.col("event") == "packet", 1).otherwise(0)).alias("tick")).agg(F.max_by(label, F.struct("ts_usec", "pkt_no")).alias("name"))
-    credit = rates.credited_totals(rates.flow_seconds(a.folded.where("event = 'packet'"), KEYS), steps, KEYS)
-    both = credit.withColumnRenamed("total_in", "t_in").withColumnRenamed("total_out", "t_out").join(now, "name", "left")
-    full = both.select("name", "detail", F.coalesce("service", F.lit("")).alias("service"), F.coalesce("flows", F.lit(0)).alias("flows"), F.coalesce("rate_in", F.lit(0.0)).alias("rate_in"), F.coalesce("rate_out", F.lit(0.0)).alias("rate_out"), F.col("t_in").alias("total_in"), F.col("t_out").alias("total_out"))
+    """Rates and busiest application by host; bytes are credited to the name a flow had when they came.
+
+    One pass over the folded flows: they are reduced to seconds, whose last row tells the name that
+    the second's bytes go to, and seconds to names and flows at once.
+    """
+    own = F.col("event") == "packet"
+    label = F.when(F.col("host") != "", F.col("host")).otherwise(F.when(F.col("local_is_a"), F.col("b")).otherwise(F.col("a")))
+    way = lambda out: F.sum(F.when(F.col("outbound") == out, F.col("wire_len")).otherwise(0)).cast("bigint")
+    at = F.struct("ts_usec", "pkt_no")
+    seconds = a.folded.groupBy(*KEYS, (series.second(F.col("ts_usec")) + F.when(own, 1).otherwise(0)).alias("tick")).agg(
+        way(False).alias("bytes_in"), way(True).alias("bytes_out"), F.max(F.when(own, F.col("ts_usec"))).alias("last_usec"), F.max(F.struct(at.alias("at"), label.alias("label"), "service", "local_is_a")).alias("l")
+    )
+    of_flow = F.col("kind") == 1  # each second counts for its name (0) and for its flow (1)
+    sec = F.col("tick") - 1
+    recent = F.when(of_flow & F.col("last_usec").isNotNull() & rates.is_recent(sec, a.tick), F.struct(sec.alias("sec"), "bytes_in", "bytes_out"))
+    rows = seconds.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "kind", *[F.when(of_flow, F.col(c)).alias(c) for c in (*KEYS, "last_usec", "l")], F.when(~of_flow, F.col("l.label")).alias("credited"), "bytes_in", "bytes_out", recent.alias("slot")
+    )
+    both = rows.groupBy("kind", *KEYS, "credited").agg(F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"), F.max("last_usec").alias("last_usec"), F.max("l").alias("l"), F.collect_list("slot").alias("slots"))
+    flow = lambda c: F.when(of_flow, c)
+    both = both.select(
+        "kind", *KEYS, "last_usec", F.coalesce("credited", "l.label").alias("shown"), F.col("l.service").alias("service"), flow(F.xxhash64(*KEYS)).alias("flow_id"),
+        *[flow(F.coalesce(rates.slot_rate(F.col("slots"), f"bytes_{d}", a.tick), F.lit(0.0))).alias(f"rate_{d}") for d in ("in", "out")],
+        *[flow(F.col(f"bytes_{d}")).alias(f"total_{d}") for d in ("in", "out")], *[F.when(~of_flow, F.col(f"bytes_{d}")).alias(f"credit_{d}") for d in ("in", "out")],
+    )
+    both = both.join(a.flows.select(*KEYS, "app"), KEYS, "left") if a.owned else both.withColumn("app", flow(F.lit("")))
+    named = rates.all_groups(both, "shown", "app", a.tick, *[F.sum(c).cast("bigint").alias(c) for c in ("credit_in", "credit_out")])
+    now = F.coalesce(F.col("total_in") + F.col("total_out"), F.lit(0)) > 0
+    known = lambda c, none: F.when(now, F.col(c)).otherwise(none).alias(c)
+    full = named.select("name", known("detail", None), known("service", ""), known("flows", 0), known("rate_in", 0.0), known("rate_out", 0.0), F.col("credit_in").alias("total_in"), F.col("credit_out").alias("total_out"))
     return rates.top_groups(full.where("total_in + total_out > 0"), keep)
 
 
